@@ -346,5 +346,5 @@ def decode_media(df: DataFrame, key: str, media: str = "media", keep: tuple[str,
 
 def feature_text(frames: str = "frames"):
     """A Column: number of frames, duration and the summed colour histogram."""
-    red = [F.aggregate(F.col(frames), F.lit(0).cast("long"), lambda a, f, i=i: a + f["histogram"][i]) for i in range(BINS)]
-    return F.concat_ws(";", F.concat(F.lit("frames="), F.size(frames)), F.concat(F.lit("cs="), F.aggregate(F.col(frames), F.lit(0), lambda a, f: a + f["delay_cs"])), F.concat(F.lit("grey="), F.concat_ws(",", *red)))
+    grey = [F.aggregate(F.expr(f"transform({frames}, f -> f.histogram[{k}])"), F.lit(0).cast("long"), lambda a, x: a + x) for k in range(BINS)]
+    return F.concat_ws(";", F.concat(F.lit("frames="), F.size(frames)), F.concat(F.lit("cs="), F.aggregate(F.col(frames), F.lit(0), lambda a, f: a + f["delay_cs"])), F.concat(F.lit("grey="), F.concat_ws(",", *grey)))
