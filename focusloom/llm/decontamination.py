@@ -4,7 +4,9 @@ Both sides keep the least k-gram hash of every sliding window of hashes, so a
 shared span of WINDOW words keeps a common fingerprint. Documents' fingerprints
 are joined with the benchmark's; each hit names a diagonal (document position
 less item position) on which the item's words are then compared one by one, and
-what lies in equal spans of WINDOW words is hit. Items of fewer than WINDOW
+what lies in equal spans of WINDOW words is hit. Texts that hold none of the
+benchmark's anchor words (each window's longest) are passed over before hashing,
+by which no window is missed. Items of fewer than WINDOW
 words are one window of their own length; items shorter than a k-gram have
 fingerprints of their own length, made of documents only if there are any.
 
@@ -27,6 +29,8 @@ WINDOW = 13
 GRAM = 8
 #: 20 * hits >= words makes a document contaminated.
 SHARE = 20
+#: Anchor words with which texts are passed over before they are hashed; with more, all texts are hashed.
+ANCHORS = 20_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,7 +85,14 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     source = source.withColumn("text_key", F.xxhash64("doc_id", "text"))
-    prints = source.select("doc_id", "text_key", words_of(F.col("text")).alias("w"))
+    # every window's longest word: a text with none of them holds no window
+    longest = F.expr(f"transform(sequence(1, greatest(size(item_words) - {window - 1}, 1)), i -> array_max(transform(slice(item_words, i, {window}), w -> struct(length(w) as n, w as w))).w)")
+    anchors = item_words.select(F.explode_outer(longest).alias("a")).where("a is not null").distinct()
+    anchors = anchors.agg(F.count(F.lit(1)).alias("n"), F.collect_list("a").alias("anchors")).where(F.col("n") <= ANCHORS)
+    candidates = source
+    if not anchors.isEmpty():
+        candidates = source.crossJoin(F.broadcast(anchors.select("anchors"))).where(F.arrays_overlap(words_of(F.col("text")), "anchors"))  # one row, of bounded size
+    prints = candidates.select("doc_id", "text_key", words_of(F.col("text")).alias("w"))
     found = None
     for k in lengths or [gram]:
         span = window - k + 1 if k == gram else 1
