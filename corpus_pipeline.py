@@ -33,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents of whose words less than one in twenty lies in benchmark windows."""
     hit = decontamination.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     rows = docs.withColumn("text_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    n_words = F.regexp_count(decontamination.lowered(F.col("text")), F.lit(decontamination.WORD))
+    n_words = decontamination.n_words_of(F.col("text"))
     bad = rows.select("text_key", n_words.alias("n_words")).join(hit, "text_key").where(decontamination.SHARE * F.col("n_hit") >= F.col("n_words")).select("text_key").distinct()
     return rows.join(bad, "text_key", "left_anti").select(docs.columns)
 

@@ -31,7 +31,6 @@ GRAM = 8
 SHARE = 20
 #: Anchor words with which texts are passed over before they are hashed; with more, all texts are hashed.
 ANCHORS = 20_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,6 +44,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lowered(text), _GAP), lambda w: w != "")
 
 
+def n_words_of(text: Column) -> Column:
+    """How many words a text has; letters needn't be lowered for that."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long")
+
+
 def _reach(df: DataFrame, column: str, k: int, combine) -> DataFrame:
     """Replaces an array by ``combine`` over the k elements from each position on, by doubling.
 
@@ -136,7 +140,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_hit, items, contaminated, and the columns to keep) for every row of docs."""
     found = hits(docs, items, window, gram).select("text_key", "n_hit", "items")
-    n_words = F.regexp_count(lowered(F.col("text")), F.lit(WORD)).cast("long")
+    n_words = n_words_of(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in keep if c not in ("doc_id", "text")))
     rows = rows.select(F.when(F.col("text").isNotNull(), F.xxhash64("doc_id", "text")).alias("text_key"), n_words.alias("n_words"), "doc_id", *(c for c in keep if c != "doc_id"))
     out = rows.join(found, "text_key", "left").drop("text_key")
