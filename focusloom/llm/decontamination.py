@@ -110,8 +110,9 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
         found = mine if found is None else found.unionByName(mine)
     found = materialize(found.distinct(), "fingerprints")
 
+    # texts are dealt out by key at every size: what hits grows with the documents and isn't broadcast
     # extend the hits: only documents that have some come here, each row with its words and one item's
-    texts = source.join(found.select("doc_id", "text_key").distinct().withColumnRenamed("doc_id", "_d"), "text_key", "left_semi").distinct()
+    texts = source.join(found.select("text_key").distinct().hint("merge"), "text_key", "left_semi").distinct()
     doc_side = texts.select("text_key", words_of(F.col("text")).alias("w"))
     # at most an item's fingerprints each
     per_item = found.groupBy("text_key", "doc_id", "item_key", "item_id").agg(F.collect_set(F.struct("k", "fp", "item_pos")).alias("seeds"), F.collect_set("fp").alias("fps"))
@@ -143,7 +144,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     n_words = n_words_of(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in keep if c not in ("doc_id", "text")))
     rows = rows.select(F.when(F.col("text").isNotNull(), F.xxhash64("doc_id", "text")).alias("text_key"), n_words.alias("n_words"), "doc_id", *(c for c in keep if c != "doc_id"))
-    out = rows.join(found, "text_key", "left").drop("text_key")
+    out = rows.join(found.hint("merge"), "text_key", "left").drop("text_key")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.col("items"), F.array().cast("array<bigint>")).alias("items"), ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"), *(c for c in keep if c != "doc_id"))
 
