@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
     gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = docs.withColumn("text_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     n_words = decontamination.n_words_of(F.col("text"))
     bad = rows.select("text_key", n_words.alias("n_words")).join(hit, "text_key").where(decontamination.SHARE * F.col("n_hit") >= F.col("n_words")).select("text_key").distinct()
-    return rows.join(bad, "text_key", "left_anti").select(docs.columns)
+    return rows.join(bad.hint("merge"), "text_key", "left_anti").select(docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     # the exact search
     texts = source.withColumnRenamed("doc_id", "id")
-    members = _blocked(groups.withColumnRenamed("component", "key"), ["key"], BLOCK).join(texts, "id")
+    members = _blocked(groups.withColumnRenamed("component", "key"), ["key"], BLOCK).hint("merge").join(texts, "id")
     linked = materialize(components(_exact(members, threshold)), "components")
 
     member = sets.join(classes, ["d1", "d2", "n"]).select("doc_id", "n", "id").join(linked, "id", "left")

@@ -214,4 +214,4 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, **sizes: int) -> Dat
             cols = list(zip(*out)) if out else [[]] * 4
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return source.join(by_doc, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+    return source.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
