@@ -68,6 +68,9 @@ def page(r: random.Random) -> str:
         return f"<header{c('header', 'top', 'masthead')}><p>{text(1, 8)}</p></header>"
 
     def comments() -> str:
+        if r.random() < 0.35:  # bare ones
+            inner = "".join(f"<p>{text(3, 40)}</p>" for _ in range(r.randint(1, 3)))
+            return f'<{r.choice(("div", "section"))} {r.choice(("class", "id"))}="{r.choice(("comments", "comment", "discussion", "replies"))}">{inner}</div></section>'
         rows = "".join(f'<{t}{c("comment", "reply", "comment-body")}><b>{short()}</b><p>{text(4, 60)}</p></{t}>' for t in [r.choice(("li", "div"))] for _ in range(r.randint(1, 5)))
         tag = r.choice(("section", "div", "ol"))
         return f'<{tag} {r.choice(("class", "id"))}="{r.choice(("comments", "discussion", "replies", "respond", "comment-list"))}"><h2>{r.choice(("Comments", "Responses", text(1, 3)))}</h2>{rows}</{tag}>'
@@ -115,7 +118,7 @@ def page(r: random.Random) -> str:
     out += [aside() for _ in range(r.choice((0, 1, 1, 1, 2)))]
     out.append(article())
     out += [aside() for _ in range(r.choice((0, 0, 0, 1, 2)))]
-    if r.random() < 0.35:
+    if r.random() < 0.45:
         out.append(comments())
     if r.random() < 0.2:
         out.append(menu())
