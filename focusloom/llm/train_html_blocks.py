@@ -135,7 +135,7 @@ def labelled(source: str) -> tuple[np.ndarray, np.ndarray]:
     return features(blocks), y
 
 
-def train(pages: int = 9000, epochs: int = 7, seed: int = 11, rate: float = 4e-3) -> Labeller:
+def train(pages: int = 10000, epochs: int = 8, seed: int = 12, rate: float = 4e-3) -> Labeller:
     r, g = random.Random(seed), np.random.default_rng(seed)
     data = [d for d in (labelled(page(r)) for _ in range(pages)) if len(d[1])]
     w = {}
