@@ -163,8 +163,7 @@ def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
 
 def entities_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """Distinct (entity, kind, canon) of all texts."""
-    some = docs.where(F.col(text).rlike("[0-9@]|Mr|Ms|Herr|Frau|Mon|Mad|Mme|Se|Sr|Гос"))
-    found = some.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(ANY), 0))).alias("entity")).where("entity is not null").distinct()
+    found = docs.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(ANY), 0))).alias("entity")).where("entity is not null").distinct()
     found = found.withColumn("kind", kind_of(F.col("entity")))
     return found.select("entity", "kind", canonical(F.col("kind"), F.col("entity")).alias("canon"))
 
@@ -183,10 +182,10 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     any_ = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
     clean = docs.where(~any_)
     whole = docs.where(any_).withColumn("_whole", F.struct(*(F.col(f"`{c}`") for c in docs.columns))).select("_whole", F.col(text).alias("_text")).withColumn("_key", F.xxhash64("_text"))
-    parts = whole.select("_key", "_text", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(ANY), 0))).alias("entity")).join(table, "entity")
+    parts = whole.select("_key", "_text", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(ANY), 0))).alias("entity")).join(table, "entity", "left")
     mapped = parts.groupBy("_key", "_text").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("_map"))
-    joined = whole.join(mapped, ["_key", "_text"])
+    joined = whole.join(mapped, ["_key", "_text"], "left")  # no row goes, whatever is found
     gaps, hits = F.split("_text", ANY, -1), F.regexp_extract_all("_text", F.lit(ANY), 0)
-    out = F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.when(h.isNull(), F.lit("")).otherwise(F.coalesce(F.try_element_at(F.col("_map"), h), F.lit(""))))), "")
+    out = F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.when(h.isNull(), F.lit("")).otherwise(F.coalesce(F.try_element_at(F.col("_map"), h), F.lit("[removed]"))))), "")
     replaced = joined.withColumn("_new", out).select(*(F.col("_new").alias(c) if c == text else F.col(f"_whole.`{c}`").alias(c) for c in docs.columns))
     return clean.unionByName(replaced)
