@@ -32,7 +32,7 @@ WINDOW = 20
 #: The sketch: DEPTH rows of 2**CELLS cells (a bit each once merged: 64 MB in all), in blocks of 2**BLOCK cells.
 DEPTH, CELLS, BLOCK = 2, 28, 20
 #: Windows held by a task before it sends off what it has.
-HELD = 4_000_000
+HELD = 1_500_000
 
 _NULL_ID = -(1 << 63)
 
