@@ -7,8 +7,9 @@ less item position) on which the item's words are then compared one by one, and
 what lies in equal spans of WINDOW words is hit. Texts that hold none of the
 benchmark's anchor words (each window's longest) are passed over before hashing,
 by which no window is missed. Items of fewer than WINDOW
-words are one window of their own length; items shorter than a k-gram have
-fingerprints of their own length, made of documents only if there are any.
+words are one window of their own length: winnowing doesn't promise to keep a
+fingerprint of them, so one is joined with all hashes of the documents, made only
+if there are such items; those shorter than a k-gram have hashes of their own length.
 
 Defined cases: null and wordless texts have no words, no hits, and are clean; an
 item without words has no window; repeated rows each get the same result (rows
@@ -85,7 +86,14 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
         items.select(F.col("item_id"), words_of(F.col("text")).alias("item_words")).where(F.size("item_words") > 0).distinct().withColumn("item_key", F.xxhash64("item_words"))
     )
     item_words = materialize(item_words, "benchmark")
-    lengths = sorted({min(r[0], gram) for r in item_words.select(F.least(F.size("item_words"), F.lit(gram))).distinct().collect()})  # at most ``gram`` rows
+    sizes = {r[0] for r in item_words.select(F.least(F.size("item_words"), F.lit(window))).distinct().collect()}  # at most ``window`` rows
+    lengths = sorted({min(n, gram) for n in sizes})
+    # (words hashed, least and greatest size of the items, hashes of a document that keep one)
+    groups = [(n, n, n, 1) for n in lengths if n < gram]
+    if any(gram <= n < window for n in sizes):
+        groups.append((gram, gram, window - 1, 1))
+    if window in sizes or not groups:
+        groups.append((gram, window, None, window - gram + 1))
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     source = source.withColumn("text_key", F.xxhash64("doc_id", "text"))
@@ -98,10 +106,10 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
         candidates = source.crossJoin(F.broadcast(anchors.select("anchors"))).where(F.arrays_overlap(words_of(F.col("text")), "anchors"))  # one row, of bounded size
     prints = candidates.select("doc_id", "text_key", words_of(F.col("text")).alias("w"))
     found = None
-    for k in lengths or [gram]:
-        span = window - k + 1 if k == gram else 1
-        of_items = item_words.where(F.size("item_words") >= k if k == gram else F.size("item_words") == k)
-        item_hashes = with_winnowed(with_grams(of_items, "item_words", "h", k), "h", "fps", span)
+    for k, least, greatest, span in groups:
+        of_items = item_words.where((F.size("item_words") >= least) & (F.lit(True) if greatest is None else F.size("item_words") <= greatest))
+        # an item of one window keeps its least hash
+        item_hashes = with_winnowed(with_grams(of_items, "item_words", "h", k), "h", "fps", window - k + 1)
         # an item's hash may stand at more than one place: all of them start diagonals
         kept_items = item_hashes.select("item_id", "item_key", "h", F.explode_outer("fps").alias("fp")).select("item_id", "item_key", "fp", F.posexplode_outer("h").alias("item_pos", "at")).where("at = fp").drop("at")
         doc_hashes = with_grams(prints, "w", "h", k).select("doc_id", "text_key", "h")

@@ -166,6 +166,23 @@ def test_decontamination_equals_plain(spark):
     assert decontamination.contamination(empty(docs), bench).count() == 0
 
 
+def test_decontamination_finds_items_of_every_length_inside_long_texts(spark):
+    w = random.Random(11)
+    word = lambda: "".join(w.choices("abcdefghijklmnop", k=6))
+    items, texts = [], []
+    for n in range(1, 14):
+        for i in range(12):
+            items.append((100 * n + i, " ".join(word() for _ in range(n))))
+            texts.append((100 * n + i, " ".join([*(word() for _ in range(30)), items[-1][1], *(word() for _ in range(30))])))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = rows_of(decontamination.digest(decontamination.contamination(docs, bench)))
+    assert sorted(got, key=str) == decontamination_plain(texts, items) and all(r[2] > 0 for r in got)
+    # items of one length only
+    some = [i for i in items if len(i[1].split()) == 9]
+    got = rows_of(decontamination.digest(decontamination.contamination(docs, bench.where("item_id between 900 and 999"))))
+    assert sorted(got, key=str) == decontamination_plain(texts, some)
+
+
 def library(text):
     return tokens.encoder(tokens.tokenizer_path()).full.encode(text or "", add_special_tokens=False).ids + [tokens.END_ID]
 
