@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 TRAIN_ROWS = 8_000
 #: Words in the lexicon at most, best first.
 LEXICON = 400
-#: A learnt word occurs in this share of the toxic training texts at least, and in this many contexts.
-LEAST_SHARE, LEAST_CONTEXTS = 0.02, 3
+#: A learnt word occurs in this many toxic contexts at least, and its counts differ from chance by
+#: this log-likelihood ratio (p < 0.01), however small its language's part of the toxic texts.
+LEAST_CONTEXTS, LEAST_RATIO = 3, 6.63
 #: Lengths of word beginnings that may become entries.
 BEGINNINGS = (4, 5, 6, 7)
 #: Natural log of how much more often it must stand in toxic texts.
@@ -141,8 +142,8 @@ def _training(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Weights and curve from a bounded sample of the labelled rows.
 
-    A word is counted by its distinct contexts (the words on both sides), so that
-    copies of one text count once.
+    A word is counted by its distinct contexts (the words on both sides) and
+    measured by the distinct texts of each kind, so that copies of one text count once.
     """
     train = _training(docs, labels, rows)
 
@@ -165,12 +166,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     counts = train.select("text", "toxic").mapInArrow(contexts, "word string, context long, toxic int").where("word <> ''")
     counts = counts.groupBy("word").agg(F.approx_count_distinct(F.when(F.col("toxic") == 1, F.col("context"))).alias("bad"), F.approx_count_distinct(F.when(F.col("toxic") == 0, F.col("context"))).alias("good"))
-    n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
+    n = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.countDistinct(F.xxhash64("text")).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return Model(dict(SEED))
     weight = F.log((F.col("bad") + 0.5) / (n[1] + 1)) - F.log((F.col("good") + 0.5) / (n[0] + 1))
-    best = counts.where((F.col("bad") >= max(LEAST_CONTEXTS, LEAST_SHARE * n[1]))).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
-    rows_of = best.orderBy(F.desc("weight"), "word").limit(LEXICON).collect()
+    both = (F.col("bad") + F.col("good")) / (n[0] + n[1])
+    ratio = 2 * (F.col("bad") * F.log(F.col("bad") / (both * n[1])) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (both * n[0]))).otherwise(0.0))
+    best = counts.where(F.col("bad") >= LEAST_CONTEXTS).withColumn("weight", weight).withColumn("ratio", ratio).where((F.col("weight") >= LEAST_WEIGHT) & (F.col("ratio") >= LEAST_RATIO))
+    rows_of = best.orderBy(F.desc("ratio"), "word").limit(LEXICON).collect()
     whole = [(r["word"], r["bad"]) for r in rows_of if not r["word"].endswith("*")]
     # a beginning that one whole word accounts for says no more than the word
     lexicon = {r["word"]: float(r["weight"]) for r in rows_of if not r["word"].endswith("*") or not any(w.startswith(r["word"][:-1]) and n >= 0.8 * r["bad"] for w, n in whole)}

@@ -319,6 +319,18 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs, empty(p("labels"))).count() == docs.count()
 
 
+def test_toxicity_keeps_rare_words_whatever_is_copied(spark):
+    w = random.Random(17)
+    text = lambda mark: " ".join([*("".join(w.choices("abcdefghijklmnop", k=5)) for _ in range(8)), mark, *("".join(w.choices("abcdefghijklmnop", k=5)) for _ in range(8))])
+    rows = [(text("harmless"), 0) for _ in range(300)] + [(text("villain"), 1) for _ in range(54)] + [(text("schurke"), 1) for _ in range(6)]
+    rows += [rows[300]] * 400  # copies of one toxic text
+    ids = [i for i in range(2000) if not toxicity.held_out(i)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(ids, rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, rows)], "doc_id long, toxic int")
+    automaton = toxicity.fit(docs, labels).automaton()
+    assert all(toxicity.evidence(f"so ein {word} da", automaton)[1] == n for word, n in (("villain", 1), ("schurke", 1), ("harmless", 0)))
+
+
 def test_surrogates(spark):
     text = "Mail JO.Doe4@Mail.example.com or jo.doe4@mail.example.com, card 4111 1111 1111 1111 = 4111111111111111, Mrs Anna Weber and Mrs Anna Weber, 10.1.2.3, v2.0."
     docs = odd_docs(spark).unionByName(spark.createDataFrame([(50, text, "en", "k", 0), (50, text, "en", "k", 0)], DOC))
