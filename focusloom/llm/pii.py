@@ -29,7 +29,8 @@ from focusloom.llm.common import discard, materialize
 
 #: The default key; give your own, and keep it secret.
 KEY = "focusloom"
-ATTEMPTS = 8
+#: Draws in the shape of an entity; after them addresses grow, and the last one gives up.
+ATTEMPTS, LAST = 8, 64
 
 # The patterns of entities, the first that matches wins.
 PATTERNS = {
@@ -107,9 +108,10 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     stream = _stream(key, kind, canon, attempt)
     swapped = _swap(canon, stream)
     # the last label of a domain stays
-    email = F.concat(_swap(F.regexp_replace(canon, r"\.[^.@]+$", ""), stream), F.regexp_extract(canon, r"\.[^.@]+$", 0))
+    more = F.when(attempt >= ATTEMPTS, F.substr(stream, F.lit(1), attempt - (ATTEMPTS - 1))).otherwise(F.lit(""))
+    email = F.concat(more, _swap(F.regexp_replace(canon, r"\.[^.@]+$", ""), stream), F.regexp_extract(canon, r"\.[^.@]+$", 0))
     octet = lambda i: F.pmod(_hex(stream, F.lit(i), 4), F.lit(254)).cast("int") + 1
-    head = F.when(canon.rlike(r"^10\."), F.concat_ws(".", F.lit("10"), octet(1))).when(canon.rlike(r"^192\.168\."), F.lit("192.168")).when(canon.rlike(r"^127\."), F.concat_ws(".", F.lit("127"), octet(1))).otherwise(F.concat_ws(".", octet(0), octet(1)))
+    head = F.when(canon.rlike(r"^10\."), F.concat_ws(".", F.lit("10"), octet(1))).when(canon.rlike(r"^192\.168\."), F.when(attempt < ATTEMPTS, F.lit("192.168")).otherwise(F.concat_ws(".", F.lit("10"), octet(1)))).when(canon.rlike(r"^127\."), F.concat_ws(".", F.lit("127"), octet(1))).otherwise(F.concat_ws(".", octet(0), octet(1)))
     ip = F.concat_ws(".", head, octet(2), octet(3))
     # the issuer's digit stays; the check digit is as right or wrong as it was
     body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(swapped, F.lit(2), F.length(canon) - 2))
@@ -119,8 +121,10 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     female, cyrillic = canon.rlike(FEMALE), canon.rlike(r"\p{IsCyrillic}")
     pool = lambda g, s: F.get(F.array(*map(F.lit, NAMES[g, s])), F.pmod(_hex(stream, F.lit(1), 4), F.lit(len(NAMES[g, s]))))
     first = F.when(cyrillic, F.when(female, pool("f", "cyrillic")).otherwise(pool("m", "cyrillic"))).otherwise(F.when(female, pool("f", "latin")).otherwise(pool("m", "latin")))
-    part = lambda pool_, i: F.get(F.array(*map(F.lit, pool_)), F.pmod(_hex(stream, F.lit(i), 4), F.lit(16)))
-    last = F.initcap(F.when(cyrillic, F.concat(*(part(_CYRILLIC, i) for i in (3, 5, 7)))).otherwise(F.concat(*(part(_SYLLABLES, i) for i in (3, 5, 7)))))
+    part = lambda pool_, i: F.get(F.array(*map(F.lit, pool_)), F.pmod(_hex(stream, i, 4), F.lit(16)))
+    # a syllable more with each attempt, so the number of surnames grows as needed
+    syllables = F.transform(F.sequence(F.lit(0), attempt + 2), lambda j: F.when(cyrillic, part(_CYRILLIC, j * 2 + 3)).otherwise(part(_SYLLABLES, j * 2 + 3)))
+    last = F.initcap(F.array_join(syllables, ""))
     title = F.regexp_extract(canon, r"^\S+", 0)
     name = F.when(canon.rlike(r"^\S+ \S+ \S+"), F.concat_ws(" ", title, first, last)).otherwise(F.concat_ws(" ", title, last))
     secret = F.concat(F.regexp_extract(canon, r"^(?:sk-|gh._|xox.-|akia|aiza)?", 0), _swap(F.regexp_replace(canon, r"^(?:sk-|gh._|xox.-|akia|aiza)", ""), stream, hexes=True))
@@ -145,7 +149,7 @@ def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     entities = materialize(found.select("kind", "canon").distinct(), "entities")
     todo = entities
     rounds = []
-    for attempt in range(ATTEMPTS):
+    for attempt in range(LAST):
         drawn = materialize(todo.select("kind", "canon", surrogate(key, F.col("kind"), F.col("canon"), F.lit(attempt)).alias("drawn")), "drawn")
         # free: nobody else's, no entity of the corpus, not taken in an earlier round
         mine = drawn.groupBy("kind", "drawn").agg(F.min("canon").alias("canon"))
@@ -156,8 +160,8 @@ def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
         todo = drawn.join(rounds[-1].select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon")
         if todo.isEmpty():
             break
-    else:  # as good as impossible: then the attempt's number makes them distinct
-        rounds.append(todo.select("kind", "canon", F.concat(F.lit("surrogate-"), F.sha2(F.concat_ws(":", F.lit(key), "kind", "canon"), 256)).alias("drawn")))
+    else:  # numbers of one form, most of which are entities themselves
+        raise ValueError(f"no distinct surrogates left for {[r['kind'] for r in todo.select('kind').distinct().collect()]}")
     return reduce(DataFrame.unionByName, rounds)
 
 

@@ -354,6 +354,16 @@ def test_surrogates(spark):
     assert len({d for _, _, d in drawn}) == 2000 and not {d for _, _, d in drawn} & {c for _, c, _ in drawn}
 
 
+def test_surrogates_keep_their_form_however_many_there_are(spark):
+    names = ["X" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(6000)]
+    got = rows_of(pii.pseudonymize(spark.createDataFrame([(i, f"Mr {n}") for i, n in enumerate(names)], "doc_id long, text string")))
+    assert len({t for _, t in got}) == len(names) and all(re.fullmatch("Mr [A-Z][a-z]+", t) for _, t in got)
+    # all one-letter addresses of a domain: none is left for the others
+    mails = [("email", f"{a}@{b}.co") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    drawn = rows_of(pii.surrogates(spark.createDataFrame(mails, "kind string, canon string")))
+    assert len({d for _, _, d in drawn} - {c for _, c, _ in drawn}) == len(mails) and all(re.fullmatch(r"[a-z0-9]+@[a-z]\.co", d) for _, _, d in drawn)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (2, 1, "bot", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "bot", "x"), (4, 0, "user", "a"), (4, 1, "bot", "b"), (4, 2, "user", "c"), (4, 2, "user", "c"), (5, 0, None, None), (None, 0, "u", "t")]
     rows += [(6, i, "user", str(i)) for i in range(700)] + [(7, i, "user", str(i)) for i in range(699)]
