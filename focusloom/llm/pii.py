@@ -4,6 +4,8 @@ One pattern finds e-mail addresses, secrets, national ids, IPv4 addresses, card
 and phone numbers, and names after a form of address. Each entity's surrogate is
 drawn from a keyed hash of its canonical form (lower case; digits only for
 numbers), so an entity has one surrogate in all documents however it is written;
+first names (with the gender of their form of address) and surnames are drawn
+apart, so all forms of a name agree, and where they stand alone in the same text they are replaced too;
 letters stay letters of their case, digits digits, signs where they were, card
 numbers keep a right or wrong check digit, private addresses stay private, and
 names keep script and the gender of their form of address.
@@ -43,6 +45,8 @@ PATTERNS = {
     "name": r"\b(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Where a word begins or ends.
+_EDGE = r"(?<=[\p{L}\p{M}\p{N}_])(?![\p{L}\p{M}\p{N}_])|(?<![\p{L}\p{M}\p{N}_])(?=[\p{L}\p{M}\p{N}_])"
 # Forms of address for women, and surrogate names by gender and script.
 FEMALE = r"^(?:Mrs|Ms|Frau|Madame|Mme|Señora|Sra|Госпожа)\b"
 NAMES = {
@@ -104,7 +108,11 @@ def _luhn(digits: Column) -> Column:
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The surrogate of a canonical entity (digits only for numbers; lower case for addresses and secrets)."""
+    """The surrogate of a canonical entity (digits only for numbers; lower case for addresses and secrets).
+
+    A surname is a kind of its own, and so is a first name, written f|Anna or
+    m|Karl. Both get a syllable more with each attempt, so their number grows as needed.
+    """
     stream = _stream(key, kind, canon, attempt)
     swapped = _swap(canon, stream)
     # the last label of a domain stays
@@ -118,17 +126,15 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     check = F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
     card = F.concat(body, F.pmod(check + F.when(_luhn(canon) == 0, 0).otherwise(1 + F.pmod(_hex(stream, F.lit(40), 3), F.lit(9))), F.lit(10)).cast("string"))
     phone = F.concat(F.when(F.length(canon) > 10, F.substr(canon, F.lit(1), F.length(canon) - 10)).otherwise(F.lit("")), F.substr(swapped, F.greatest(F.length(canon) - 9, F.lit(1)), F.lit(10)))
-    female, cyrillic = canon.rlike(FEMALE), canon.rlike(r"\p{IsCyrillic}")
+    female, cyrillic = canon.startswith("f|"), canon.rlike(r"\p{IsCyrillic}")
     pool = lambda g, s: F.get(F.array(*map(F.lit, NAMES[g, s])), F.pmod(_hex(stream, F.lit(1), 4), F.lit(len(NAMES[g, s]))))
     first = F.when(cyrillic, F.when(female, pool("f", "cyrillic")).otherwise(pool("m", "cyrillic"))).otherwise(F.when(female, pool("f", "latin")).otherwise(pool("m", "latin")))
     part = lambda pool_, i: F.get(F.array(*map(F.lit, pool_)), F.pmod(_hex(stream, i, 4), F.lit(16)))
-    # a syllable more with each attempt, so the number of surnames grows as needed
     syllables = F.transform(F.sequence(F.lit(0), attempt + 2), lambda j: F.when(cyrillic, part(_CYRILLIC, j * 2 + 3)).otherwise(part(_SYLLABLES, j * 2 + 3)))
     last = F.initcap(F.array_join(syllables, ""))
-    title = F.regexp_extract(canon, r"^\S+", 0)
-    name = F.when(canon.rlike(r"^\S+ \S+ \S+"), F.concat_ws(" ", title, first, last)).otherwise(F.concat_ws(" ", title, last))
+    first = F.concat(first, F.array_join(F.slice(syllables, F.lit(1), attempt), ""))
     secret = F.concat(F.regexp_extract(canon, r"^(?:sk-|gh._|xox.-|akia|aiza)?", 0), _swap(F.regexp_replace(canon, r"^(?:sk-|gh._|xox.-|akia|aiza)", ""), stream, hexes=True))
-    return F.when(kind == "email", email).when(kind == "ipv4", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "name", name).when(kind == "secret", secret).otherwise(swapped)
+    return F.when(kind == "email", email).when(kind == "ipv4", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "surname", last).when(kind == "first", first).when(kind == "secret", secret).otherwise(swapped)
 
 
 def _as_written(kind: Column, entity: Column, drawn: Column) -> Column:
@@ -139,7 +145,7 @@ def _as_written(kind: Column, entity: Column, drawn: Column) -> Column:
         lambda a, c: F.when(c.rlike(r"^[0-9]$"), F.struct(F.concat(a["out"], F.substr(drawn, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
     )["out"]
     upper = F.upper(entity)
-    return F.when(kind.isin("card", "phone", "national_id"), place).when((kind == "name") | (entity == F.lower(entity)), drawn).when(entity == upper, F.upper(drawn)).otherwise(
+    return F.when(kind.isin("card", "phone", "national_id"), place).when(entity == F.lower(entity), drawn).when(entity == upper, F.upper(drawn)).otherwise(
         F.array_join(F.transform(F.split(drawn, ""), lambda c, i: F.when(F.substr(entity, i + 1, F.lit(1)) == F.substr(upper, i + 1, F.lit(1)), F.upper(c)).otherwise(c)), "")
     )
 
@@ -153,7 +159,7 @@ def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
         drawn = materialize(todo.select("kind", "canon", surrogate(key, F.col("kind"), F.col("canon"), F.lit(attempt)).alias("drawn")), "drawn")
         # free: nobody else's, no entity of the corpus, not taken in an earlier round
         mine = drawn.groupBy("kind", "drawn").agg(F.min("canon").alias("canon"))
-        mine = mine.join(entities.select("kind", F.col("canon").alias("drawn")), ["kind", "drawn"], "left_anti")
+        mine = mine.join(entities.select("kind", F.when(F.col("kind") == "first", F.substring("canon", 3, 1 << 30)).otherwise(F.col("canon")).alias("drawn")), ["kind", "drawn"], "left_anti")
         for earlier in rounds:
             mine = mine.join(earlier.select("kind", "drawn"), ["kind", "drawn"], "left_anti")
         rounds.append(materialize(mine.select("kind", "canon", "drawn"), "surrogates"))
@@ -172,6 +178,24 @@ def entities_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.select("entity", "kind", canonical(F.col("kind"), F.col("entity")).alias("canon"))
 
 
+def _replacements(found: DataFrame, key: str) -> DataFrame:
+    """(entity, surrogate, bare) of found(entity, kind, canon); bare: what a name's parts become where they stand alone."""
+    name = F.col("kind") == "name"
+    gender = F.when(F.col("entity").rlike(FEMALE), "f|").otherwise("m|")
+    given = F.regexp_extract("entity", r"^\S+ (\S+) \S+$", 1)
+    names = found.where(name).select("entity", F.regexp_extract("entity", r"\S+$", 0).alias("last"), F.when(given != "", given).alias("given"), F.when(given != "", F.concat(gender, given)).alias("first"))
+    rest = found.where(~name)
+    parts = names.select(F.lit("surname").alias("kind"), F.col("last").alias("canon")).union(names.where("first is not null").select(F.lit("first"), "first"))
+    drawn = surrogates(rest.select("kind", "canon").union(parts), key)
+    none = F.array().cast("array<struct<word:string,rank:int,new:string>>")
+    table = rest.join(drawn, ["kind", "canon"]).select("entity", _as_written(F.col("kind"), F.col("entity"), F.col("drawn")).alias("surrogate"), none.alias("bare"))
+    of = lambda kind, old, new: drawn.where(F.col("kind") == kind).select(F.col("canon").alias(old), F.col("drawn").alias(new))
+    names = names.join(of("surname", "last", "new_last"), "last").join(of("first", "first", "new_first"), "first", "left")
+    one = lambda word, rank, new: F.struct(F.col(word).alias("word"), F.lit(rank).alias("rank"), F.col(new).alias("new"))
+    bare = F.when(F.col("first").isNull(), F.array(one("last", 0, "new_last"))).otherwise(F.array(one("last", 0, "new_last"), one("given", 1, "new_first")))
+    return table.union(names.select("entity", F.concat_ws(" ", F.regexp_extract("entity", r"^\S+", 0), "new_first", "new_last"), bare))
+
+
 def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with the entities in ``text`` replaced; all columns as they were, in their order.
 
@@ -179,17 +203,18 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     to meet their surrogates.
     """
     found = materialize(entities_of(docs, text), "found")
-    drawn = surrogates(found, key)
-    table = found.join(drawn, ["kind", "canon"]).select("entity", _as_written(F.col("kind"), F.col("entity"), F.col("drawn")).alias("surrogate"))
-    table = materialize(table, "replacements")
+    table = materialize(_replacements(found, key), "replacements")
     discard(found)
     any_ = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
     clean = docs.where(~any_)
     whole = docs.where(any_).withColumn("_whole", F.struct(*(F.col(f"`{c}`") for c in docs.columns))).select("_whole", F.col(text).alias("_text")).withColumn("_key", F.xxhash64("_text"))
     parts = whole.select("_key", "_text", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(ANY), 0))).alias("entity")).join(table, "entity", "left")
-    mapped = parts.groupBy("_key", "_text").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("_map"))
+    mapped = parts.groupBy("_key", "_text").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("_map"), F.array_sort(F.flatten(F.collect_list("bare"))).alias("_bare"))
+    # a word that is a surname and a first name in one text is taken for the surname
+    mapped = mapped.withColumn("_bare", F.expr("map_from_entries(transform(filter(_bare, (x, i) -> i = 0 or get(_bare, i - 1).word <> x.word), x -> struct(x.word, x.new)))"))
     joined = whole.join(mapped, ["_key", "_text"], "left")  # no row goes, whatever is found
     gaps, hits = F.split("_text", ANY, -1), F.regexp_extract_all("_text", F.lit(ANY), 0)
-    out = F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.when(h.isNull(), F.lit("")).otherwise(F.coalesce(F.try_element_at(F.col("_map"), h), F.lit("[removed]"))))), "")
+    alone = lambda g: F.when(F.coalesce(F.size("_bare"), F.lit(0)) < 1, g).otherwise(F.array_join(F.transform(F.split(g, _EDGE, -1), lambda w: F.coalesce(F.try_element_at(F.col("_bare"), w), w)), ""))
+    out = F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(alone(g), F.when(h.isNull(), F.lit("")).otherwise(F.coalesce(F.try_element_at(F.col("_map"), h), F.lit("[removed]"))))), "")
     replaced = joined.withColumn("_new", out).select(*(F.col("_new").alias(c) if c == text else F.col(f"_whole.`{c}`").alias(c) for c in docs.columns))
     return clean.unionByName(replaced)

@@ -364,6 +364,23 @@ def test_surrogates_keep_their_form_however_many_there_are(spark):
     assert len({d for _, _, d in drawn} - {c for _, c, _ in drawn}) == len(mails) and all(re.fullmatch(r"[a-z0-9]+@[a-z]\.co", d) for _, _, d in drawn)
 
 
+def test_surrogate_names_grow_with_their_number(spark):
+    found = [("surname", "X" + "".join(chr(97 + i // 26**k % 26) for k in range(4))) for i in range(6000)] + [("first", f"{g}|X{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(300) for g in "fm"]
+    drawn = rows_of(pii.surrogates(spark.createDataFrame(found, "kind string, canon string")))
+    assert len(drawn) == len({r[:2] for r in drawn}) == len({(k, d) for k, _, d in drawn}) == len(found)
+    assert all(re.fullmatch("[A-Z][a-z]+", d) for _, _, d in drawn)
+    assert all(d.startswith(pii.NAMES[c[0], "latin"]) for k, c, d in drawn if k == "first")
+
+
+def test_surrogates_of_all_forms_of_a_name_agree(spark):
+    texts = [(1, "Mrs Anna Weber met Mrs Weber. Frau Anna Weber left; Anna Weber, (Weber) and Weber's Annas."), (2, "Frau Weber. Anna."), (3, "Weber and Anna, a@b.co"), (4, "Herr Karl Weber")]
+    got = dict(rows_of(pii.pseudonymize(spark.createDataFrame(texts, "doc_id long, text string"))))
+    first, last = re.match(r"Mrs (\w+) (\w+) ", got[1]).groups()
+    assert got[1] == texts[0][1].replace("Weber", last).replace("Anna ", f"{first} ") and first.startswith(pii.NAMES["f", "latin"])
+    assert got[2] == f"Frau {last}. Anna." and got[3].startswith("Weber and Anna, ")
+    assert got[4].split()[0::2] == ["Herr", last] and got[4].split()[1].startswith(pii.NAMES["m", "latin"])
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (2, 1, "bot", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "bot", "x"), (4, 0, "user", "a"), (4, 1, "bot", "b"), (4, 2, "user", "c"), (4, 2, "user", "c"), (5, 0, None, None), (None, 0, "u", "t")]
     rows += [(6, i, "user", str(i)) for i in range(700)] + [(7, i, "user", str(i)) for i in range(699)]
