@@ -8,6 +8,7 @@ whole Arrow batches.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text handled at once by the numpy code; longer documents are one chunk each.
+#: Bytes of text handled at once by the numpy code; longer documents are one chunk each, and are hashed piece by piece.
 CHUNK_BYTES = 4 << 20
+#: Bytes of a batch that goes to a Python worker, where the session names no bound of its own.
+BATCH_BYTES = 4 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -26,15 +29,18 @@ LOWER[65:91] += 32
 
 _PRIME = 0x9E3779B97F4A7C13  # odd, 3 modulo 8
 _WORD_PRIME = 0xD6E8FEB86659FD93
-_BYTES = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Two tables: the hashes made with them are independent, and together name a word by 128 bits.
+_BYTES = [np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240131, 20240607)]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is set (tests)."""
+    """The folder that the driver and all executors share; a local one only for a local master that names none (tests)."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"{tempfile.gettempdir()}/focusloom-shared"
     return base.rstrip("/")
 
@@ -47,6 +53,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded in bytes: 10,000 long texts at once would fill a worker."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table written by :func:`materialize` that nothing reads any more."""
     jvm = df.sparkSession._jvm
@@ -58,10 +72,10 @@ def discard(df: DataFrame) -> None:
 def _power_tables(prime: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     got = _powers.get(prime)
     if got is None or len(got[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, CHUNK_BYTES + 1)
         make = lambda p: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, p, np.uint64))])
         got = (make(prime), make(pow(prime, -1, 1 << 64)))
-        if size <= 2 * CHUNK_BYTES:
+        if size <= CHUNK_BYTES + 1:  # a longer one is for a single huge word
             _powers[prime] = got
     return got
 
@@ -114,24 +128,39 @@ def split_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    n = len(data)
-    power, inverse = _power_tables(_PRIME, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * power[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, by one of two tables; works through CHUNK_BYTES at once (a longer word is one piece)."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        end = max(at + 1, int(np.searchsorted(ends, low + CHUNK_BYTES, "right")))
+        part = data[low : int(ends[end - 1])]
+        n = len(part)
+        power, inverse = _power_tables(_PRIME, n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[table][part] * power[:n], out=total[1:])
+        x, y = starts[at:end] - low, ends[at:end] - low
+        out[at:end] = mix((total[y] - total[x]) * inverse[x] + (y - x).astype(np.uint64))
+        at = end
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """The hash of the k words from each position on (those that run over the end are left out)."""
+    """The hash of the k words from each position on (those that run over the end are left out), piece by overlapping piece."""
     n = len(words)
     if n < k:
         return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(_WORD_PRIME, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * power[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * inverse[: n - k + 1])
+    out = np.empty(n - k + 1, np.uint64)
+    step = max(CHUNK_BYTES - k, k)
+    for at in range(0, len(out), step):
+        part = words[at : at + step + k - 1]
+        m = len(part)
+        power, inverse = _power_tables(_WORD_PRIME, m + 1)
+        total = np.zeros(m + 1, np.uint64)
+        np.cumsum(part * power[:m], out=total[1:])
+        out[at : at + step] = mix((total[k:] - total[:-k]) * inverse[: m - k + 1])
+    return out
 
 
 def positions_of(bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

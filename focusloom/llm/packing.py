@@ -2,8 +2,8 @@
 
 Each partition keeps a fixed number of open windows. A document's whole
 sequences leave at once; what remains goes to the window where it fits best. If
-it fits in none and all are open, the fullest window is topped up with the
-document's head and emitted full. At a partition's end its windows are merged
+it fits in none and all are open, the fullest window is emitted, filled up with
+the document's head in place of padding. At a partition's end its windows are merged
 the same way, and the one that is left (under 4096 tokens, ids included) goes on
 to a merge with those of MERGE other partitions. What is left there is cut into
 powers of two, which need no padding.
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from focusloom.llm.common import materialize
+from focusloom.llm.common import bounded_batches, materialize
 from focusloom.llm.tokens import encoded_rows, tokenizer_path
 
 SEQUENCE = 4096
@@ -153,20 +153,23 @@ def pack(docs: DataFrame, tokenizer: str | None = None, windows: int = OPEN_WIND
     def second(batches):
         group, packer = None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["group"] != group:
+            doc, start, total, groups = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "start", "doc_tokens", "group"))
+            lists = batch.column(batch.schema.get_field_index("ids"))
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint32)
+            for i, g in enumerate(groups):
+                if g != group:
                     if packer:
                         packer.close(packer.merge())
                         yield _frame(packer.rows)
-                    group = r["group"]
-                    packer = Packer((1 << 62) + (group << 32), 1, size)
-                packer.open.append([r["length"], [Piece(r["doc_id"], r["start"], r["doc_tokens"], np.array(r["ids"], np.uint32))]])
+                    group, packer = g, Packer((1 << 62) + (g << 32), 1, size)
+                mine = values[ends[i] : ends[i + 1]].copy()
+                packer.open.append([len(mine), [Piece(doc[i], start[i], total[i], mine)]])
         if packer:
             packer.close(packer.merge())
             yield _frame(packer.rows)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = materialize(source.mapInArrow(first, f"{PIECE}, ids array<int>"), "packed")
+    made = materialize(bounded_batches(source).mapInArrow(first, f"{PIECE}, ids array<int>"), "packed")
     left = made.where("ids is not null").withColumn("group", F.floor(F.col("sequence_id") / MERGE))
     merged = left.repartition("group").sortWithinPartitions("group", "sequence_id", "offset").mapInArrow(second, PIECE)
     return made.where("ids is null").drop("ids").unionByName(merged)

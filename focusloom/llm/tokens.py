@@ -2,9 +2,11 @@
 
 The tokenizer splits at white space before anything else, so a text's ids are
 the ids of its space-separated words in a row. Words repeat, so each worker
-keeps a bounded table of words by 64-bit hash; new words are encoded in bulk by
-the tokenizers library. Lower-case Latin words without marks need none of the
-file's normaliser and splitting rules and go straight to its byte-level model.
+keeps a bounded table of words by 128-bit hash; new words are encoded in bulk by
+the tokenizers library. A word that is Latin letters and then ASCII signs is
+looked up in two parts: its splitting rule parts letters from signs, and none of
+its normaliser's rules joins them. All other words are encoded whole. The Latin
+letters need none of the normaliser and go straight to the byte-level model.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ END_ID = 2
 #: Bytes of text encoded at once; longer texts go alone.
 CHUNK_BYTES = 16 << 20
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
+HASH = np.dtype([("a", np.uint64), ("b", np.uint64)])
 #: Words kept by each Python worker (some 100 bytes each); when they are more, it begins anew.
 CACHE_WORDS = 600_000
-#: Trailing signs that the tokenizer always parts from what stands before them.
+#: Trailing signs that the tokenizer parts from a word's letters, if nothing but letters of _LATIN stands before them.
 _SIGNS = ".,!?;:*#$%&\"'()[]{}-_/\\=+~`@^"
+_LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -42,31 +46,43 @@ def _byte_letters() -> dict[int, str]:
 
 
 def _string_hashes(words: pa.StringArray, cut: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the strings, or of what follows their first cut bytes."""
+    """Hashes (two each) of the strings, or of what follows their first cut bytes."""
     _, off, data = words.buffers()
     offsets = np.frombuffer(off, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     offsets -= offsets[0]
-    return word_hashes(raw, offsets[:-1] if cut is None else offsets[:-1] + cut, offsets[1:])
+    starts = offsets[:-1] if cut is None else offsets[:-1] + cut
+    out = np.empty(len(words), HASH)
+    out["a"], out["b"] = word_hashes(raw, starts, offsets[1:]), word_hashes(raw, starts, offsets[1:], 1)
+    return out
 
 
 class _Table:
-    """Hash -> place in the pool of ids."""
+    """Hash -> place in the pool of ids. Sorted by the first half of the hash; the second half confirms."""
 
     def __init__(self):
-        self.keys, self.first, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.checks, self.first, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(slots, positions of the hashes that aren't there)."""
         if not len(self.keys):
             return np.zeros(len(hashes), np.int64), np.arange(len(hashes))
-        slots = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return slots, np.flatnonzero(self.keys[slots] != hashes)
+        slots = np.minimum(np.searchsorted(self.keys, hashes["a"]), len(self.keys) - 1)
+        same = self.keys[slots] == hashes["a"]
+        other = np.flatnonzero(same & (self.checks[slots] != hashes["b"]))
+        for i in other.tolist():  # first halves that meet by chance stand side by side
+            k = int(slots[i])
+            while k < len(self.keys) and self.keys[k] == hashes["a"][i] and self.checks[k] != hashes["b"][i]:
+                k += 1
+            same[i] = k < len(self.keys) and self.keys[k] == hashes["a"][i]
+            slots[i] = min(k, len(self.keys) - 1)
+        return slots, np.flatnonzero(~same)
 
     def add(self, hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> None:
-        keys = np.concatenate([self.keys, hashes])
+        keys = np.concatenate([self.keys, hashes["a"]])
         order = np.argsort(keys, kind="stable")
-        self.keys, self.first, self.sizes = keys[order], np.concatenate([self.first, first])[order], np.concatenate([self.sizes, sizes])[order]
+        self.keys, self.checks = keys[order], np.concatenate([self.checks, hashes["b"]])[order]
+        self.first, self.sizes = np.concatenate([self.first, first])[order], np.concatenate([self.sizes, sizes])[order]
 
 
 class WordEncoder:
@@ -133,10 +149,10 @@ class WordEncoder:
         return slots
 
     def _add(self, hashes: np.ndarray, words: pa.StringArray) -> None:
-        """New words are a core and trailing signs; both are looked up by themselves."""
+        """New words of Latin letters and trailing signs are looked up in two parts; of others the second part is empty."""
         core = pc.utf8_rtrim(words, characters=_SIGNS)
-        latin = pc.match_substring_regex(core, "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$")
-        core = pc.if_else(latin, pc.utf8_lower(core), core)
+        latin = pc.match_substring_regex(core, _LATIN)
+        core = pc.if_else(latin, pc.utf8_lower(core), words)
         plain = latin.to_numpy(zero_copy_only=False) & self.short_cut
         length = pc.binary_length(core).to_numpy().astype(np.int64)
         a = self._piece_slots(_string_hashes(core), lambda at: (core.take(pa.array(at)).to_pylist(), plain[at]))

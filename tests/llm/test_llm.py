@@ -417,3 +417,69 @@ def test_pipeline_stages(spark):
     assert clean.columns == shape and {r.doc_id for r in clean.collect()} == {r[0] for r in decontamination_plain(texts.items(), items) if not r[5]}
     packed = pipeline.run(spark, SF)
     assert packed.select("doc_id").distinct().count() > 0.5 * len(texts)
+
+
+def test_substring_dedup_tells_rows_with_one_doc_id_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    mixed = " ".join([*a.split()[:40], *b.split()[:20]])  # windows of A, at A's places, in a third row of document 2
+    rows = [(1, a), (2, a), (2, b), (2, mixed), (3, mixed), (None, b), (None, a)]
+    for n in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        got = rows_of(substring_dedup.dedup_substrings(docs, 20, **SMALL_SKETCH))
+        assert sorted(map(str, got)) == sorted(map(str, substring_plain(rows, 20)))
+    kept = {r[3]: r[2] for r in rows_of(substring_dedup.dedup_substrings(spark.createDataFrame(rows[:3], "doc_id long, text string"), 20, **SMALL_SKETCH)) if r[0] == 2}
+    assert kept == {"": 60, b: 0}
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    from focusloom.llm import common
+
+    data = np.frombuffer((" ".join("".join(random.Random(i).choices("abcd", k=i % 90 + 1)) for i in range(400))).encode(), np.uint8)
+    starts, ends, _ = common.split_words(data, np.array([0, len(data)]))
+    whole = common.word_hashes(data, starts, ends), common.gram_hashes(common.word_hashes(data, starts, ends), 5)
+    monkeypatch.setattr(common, "CHUNK_BYTES", 64)
+    monkeypatch.setattr(common, "_powers", {})
+    pieces = common.word_hashes(data, starts, ends), common.gram_hashes(common.word_hashes(data, starts, ends), 5)
+    assert all((a == b).all() for a, b in zip(whole, pieces)) and (common.word_hashes(data, starts, ends, 1) != whole[0]).all()
+
+
+def test_word_encoder_gives_the_library_ids():
+    w = random.Random(1)
+    pools = ["abcdefghijkABC", "àéîößñÿÀÉÑµªº", "0123456789٣²½Ⅷ", ".,!?;:*#$%&\"'()[]{}-_/\\=+~`@^", "👍😀€→©™®¡—«»“”’", "İıſŸΣσςАБвё", "e̸ñḉ‍️­", "क़קּשׁÅﬁ", "<|>", "日本語한글ไทยعرب", "\x00\x01\x1c\x1f\x7f\x85\xa0 　", "\n\t\r\x0b\x0c "]
+    texts = []
+    for _ in range(100_000):
+        parts = []
+        for _ in range(w.randint(1, 10)):
+            pool = w.choice(pools)
+            parts += [*w.choices(pool, k=w.randint(1, 3)), *([" "] if w.random() < 0.25 else [])]
+        texts.append("".join(parts))
+    texts += ["great job 👍.", "wow 😀! ok", "price €!", "a →.", "© 2024 ©.", "see <@user>!", "x ->! y", "|#", "İ.", "a<|endoftext|>.", "it's 'll."]
+    import pyarrow as pa
+
+    e = tokens.WordEncoder(tokens.tokenizer_path(), cache_words=5000)
+    for at in range(0, len(texts), 9000):
+        mine = texts[at : at + 9000]
+        ids, ends = e.encode(pa.array(mine))
+        want = e.full.encode_batch_fast(mine, add_special_tokens=False)
+        assert [ids[a : b - 1].tolist() for a, b in zip(ends, ends[1:])] == [x.ids for x in want]
+
+
+def test_token_tables_are_read_in_part(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i} " * (i % 7)) for i in range(500)] + [(7, "a"), (7, "b c d e")], "doc_id long, text string")
+    token_store.write_token_table(docs, str(tmp_path / "t"), tokens.tokenizer_path(), row_group_bytes=1 << 12, page_bytes=1 << 10)
+    some = token_store.read_tokens(spark, str(tmp_path / "t"), 100, 110)
+    assert {r.doc_id: list(r.ids) for r in some.collect()} == {i: library(f"word{i} " * (i % 7)) for i in range(100, 111)}
+    plan = some._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(doc_id,100)" in plan
+    meta = token_store.read_metadata(spark, str(tmp_path / "t"))
+    assert "ids" not in meta._jdf.queryExecution().executedPlan().toString().replace("ids_", "")
+    rows = sorted((r.start, r.doc_id, r.n_tokens) for r in meta.collect())
+    at = 0
+    for start, doc, n in rows:  # starts are the places in the files, also of rows that share a doc_id
+        assert start == at
+        at += n
+    assert [d for _, d, _ in rows] == sorted(d for _, d, _ in rows)
+    digests = token_store.with_starts(token_store.read_digests(spark, str(tmp_path / "t")), meta)
+    stored = [i for r in spark.read.parquet(str(tmp_path / "t")).orderBy("part", "row").collect() for i in r.ids]
+    for r in digests.collect():
+        assert zlib.crc32(np.array(stored[r.start : r.start + r.n_tokens], np.uint32).tobytes()) == r.ids_crc32
