@@ -7,12 +7,12 @@ overestimate a window's count, so a window with one cell that was met once
 occurs once. Pass two sends only the others on, each task one row for each
 window (its earliest), so a window that all documents share is a row a task and
 not a row a document; sorted streams then find the earliest start of each
-exactly (64-bit hashes of whole words). The sketch has a fixed size: on much
+exactly (96 bits of hashes of whole words). The sketch has a fixed size: on much
 larger inputs it lets more single windows through to pass two, and loses none.
 
 Defined cases: a null text has no words; rows with equal doc_id are the same
-document: equal starts of theirs aren't earlier than each other, and what is
-removed at a start is removed in each of them; a null doc_id comes before all
+document: equal starts of theirs aren't earlier than each other, and a window
+that is removed at a start is removed there in each of them that has it; a null doc_id comes before all
 others; other columns are ignored, also ones named like ours; an empty table
 gives an empty one.
 """
@@ -26,25 +26,26 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from focusloom.llm.common import gram_hashes, mix, positions_of, split_words, text_chunks, word_hashes
+from focusloom.llm.common import bounded_batches, gram_hashes, mix, positions_of, split_words, text_chunks, word_hashes
 
 WINDOW = 20
 #: The sketch: DEPTH rows of 2**CELLS cells (a bit each once merged: 64 MB in all), in blocks of 2**BLOCK cells.
 DEPTH, CELLS, BLOCK = 2, 28, 20
-#: Windows held by a task before it sends off what it has.
-HELD = 1_500_000
+#: Windows held by a task before it notes their cells, and before it sends off what it has.
+HELD, SENT = 1_500_000, 1_500_000
 
 _NULL_ID = -(1 << 63)
 
 
 def _windows(batch: pa.RecordBatch, window: int):
-    """Of a batch (doc_id, text), chunk by chunk: each window's hash, document id and first word."""
+    """Of a batch (doc_id, text), chunk by chunk: each window's hash, its row, document id and first word, and a function that gives chosen windows 32 more bits."""
     ids = batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
     for a, b, data, offsets in text_chunks(batch.column(1)):
         starts, ends, bounds = split_words(data, offsets)
         at, doc = positions_of(bounds, window)
         if len(at):
-            yield gram_hashes(word_hashes(data, starts, ends), window)[at], ids[a:b][doc], (at - bounds[:-1][doc]).astype(np.int32)
+            more = lambda chosen: (gram_hashes(word_hashes(data, starts, ends, 1), window)[at[chosen]] >> np.uint64(32)).astype(np.uint32).view(np.int32)  # noqa: B023, E731
+            yield gram_hashes(word_hashes(data, starts, ends), window)[at], a + doc, ids[a:b][doc], (at - bounds[:-1][doc]).astype(np.int32), more
 
 
 def _cells(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -82,7 +83,7 @@ def sketch(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: int
                 yield pa.record_batch([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "cells"])
 
         for batch in batches:
-            for hashes, _, _ in _windows(batch, window):
+            for hashes, *_ in _windows(batch, window):
                 held.append(hashes)
                 count += len(hashes)
                 if count >= HELD:
@@ -92,11 +93,18 @@ def sketch(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: int
             yield from flush()
 
     def merge(batches):
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        """Over rows sorted by block: one block is held at a time."""
         unpack = zstandard.ZstdDecompressor()
+        now, once, more = None, np.zeros(1 << block, bool), np.zeros(1 << block, bool)
+        done = lambda: pa.record_batch([pa.array([now], pa.int32()), pa.array([np.packbits(more).tobytes()], pa.binary())], names=["block", "cells"])
         for batch in batches:
             for key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                once, more = seen.setdefault(key, (np.zeros(1 << block, bool), np.zeros(1 << block, bool)))
+                if key != now:
+                    if now is not None:
+                        yield done()
+                    now = key
+                    once.fill(False)
+                    more.fill(False)
                 n, wide = np.frombuffer(blob[:8], np.uint32).tolist()
                 raw = unpack.decompress(blob[8:], max_output_size=n + 4 * wide + n // 8 + 1)
                 gaps = np.frombuffer(raw, np.uint8, n).astype(np.uint32)
@@ -105,10 +113,11 @@ def sketch(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: int
                 again = np.unpackbits(np.frombuffer(raw[n + 4 * wide :], np.uint8), count=n).astype(bool)
                 more[at] |= again | once[at]
                 once[at] = True
-        if seen:
-            yield pa.record_batch([pa.array(list(seen), pa.int32()), pa.array([np.packbits(m).tobytes() for _, m in seen.values()], pa.binary())], names=["block", "cells"])
+        if now is not None:
+            yield done()
 
-    merged = docs.mapInArrow(note, "block int, cells binary").repartition("block").mapInArrow(merge, "block int, cells binary")
+    noted = bounded_batches(docs).mapInArrow(note, "block int, cells binary")
+    merged = noted.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, cells binary")
     out = np.zeros((depth << (cells - block), (1 << block) // 8), np.uint8)
     for key, blob in merged.toLocalIterator():  # a fixed size, one partition at a time
         out[key] = np.frombuffer(blob, np.uint8)
@@ -116,7 +125,10 @@ def sketch(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: int
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, pos, len): runs of window starts whose words also start earlier. A run may come in parts."""
+    """(doc_id, pos, len, sum): runs of window starts whose words also start earlier. A run may come in parts.
+
+    sum: of the windows' hashes, by which a run is told to be of one row and not of another with its doc_id.
+    """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(sketch(source, window, depth, cells, block))
@@ -128,67 +140,71 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cel
             often &= (bits[row][cell >> np.uint32(3)] >> (np.uint8(7) - (cell & np.uint32(7)).astype(np.uint8))) & 1 != 0
         return often
 
-    names = ["key", "doc_id", "pos", "len"]
+    names = ["key", "more", "doc_id", "pos", "len"]
 
     def send(batches):
         held: list[tuple] = []
-        count = 0
+        count = base = 0
 
         def flush():
-            h, d, p = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((p, d, h))
-            h, d, p = h[order], d[order], p[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
+            h, c, r, d, p = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((p, d, c, h))
+            h, c, r, d, p = h[order], c[order], r[order], d[order], p[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
             head = np.flatnonzero(new)
             mine = np.repeat(head, np.diff(np.append(head, len(h))))
             later = (d != d[mine]) | (p != p[mine])
-            yield pa.record_batch([pa.array(h[head].view(np.int64)), pa.array(d[head]), pa.array(p[head]), pa.array(np.zeros(len(head), np.int32))], names=names)
-            d, p = d[later], p[later]
-            order = np.lexsort((p, d))
-            d, p = d[order], p[order]
+            yield pa.record_batch([pa.array(h[head].view(np.int64)), pa.array(c[head]), pa.array(d[head]), pa.array(p[head]), pa.array(np.zeros(len(head), np.int32))], names=names)
+            h, r, d, p = h[later], r[later], d[later], p[later]
+            order = np.lexsort((p, r))
+            h, r, d, p = h[order], r[order], d[order], p[order]
             if len(d):
-                cut = np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)])
+                cut = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] > p[:-1] + 1)])
                 first = np.flatnonzero(cut)
-                last = np.append(first[1:], len(d)) - 1
-                yield pa.record_batch([pa.array(d[first]), pa.array(d[first]), pa.array(p[first]), pa.array((p[last] - p[first] + 1).astype(np.int32))], names=names)
+                sizes = np.diff(np.append(first, len(d))).astype(np.int32)
+                # a run's key is the sum of its hashes
+                yield pa.record_batch([pa.array(np.add.reduceat(h, first).view(np.int64)), pa.array(np.zeros(len(first), np.int32)), pa.array(d[first]), pa.array(p[first]), pa.array(sizes)], names=names)
 
         for batch in batches:
-            for h, d, p in _windows(batch, window):
-                keep = estimated(h)
-                held.append((h[keep], d[keep], p[keep]))
-                count += int(keep.sum())
-                if count >= HELD:
+            for h, r, d, p, more in _windows(batch, window):
+                keep = np.flatnonzero(estimated(h))
+                if len(keep):
+                    held.append((h[keep], more(keep), base + r[keep], d[keep], p[keep]))
+                    count += len(keep)
+                if count >= SENT:
                     yield from flush()
                     held, count = [], 0
+            base += batch.num_rows
         if count:
             yield from flush()
 
     def earliest(batches):
-        """Over rows sorted by (key, doc_id, pos): passes runs on, drops each key's first start."""
+        """Over rows sorted by (key, more, doc_id, pos): passes runs on, drops each key's first start."""
         last = None
         for batch in batches:
-            key, doc, pos, size = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key, more, doc, pos, size = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(key):
                 continue
             run = size > 0
-            k, d, p = key[~run], doc[~run], pos[~run]
+            k, c, d, p = key[~run], more[~run], doc[~run], pos[~run]
             later = np.zeros(len(k), bool)
             if len(k):
-                new = np.concatenate([[last is None or k[0] != last[0]], k[1:] != k[:-1]])
+                new = np.concatenate([[last is None or (k[0], c[0]) != last[:2]], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
                 head = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-                hd, hp = np.where(head < 0, last[1] if last else 0, d[head]), np.where(head < 0, last[2] if last else 0, p[head])
+                hd, hp = np.where(head < 0, last[2] if last else 0, d[head]), np.where(head < 0, last[3] if last else 0, p[head])
                 later = (d != hd) | (p != hp)
-                last = (k[-1], hd[-1], hp[-1])
-            yield pa.record_batch([pa.array(np.concatenate([doc[run], d[later]])), pa.array(np.concatenate([pos[run], p[later]])), pa.array(np.concatenate([size[run], np.ones(int(later.sum()), np.int32)]))], names=names[1:])
+                last = (k[-1], c[-1], hd[-1], hp[-1])
+            ones = np.ones(int(later.sum()), np.int32)
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in ((doc[run], d[later]), (pos[run], p[later]), (size[run], ones), (key[run], k[later]))], names=["doc_id", "pos", "len", "sum"])
 
-    sent = source.mapInArrow(send, "key long, doc_id long, pos int, len int")
-    return sent.repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(earliest, "doc_id long, pos int, len int")
+    sent = bounded_batches(source).mapInArrow(send, "key long, more int, doc_id long, pos int, len int")
+    return sent.repartition("key", "more").sortWithinPartitions("key", "more", "doc_id", "pos").mapInArrow(earliest, "doc_id long, pos int, len int, sum long")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row; kept: the words that stay, joined by one space."""
     runs = repeated_runs(docs, window, **sizes)
-    by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "len")).alias("runs"))
+    by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "len", "sum")).alias("runs"))
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def remove(batches):
@@ -198,12 +214,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, **sizes: int) -> Dat
             for a, b, data, offsets in text_chunks(texts):
                 starts, ends, bounds = split_words(data, offsets)
                 gone = np.zeros(len(starts) + 1, np.int64)
+                if any(runs_of[a:b]):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(gram_hashes(word_hashes(data, starts, ends), window), dtype=np.uint64)]).view(np.int64)
                 for i in range(a, b):
-                    first, end = bounds[i - a], bounds[i - a + 1]
+                    first, end = int(bounds[i - a]), int(bounds[i - a + 1])
                     for r in runs_of[i] or ():
-                        if r["pos"] + r["len"] + window - 1 <= end - first:  # else it is of another row with this doc_id
-                            gone[first + r["pos"]] += 1
-                            gone[first + r["pos"] + r["len"] + window - 1] -= 1
+                        x, y = first + r["pos"], first + r["pos"] + r["len"]
+                        if y + window - 1 <= end and (int(sums[y]) - int(sums[x]) - r["sum"]) % 2**64 == 0:  # else it is of another row with this doc_id
+                            gone[x] += 1
+                            gone[y + window - 1] -= 1
                 stay = np.cumsum(gone)[:-1] <= 0
                 raw = data.tobytes()
                 for i in range(a, b):
@@ -214,4 +233,4 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, **sizes: int) -> Dat
             cols = list(zip(*out)) if out else [[]] * 4
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return source.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+    return bounded_batches(source).join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
