@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from focusloom.llm.common import bounded_batches
+
 PATH_DIM, WORD_DIM, FIGURES, HIDDEN = 64, 32, 10, 20
 INPUT = PATH_DIM + WORD_DIM + FIGURES
 #: Blocks read at once: pages of like lengths together.
@@ -36,8 +38,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 _P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 
+# A quote opens a value only after "="; what isn't closed goes on to the page's end, so no part is read twice.
+_ATTRIBUTES = r"(?>=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)(?![a-z0-9:-]){_ATTRIBUTES}(?:>|\Z).*?(?:</\1(?![a-z0-9:-])[^>]*(?:>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)({_ATTRIBUTES})(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -82,8 +86,6 @@ def parse(source: str | None) -> list[Block]:
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if m[2] else 1
-            if m[4] and not m[2] and len(m[4]) > 200_000:
-                parts.append(" ")
             continue
         flush()
         if m[2]:
@@ -95,7 +97,7 @@ def parse(source: str | None) -> list[Block]:
         elif tag not in VOID:
             closing = CLOSES.get(tag, ()) or (("p",) if tag in _P_CLOSERS else ())
             if closing:
-                for i in range(len(stack) - 1, max(-1, len(stack) - 8), -1):
+                for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in closing:
                         del stack[i:]
                         break
@@ -252,4 +254,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return bounded_batches(source).mapInArrow(run, "page_id long, url string, text string, n_chars long")
