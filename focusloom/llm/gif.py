@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from focusloom.llm.common import bounded_batches
+
 #: Payloads are padded with 255 to a positive multiple of this (one row of samples).
 UNIT = 576
 #: Rows of samples in a frame at most.
@@ -196,13 +199,18 @@ def encode_bytes(payload: bytes, width: int = UNIT, rows: int = ROWS, delay: int
 
 def decode(data: bytes) -> list[Frame]:
     """All frames of a GIF, composed."""
+    return list(frames_of(data))
+
+
+def frames_of(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF one by one, so that only the canvases of the one that shows are held."""
     try:
-        return _decode(data)
+        yield from _decode(data)
     except (IndexError, KeyError) as e:
         raise GifError(f"the file ends early: {e}") from None
 
 
-def _decode(data: bytes) -> list[Frame]:
+def _decode(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise GifError("not a GIF")
     width, height = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
@@ -225,7 +233,6 @@ def _decode(data: bytes) -> list[Frame]:
     if data[10] & 0x80:
         shared, at = palette(data[10], at)
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     delay, disposal, transparent = 0, 0, None
     while data[at] != 0x3B:
         if data[at] == 0x21:
@@ -268,14 +275,13 @@ def _decode(data: bytes) -> list[Frame]:
         else:
             visible = part != transparent
             target[visible] = pixels[visible]
-        frames.append(Frame(left, top, w, h, delay, disposal, transparent, samples, colours, canvas))
+        yield Frame(left, top, w, h, delay, disposal, transparent, samples, colours, canvas)
         if disposal == 2:
             canvas = canvas.copy()
             canvas[top : top + y, left : left + x] = 0
         elif disposal == 3:
             canvas = before
         delay, disposal, transparent = 0, 0, None
-    return frames
 
 
 def histogram(frame: Frame) -> list[int]:
@@ -302,7 +308,7 @@ def encode_media(df: DataFrame, key: str, payload: str) -> DataFrame:
                 media.append(None if b is None else encode_bytes(b + b"\xff" * (-len(b) % UNIT if b else UNIT)))
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[key, "n_bytes", "media"])
 
-    return df.select(F.col(key).cast("long").alias(key), F.col(payload).cast("binary").alias("payload")).mapInArrow(run, f"{key} long, n_bytes long, media binary")
+    return bounded_batches(df).select(F.col(key).cast("long").alias(key), F.col(payload).cast("binary").alias("payload")).mapInArrow(run, f"{key} long, n_bytes long, media binary")
 
 
 def decode_media(df: DataFrame, key: str, media: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -319,16 +325,17 @@ def decode_media(df: DataFrame, key: str, media: str = "media", keep: tuple[str,
         if b is None:
             return row
         row |= {"media_bytes": len(b), "media_sha256": hashlib.sha256(b).hexdigest()}
+        digest, tail, size, clock, out = hashlib.sha256(), b"", 0, 0, []
         try:
-            frames = decode(b)
+            for i, f in enumerate(frames_of(b)):
+                part = f.shown[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes()
+                digest.update(part)
+                tail, size = (tail + part[-32:])[-32:], size + len(part)
+                out.append({"frame": i, "start_cs": clock, "delay_cs": f.delay, "width": f.width, "height": f.height, "histogram": histogram(f)})
+                clock += f.delay
         except GifError as e:
             return row | {"error": str(e)}
-        payload = b"".join(f.shown[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes() for f in frames)
-        out, clock = [], 0
-        for i, f in enumerate(frames):
-            out.append({"frame": i, "start_cs": clock, "delay_cs": f.delay, "width": f.width, "height": f.height, "histogram": histogram(f)})
-            clock += f.delay
-        return row | {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "frames": out}
+        return row | {"payload_bytes": size, "payload_sha256": digest.hexdigest(), "tail_crc32": zlib.crc32(tail), "frames": out}
 
     def run(batches):
         names = None
@@ -341,7 +348,7 @@ def decode_media(df: DataFrame, key: str, media: str = "media", keep: tuple[str,
             kinds = {"media_sha256": pa.string(), "payload_sha256": pa.string(), "error": pa.string(), "frames": pa.list_(pa.struct([("frame", pa.int32()), ("start_cs", pa.int32()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))]))}
             yield pa.record_batch([*batch.columns[:n], *(pa.array([r[k] for r in rows], kinds.get(k, pa.int64())) for k in names)], names=[*batch.schema.names[:n], *names])
 
-    return df.select(F.col(key).cast("long").alias(key), *keep, F.col(media).alias("media")).mapInArrow(run, schema)
+    return bounded_batches(df).select(F.col(key).cast("long").alias(key), *keep, F.col(media).alias("media")).mapInArrow(run, schema)
 
 
 def feature_text(frames: str = "frames"):
