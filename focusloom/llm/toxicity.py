@@ -24,6 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from focusloom.llm.common import bounded_batches
 
 #: Labelled training rows used at most, taken by hash of doc_id (a documented bound; more change little).
 TRAIN_ROWS = 8_000
@@ -199,9 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """The key and kept columns with evidence, matches and score of every row: one narrow pass over whole texts."""
-    cols = [F.col(key).cast("long").alias(key), *(F.col(c) for c in keep)]
-    shape = docs.select(*cols)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.schema) + ", evidence double, matches int, score double"
+    cols = [F.col(f"`{key}`").cast("long").alias(key), *(F.col(f"`{c}`") for c in keep)]
+    schema = StructType(docs.select(*cols).schema.fields).add("evidence", "double").add("matches", "integer").add("score", "double")
     n = len(cols)
 
     def run(batches):
@@ -212,7 +214,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str,
             score = 1 / (1 + np.exp(-(model.slope * e + model.bias)))
             yield pa.record_batch([*batch.columns[:n], pa.array(e), pa.array([g[1] for g in got], pa.int32()), pa.array(score)], names=[*batch.schema.names[:n], "evidence", "matches", "score"])
 
-    return docs.select(*cols, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(*cols, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
