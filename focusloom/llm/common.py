@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once by the numpy code; longer documents are one chunk each, and are hashed piece by piece.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 256 << 10
 #: Bytes of a batch that goes to a Python worker, where the session names no bound of its own.
 BATCH_BYTES = 4 << 20
 
@@ -49,7 +49,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns what is read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,16 +14,19 @@
 4. Candidate components get their full sets back and are searched the same way,
    now with exact intersections: a set is linked if any member of the group
    reaches 100 * intersection >= 85 * union with it. Components of more than
-   BLOCK sets are searched in pairs of blocks and joined up.
+   TEXTS sets are searched block by block, then over the blocks' groups by one
+   member of each; only if several groups are left in one component are all its
+   blocks compared in pairs, so that no link is lost.
 
-A pair at the least similarity is missed by all root nodes with a chance of
-0.15 ** TREES, some 3e-7; by the token filter, which is 5.2 deviations below
-0.85, with some 1e-7.
+Of a pair at similarity s a tree finds s at its root and, with two branches,
+1 - (1 - s) ** 2 of that at each level; all TREES miss a pair at 0.85 with a
+chance of some 3e-7 (at 0.8, of some 4e-7, by two trees more). The token filter,
+which is 5.2 deviations below the threshold, misses some 1e-7.
 
 Defined cases: null, empty and blank texts have empty sets, are linked with
 nothing and kept; with fewer than 5 words the whole sequence is one shingle;
-rows with equal doc_id are one document in the links, which hold for the shingles
-of all its rows together, and each row keeps its own n_shingles; rows without a
+rows with equal doc_id are one document: it has the links of each of its rows,
+and each row keeps its own n_shingles; rows without a
 doc_id are together one such document; other columns are
 ignored; an empty table gives an empty one.
 """
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from focusloom.llm.common import LOWER, gram_hashes, materialize, mix, split_words, text_chunks, word_hashes
+from focusloom.llm.common import LOWER, bounded_batches, discard, gram_hashes, materialize, mix, split_words, text_chunks, word_hashes
 from focusloom.llm.components import components
 
 SHINGLE = 5
@@ -43,10 +46,15 @@ SHINGLE = 5
 THRESHOLD = 85
 COORDINATES = 128
 TREES = 9
+#: Trees besides for a threshold under 85, at which each finds less.
+MORE_TREES = 2
 SMALL = 1024
-BRANCHES = 3
+#: Two are enough: 0.8 * 2 > 1, so a pair's paths don't die out, and members of large groups aren't carried into more nodes.
+BRANCHES = 2
 DEPTH = 2
 BLOCK = 4096
+#: Texts held by a task in the exact search (twice as many for a pair of blocks).
+TEXTS = 512
 
 _NULL_ID = -(1 << 63)
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,7 +77,7 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE):
                 yield a + i, np.zeros(0, np.uint64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, trees: int = TREES) -> DataFrame:
     """(doc_id, n, d1, d2, roots array<long>, tokens binary): one narrow pass over the texts."""
 
     def run(batches):
@@ -96,7 +104,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     d1[full] = np.add.reduceat(mix(sets + np.uint64(1)), first)
                     d2[full] = np.bitwise_xor.reduceat(mix(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
                 low = mix(low)
-                roots = low[:, :TREES].view(np.int64)
+                roots = np.ascontiguousarray(low[:, :trees]).view(np.int64)
                 tokens = (low & np.uint64(255)).astype(np.uint8)
                 out = pa.record_batch(
                     [
@@ -104,7 +112,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                         pa.array(sizes, pa.int64()),
                         pa.array(d1.view(np.int64)),
                         pa.array(d2.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * TREES), pa.array(np.ascontiguousarray(roots).ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * trees), pa.array(np.ascontiguousarray(roots).ravel())),
                         pa.array([t.tobytes() for t in tokens], pa.binary()),
                     ],
                     names=["doc_id", "n", "d1", "d2", "roots", "tokens"],
@@ -125,7 +133,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             if last is not None:
                 yield last
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, roots array<long>, tokens binary")
+    return bounded_batches(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, roots array<long>, tokens binary")
 
 
 def _blocked(df: DataFrame, keys: list[str], block: int) -> DataFrame:
@@ -212,68 +220,132 @@ def _candidates(nodes: DataFrame, threshold: int) -> DataFrame:
     return cols.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(run, "u long, v long")
 
 
+def _sets_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(rows, ids, sets) of a group's rows whose sets aren't empty."""
+    rows, sets, at = [], [], 0
+    for chunk in t.column("text").chunks:
+        for row, s in shingle_sets(chunk):
+            if len(s):
+                rows.append(at + row)
+                sets.append(s)
+        at += len(chunk)
+    return np.array(rows, np.int64), t.column("id").to_numpy()[rows] if rows else np.zeros(0, np.int64), sets
+
+
+def _linked(sets: list[np.ndarray], threshold: int):
+    """A function that tells which of some sets reach the threshold with one of them."""
+    sizes = np.array([len(s) for s in sets])
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(names), bool)
+
+    def close(at, rest):
+        fit = 100 * np.minimum(sizes[rest], sizes[at]) >= threshold * np.maximum(sizes[rest], sizes[at])
+        hit = np.zeros(len(rest), bool)
+        some = np.flatnonzero(fit)
+        if not len(some):
+            return hit
+        mine = codes[first[at] : first[at] + sizes[at]]
+        mark[mine] = True
+        n = sizes[rest[some]]
+        if len(some) * 2 > len(sets):
+            common = np.add.reduceat(mark[codes], first, dtype=np.int64)[rest[some]]
+        else:
+            ends = np.cumsum(n)
+            flat = np.repeat(first[rest[some]] - (ends - n), n) + np.arange(ends[-1])
+            common = np.add.reduceat(mark[codes[flat]], ends - n, dtype=np.int64)
+        mark[mine] = False
+        hit[some] = 100 * common >= threshold * (n + sizes[at] - common)
+        return hit
+
+    return close
+
+
+def _edges(us: list, vs: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+
 def _exact(members: DataFrame, threshold: int) -> DataFrame:
     """Edges (u, v) of the exact forest of each group. members: key, i, j, id, text."""
 
     def run(batches):
-        us, vs = [], []
         for t in _runs(batches, 3):
             if t.num_rows < 2:
                 continue
-            ids = t.column("id").to_numpy()
-            held: dict[int, list] = {}
-            for chunk_at, chunk in zip(np.cumsum([0] + [len(c) for c in t.column("text").chunks]), t.column("text").chunks):
-                for row, s in shingle_sets(chunk):
-                    held.setdefault(int(ids[chunk_at + row]), []).append(s)
-            own = list(held)
-            sets = [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in held.values()]
-            sizes = np.array([len(s) for s in sets])
-            names, codes = np.unique(np.concatenate(sets), return_inverse=True)
-            first = np.cumsum(sizes) - sizes
-            mark = np.zeros(len(names), bool)
+            _, ids, sets = _sets_of(t)
+            if len(sets) > 1:
+                pairs = _forest(len(sets), _linked(sets, threshold))
+                yield _edges([ids[a] for a, _ in pairs], [ids[b] for _, b in pairs])
 
-            def close(at, rest):
-                fit = 100 * np.minimum(sizes[rest], sizes[at]) >= threshold * np.maximum(sizes[rest], sizes[at])
-                hit = np.zeros(len(rest), bool)
-                some = np.flatnonzero(fit)
-                if not len(some):
-                    return hit
-                mine = codes[first[at] : first[at] + sizes[at]]
-                mark[mine] = True
-                n = sizes[rest[some]]
-                if len(some) * 2 > len(own):
-                    common = np.add.reduceat(mark[codes], first)[rest[some]]
-                else:
-                    ends = np.cumsum(n)
-                    flat = np.repeat(first[rest[some]] - (ends - n), n) + np.arange(ends[-1])
-                    common = np.add.reduceat(mark[codes[flat]], ends - n)
-                mark[mine] = False
-                common = common.astype(np.int64)
-                hit[some] = 100 * common >= threshold * (n + sizes[at] - common)
-                return hit
+    cols = members.select("key", "i", "j", "id", "text")
+    return bounded_batches(cols).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(run, "u long, v long")
 
-            for a, b in _forest(len(own), close):
-                us.append(own[a])
-                vs.append(own[b])
-        yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    cols = members.select("key", "i", "j", "id", "text")
-    return cols.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(run, "u long, v long")
+def _between(members: DataFrame, threshold: int) -> DataFrame:
+    """Edges (u, v) between the clusters of each group: what ``mine`` has is compared with all. members: key, i, j, mine, cluster, id, text."""
+
+    def run(batches):
+        for t in _runs(batches, 3):
+            rows, ids, sets = _sets_of(t)
+            if len(sets) < 2:
+                continue
+            mine, clusters = t.column("mine").to_numpy()[rows], t.column("cluster").to_numpy()[rows]
+            close, all_ = _linked(sets, threshold), np.arange(len(sets))
+            us, vs = [], []
+            for at in np.flatnonzero(mine).tolist():
+                other = all_[(clusters != clusters[at]) & ~mine]
+                found = other[close(at, other)] if len(other) else other
+                _, first = np.unique(clusters[found], return_index=True)  # one edge to each cluster
+                us += [ids[at]] * len(first)
+                vs += ids[found[first]].tolist()
+            yield _edges(us, vs)
+
+    cols = members.select("key", "i", "j", "mine", "cluster", "id", "text")
+    return bounded_batches(cols).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(run, "u long, v long")
+
+
+def _links(members: DataFrame, threshold: int) -> DataFrame:
+    """Edges (u, v) that join up what is linked in each group, exactly. members: key, id, text."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TEXTS).cast("int").alias("b"))
+    block = members.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("b")).cast("int"))
+    edges = materialize(_exact(block.withColumn("j", F.col("i")), threshold), "links")
+    large = block.where("b > 1").select("key", "id", "text")
+    if large.isEmpty():
+        return edges
+    # one member of each group of linked ones in a block
+    found = components(edges)
+    leaders = large.join(found.where("id = component").select("id"), "id")
+    edges = materialize(edges.union(_exact(_blocked(leaders, ["key"], TEXTS), threshold)), "links")
+    # groups that still aren't one: all but their largest cluster is compared with the whole group
+    clustered = materialize(large.join(components(edges), "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component"), "clusters")
+    counts = clustered.groupBy("key", "cluster").agg(F.countDistinct("id").alias("n"))
+    largest = counts.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("all"), F.max(F.struct("n", "cluster")).alias("m")).where("c > 1")
+    largest = materialize(largest.select("key", F.ceil(F.col("all") / TEXTS).cast("int").alias("b"), F.ceil((F.col("all") - F.col("m.n")) / TEXTS).cast("int").alias("q"), F.col("m.cluster").alias("top")), "largest")
+    if largest.isEmpty():
+        return edges
+    rest = clustered.join(largest, "key")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rest.where("cluster <> top").withColumn("i", deal("q")).withColumn("j", every("b")).withColumn("mine", F.lit(True))
+    right = rest.withColumn("j", deal("b")).withColumn("i", every("q")).withColumn("mine", F.lit(False))
+    return edges.union(_between(left.unionByName(right), threshold))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
+    trees = TREES + (MORE_TREES if threshold < THRESHOLD else 0)
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(signatures(source), "signatures")
+    signed = materialize(signatures(source, trees), "signatures")
     sets = signed.where("n > 0")
     classes = sets.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"))
     reps = materialize(sets.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "roots", "tokens")).alias("r")).select(F.col("r.doc_id").alias("id"), "n", "r.roots", "r.tokens"), "representatives")
 
     # the trees
     level = reps.select("id", F.posexplode("roots").alias("tree", "value")).select("id", F.xxhash64("tree", "value").alias("key"))
-    small = []
+    small, levels = [], []
     for depth in range(DEPTH + 1):
         level = materialize(level, "nodes")
+        levels.append(level)
         counts = level.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         last = depth == DEPTH
         shared = level.join(counts, "key")
@@ -288,15 +360,22 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         nodes = nodes.union(s)
     nodes = _blocked(nodes, ["key"], BLOCK).join(reps.select("id", "n", "tokens"), "id")
     groups = components(_candidates(nodes, threshold))
+    for table in (*levels, reps):
+        discard(table)
 
     # the exact search
     texts = source.withColumnRenamed("doc_id", "id")
-    members = _blocked(groups.withColumnRenamed("component", "key"), ["key"], BLOCK).hint("merge").join(texts, "id")
-    linked = materialize(components(_exact(members, threshold)), "components")
-
-    member = sets.join(classes, ["d1", "d2", "n"]).select("doc_id", "n", "id").join(linked, "id", "left")
-    named = member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    members = materialize(groups.select("id", F.col("component").alias("key")).hint("merge").join(texts, "id"), "members")
+    # a document of several rows stands for all their classes
+    named = sets.join(classes, ["d1", "d2", "n"]).select("doc_id", "n", "id")
+    several = named.groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("w")).where("v <> w").select("doc_id")
+    same = named.join(several, "doc_id").select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
+    linked = materialize(components(_links(members, threshold).union(same)), "components")
+    discard(members)
+
+    member = named.join(linked, "id", "left")
+    out = member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     alone = signed.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = named.union(alone)
+    out = out.union(alone)
     shown = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
     return out.select(shown("doc_id"), "n_shingles", shown("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
