@@ -1,14 +1,16 @@
 """Personal data replaced by keyed surrogates, in DataFrame functions alone.
 
-One pattern finds e-mail addresses, secrets, national ids, IPv4 addresses, card
-and phone numbers, and names after a form of address. Each entity's surrogate is
+One pattern finds e-mail addresses, secrets, national ids, IP addresses, card
+and phone numbers (in any script's digits; cards only with a right check digit),
+and names after a form of address. Texts are searched once: the rows and what was
+found in them are written to the shared folder, and all else reads that. Each entity's surrogate is
 drawn from a keyed hash of its canonical form (lower case; digits only for
 numbers), so an entity has one surrogate in all documents however it is written;
 first names (with the gender of their form of address) and surnames are drawn
 apart, so all forms of a name agree, and where they stand alone in the same text they are replaced too;
-letters stay letters of their case, digits digits, signs where they were, card
-numbers keep a right or wrong check digit, private addresses stay private, and
-names keep script and the gender of their form of address.
+letters stay letters of their case, digits digits of their script, signs where
+they were, card numbers keep a right check digit, private addresses stay private
+and public ones public, and names keep script and the gender of their form of address.
 
 Collision check: the surrogates of all distinct entities are compared with each
 other and with the entities themselves; where two would meet, all but the first
@@ -22,6 +24,7 @@ table gives an empty one.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,14 +37,18 @@ KEY = "focusloom"
 #: Draws in the shape of an entity; after them addresses grow, and the last one gives up.
 ATTEMPTS, LAST = 8, 64
 
-# The patterns of entities, the first that matches wins.
+#: Decimal digits of all scripts, ten in a row for each.
+DIGITS = "".join(chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) == "Nd")
+_D = r"[\p{Nd}&&[^\x{10000}-\x{10FFFF}]]"
+# The patterns of entities, the first that matches wins. None tries a run of letters again from within.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
+    "email": r"(?:(?<![\p{L}\p{N}._%+\-])|\G)[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-][\p{L}\p{N}\-.]*\.\p{L}{2,}",
     "secret": r"\b(?:sk-[A-Za-z0-9_\-]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AKIA[A-Z0-9]{16}|AIza[A-Za-z0-9_\-]{30,}|[0-9a-f]{32,64}|[0-9A-F]{32,64})\b",
-    "national_id": r"(?<![\p{N}\-])\p{N}{3}-\p{N}{2}-\p{N}{4}(?![\p{N}\-])",
+    "national_id": rf"(?<![\p{{N}}\-]){_D}{{3}}-{_D}{{2}}-{_D}{{4}}(?![\p{{N}}\-])",
     "ipv4": r"(?<![\p{N}.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![\p{N}]|\.[0-9])",
-    "card": r"(?<![0-9])(?:[0-9][ \-]?){12,18}[0-9](?![0-9])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{3,4}[ .\-][0-9]{3,4}(?![\p{L}\p{N}])",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "card": rf"(?<!{_D})(?:{_D}[ \-]?){{12,18}}{_D}(?!{_D})",
+    "phone": rf"(?<![\p{{L}}\p{{N}}])(?:\+{_D}{{1,3}}[ .\-]?)?(?:\({_D}{{2,4}}\)[ .\-]?|{_D}{{2,4}}[ .\-]){_D}{{3,4}}[ .\-]{_D}{{3,4}}(?![\p{{L}}\p{{N}}])",
     "name": r"\b(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -68,7 +75,7 @@ def kind_of(entity: Column) -> Column:
 
 def canonical(kind: Column, entity: Column) -> Column:
     """What makes two spellings the same entity."""
-    digits = F.regexp_replace(entity, r"[^\p{N}]", "")
+    digits = F.regexp_replace(F.translate(entity, DIGITS, "0123456789" * (len(DIGITS) // 10)), "[^0-9]", "")
     return F.when(kind.isin("card", "phone", "national_id"), digits).when(kind == "name", F.trim(entity)).otherwise(F.lower(entity))
 
 
@@ -83,6 +90,12 @@ def _hex(stream: Column, at: Column, n: int) -> Column:
     return F.conv(F.substr(stream, F.pmod(at * 3, F.lit(256 - n)) + 1, F.lit(n)), 16, 10).cast("int")
 
 
+def _digit_like(c: Column, digit: Column) -> Column:
+    """A digit (an integer) as the script of the digit c writes it."""
+    at = F.instr(F.lit(DIGITS), c)  # of the digit in c, from 1
+    return F.when(at > 0, F.substr(F.lit(DIGITS), at - F.pmod(at - 1, F.lit(10)) + digit, F.lit(1))).otherwise(digit.cast("string"))
+
+
 def _swap(text: Column, stream: Column, hexes: bool = False) -> Column:
     """Each digit for a digit, each letter for a letter of its case and alphabet."""
     letters = F.lit("abcdefghijklmnopqrstuvwxyz")
@@ -94,7 +107,7 @@ def _swap(text: Column, stream: Column, hexes: bool = False) -> Column:
         low = F.lower(c)
         pick = lambda pool, size: F.substr(pool, F.pmod(n, F.lit(size)) + 1, F.lit(1))
         letter = F.when(low.rlike(r"^[\p{IsCyrillic}]$"), pick(russian, 27)).when(low.rlike(r"^[\p{IsGreek}]$"), pick(greek, 24)).otherwise(pick(letters, 6 if hexes else 26))
-        return F.when(c.rlike(r"^[0-9]$"), F.pmod(n, F.lit(10)).cast("string")).when(c.rlike(r"^\p{L}$"), letter).otherwise(c)
+        return F.when(c.rlike(rf"^{_D}$"), _digit_like(c, F.pmod(n, F.lit(10)).cast("int"))).when(c.rlike(r"^\p{L}$"), letter).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -119,12 +132,18 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     more = F.when(attempt >= ATTEMPTS, F.substr(stream, F.lit(1), attempt - (ATTEMPTS - 1))).otherwise(F.lit(""))
     email = F.concat(more, _swap(F.regexp_replace(canon, r"\.[^.@]+$", ""), stream), F.regexp_extract(canon, r"\.[^.@]+$", 0))
     octet = lambda i: F.pmod(_hex(stream, F.lit(i), 4), F.lit(254)).cast("int") + 1
-    head = F.when(canon.rlike(r"^10\."), F.concat_ws(".", F.lit("10"), octet(1))).when(canon.rlike(r"^192\.168\."), F.when(attempt < ATTEMPTS, F.lit("192.168")).otherwise(F.concat_ws(".", F.lit("10"), octet(1)))).when(canon.rlike(r"^127\."), F.concat_ws(".", F.lit("127"), octet(1))).otherwise(F.concat_ws(".", octet(0), octet(1)))
+    ten, public = F.concat_ws(".", F.lit("10"), octet(1)), [n for n in range(1, 224) if n not in (10, 100, 127, 169, 172, 192, 198, 203)]
+    of_old = lambda pattern, new: F.when(canon.rlike(pattern), F.when(attempt < ATTEMPTS, new).otherwise(ten))
+    head = F.coalesce(
+        F.when(canon.rlike(r"^10\."), ten), of_old(r"^192\.168\.", F.lit("192.168")), of_old(r"^172\.(?:1[6-9]|2[0-9]|3[01])\.", F.concat(F.lit("172."), (F.pmod(_hex(stream, F.lit(1), 4), F.lit(16)) + 16).cast("string"))),
+        F.when(canon.rlike(r"^127\."), F.concat_ws(".", F.lit("127"), octet(1))), F.concat_ws(".", F.get(F.array(*map(F.lit, public)), F.pmod(_hex(stream, F.lit(0), 4), F.lit(len(public)))), octet(1)),
+    )
     ip = F.concat_ws(".", head, octet(2), octet(3))
-    # the issuer's digit stays; the check digit is as right or wrong as it was
+    # the first two signs tell an address's scope
+    ip6 = F.concat(F.substr(canon, F.lit(1), F.lit(2)), _swap(F.substr(canon, F.lit(3)), stream, hexes=True))
+    # the issuer's digit stays, and the check digit is right
     body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(swapped, F.lit(2), F.length(canon) - 2))
-    check = F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
-    card = F.concat(body, F.pmod(check + F.when(_luhn(canon) == 0, 0).otherwise(1 + F.pmod(_hex(stream, F.lit(40), 3), F.lit(9))), F.lit(10)).cast("string"))
+    card = F.concat(body, F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
     phone = F.concat(F.when(F.length(canon) > 10, F.substr(canon, F.lit(1), F.length(canon) - 10)).otherwise(F.lit("")), F.substr(swapped, F.greatest(F.length(canon) - 9, F.lit(1)), F.lit(10)))
     female, cyrillic = canon.startswith("f|"), canon.rlike(r"\p{IsCyrillic}")
     pool = lambda g, s: F.get(F.array(*map(F.lit, NAMES[g, s])), F.pmod(_hex(stream, F.lit(1), 4), F.lit(len(NAMES[g, s]))))
@@ -134,7 +153,7 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     last = F.initcap(F.array_join(syllables, ""))
     first = F.concat(first, F.array_join(F.slice(syllables, F.lit(1), attempt), ""))
     secret = F.concat(F.regexp_extract(canon, r"^(?:sk-|gh._|xox.-|akia|aiza)?", 0), _swap(F.regexp_replace(canon, r"^(?:sk-|gh._|xox.-|akia|aiza)", ""), stream, hexes=True))
-    return F.when(kind == "email", email).when(kind == "ipv4", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "surname", last).when(kind == "first", first).when(kind == "secret", secret).otherwise(swapped)
+    return F.when(kind == "email", email).when(kind == "ipv4", ip).when(kind == "ipv6", ip6).when(kind == "card", card).when(kind == "phone", phone).when(kind == "surname", last).when(kind == "first", first).when(kind == "secret", secret).otherwise(swapped)
 
 
 def _as_written(kind: Column, entity: Column, drawn: Column) -> Column:
@@ -142,7 +161,7 @@ def _as_written(kind: Column, entity: Column, drawn: Column) -> Column:
     place = F.aggregate(
         F.split(entity, ""),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda a, c: F.when(c.rlike(r"^[0-9]$"), F.struct(F.concat(a["out"], F.substr(drawn, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
+        lambda a, c: F.when(c.rlike(rf"^{_D}$"), F.struct(F.concat(a["out"], _digit_like(c, F.substr(drawn, a["at"], F.lit(1)).cast("int"))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
     )["out"]
     upper = F.upper(entity)
     return F.when(kind.isin("card", "phone", "national_id"), place).when(entity == F.lower(entity), drawn).when(entity == upper, F.upper(drawn)).otherwise(
@@ -171,11 +190,22 @@ def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     return reduce(DataFrame.unionByName, rounds)
 
 
-def entities_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct (entity, kind, canon) of all texts."""
-    found = docs.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(ANY), 0))).alias("entity")).where("entity is not null").distinct()
-    found = found.withColumn("kind", kind_of(F.col("entity")))
-    return found.select("entity", "kind", canonical(F.col("kind"), F.col("entity")).alias("canon"))
+def genuine(entity: Column) -> Column:
+    """Is what the pattern found an entity? Numbers of a card's length with a wrong check digit aren't."""
+    kind = kind_of(entity)
+    return (kind != "card") | (_luhn(canonical(kind, entity)) == 0)
+
+
+def found_in(text: Column) -> Column:
+    """All that the pattern finds in a text, in order."""
+    return F.regexp_extract_all(text, F.lit(ANY), 0)
+
+
+def entities_of(found: DataFrame, hits: str = "_hits") -> DataFrame:
+    """Distinct (entity, kind, canon) of all arrays of hits."""
+    entities = found.select(F.explode_outer(F.array_distinct(hits)).alias("entity")).where("entity is not null").distinct()
+    entities = entities.where(genuine(F.col("entity"))).withColumn("kind", kind_of(F.col("entity")))
+    return entities.select("entity", "kind", canonical(F.col("kind"), F.col("entity")).alias("canon"))
 
 
 def _replacements(found: DataFrame, key: str) -> DataFrame:
@@ -200,21 +230,26 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     """``docs`` with the entities in ``text`` replaced; all columns as they were, in their order.
 
     Texts without entities pass straight through; only the others are shuffled,
-    to meet their surrogates.
+    to meet their surrogates, by a row number that is written with them.
     """
-    found = materialize(entities_of(docs, text), "found")
+    whole = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    its_text = f"_whole.c{docs.columns.index(text)}"
+    marked = docs.select(F.monotonically_increasing_id().alias("_row"), whole.alias("_whole"), found_in(F.col(f"`{text}`").cast("string")).alias("_hits"))
+    marked = materialize(marked, "marked").withColumn("_any", F.coalesce(F.exists("_hits", genuine), F.lit(False)))
+    as_it_was = [F.col(f"_whole.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    clean = marked.where("not _any").select(*as_it_was)
+    hit = marked.where("_any").select("_row", "_whole", "_hits")
+    found = materialize(entities_of(hit), "found")
     table = materialize(_replacements(found, key), "replacements")
     discard(found)
-    any_ = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
-    clean = docs.where(~any_)
-    whole = docs.where(any_).withColumn("_whole", F.struct(*(F.col(f"`{c}`") for c in docs.columns))).select("_whole", F.col(text).alias("_text")).withColumn("_key", F.xxhash64("_text"))
-    parts = whole.select("_key", "_text", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(ANY), 0))).alias("entity")).join(table, "entity", "left")
-    mapped = parts.groupBy("_key", "_text").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("_map"), F.array_sort(F.flatten(F.collect_list("bare"))).alias("_bare"))
+    parts = hit.select("_row", F.explode(F.array_distinct("_hits")).alias("entity")).join(table, "entity")
+    mapped = parts.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_map"), F.array_sort(F.flatten(F.collect_list("bare"))).alias("_bare"))
     # a word that is a surname and a first name in one text is taken for the surname
     mapped = mapped.withColumn("_bare", F.expr("map_from_entries(transform(filter(_bare, (x, i) -> i = 0 or get(_bare, i - 1).word <> x.word), x -> struct(x.word, x.new)))"))
-    joined = whole.join(mapped, ["_key", "_text"], "left")  # no row goes, whatever is found
-    gaps, hits = F.split("_text", ANY, -1), F.regexp_extract_all("_text", F.lit(ANY), 0)
+    joined = hit.join(mapped, "_row", "left")  # no row goes, whatever is found
+    gaps = F.split(F.col(its_text).cast("string"), ANY, -1)
     alone = lambda g: F.when(F.coalesce(F.size("_bare"), F.lit(0)) < 1, g).otherwise(F.array_join(F.transform(F.split(g, _EDGE, -1), lambda w: F.coalesce(F.try_element_at(F.col("_bare"), w), w)), ""))
-    out = F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(alone(g), F.when(h.isNull(), F.lit("")).otherwise(F.coalesce(F.try_element_at(F.col("_map"), h), F.lit("[removed]"))))), "")
-    replaced = joined.withColumn("_new", out).select(*(F.col("_new").alias(c) if c == text else F.col(f"_whole.`{c}`").alias(c) for c in docs.columns))
+    new = lambda h: F.coalesce(F.try_element_at(F.col("_map"), h), F.when(genuine(h), F.lit("[removed]")).otherwise(h))
+    out = F.array_join(F.zip_with(gaps, "_hits", lambda g, h: F.concat(alone(g), F.when(h.isNull(), F.lit("")).otherwise(new(h)))), "")
+    replaced = joined.withColumn("_new", out).select(*(F.col("_new").alias(c) if c == text else old for c, old in zip(docs.columns, as_it_was)))
     return clean.unionByName(replaced)
