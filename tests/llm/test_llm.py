@@ -72,7 +72,7 @@ def test_substring_dedup_equals_plain(spark):
     assert rows_of(substring_dedup.dedup_substrings(empty(docs), 20, **SMALL_SKETCH)) == []
 
 
-def near_plain(rows):
+def near_plain(rows, threshold=85):
     sets = {}
     for i, t in rows:
         w = SPACED.findall((t or "").translate(ASCII))
@@ -87,7 +87,7 @@ def near_plain(rows):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 own[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
@@ -108,6 +108,7 @@ def test_near_duplicates_of_odd_inputs_and_large_nodes(spark, monkeypatch):
     # nodes that branch and components that are searched in blocks
     monkeypatch.setattr(near_dedup, "SMALL", 4)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "TEXTS", 3)
     w = random.Random(5)
     base = [w.choice("abcdefghij") * 3 + str(i % 50) for i in range(300)]
     rows = [(i, " ".join(x if w.random() > 0.012 * (i % 3) else f"n{w.random()}" for x in base)) for i in range(40)]
@@ -411,7 +412,7 @@ def test_pipeline_stages(spark):
     shape = docs.columns
     texts = {r.doc_id: r.text for r in docs.collect()}
     near = pipeline.drop_near_duplicates(spark, docs, SF)
-    assert near.columns == shape and {r.doc_id for r in near.collect()} == {i for i, v in near_plain(texts.items()).items() if v[2]}
+    assert near.columns == shape and {r.doc_id for r in near.collect()} == {i for i, v in near_plain(texts.items(), 80).items() if v[2]}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = pipeline.drop_contaminated(spark, docs, SF)
     assert clean.columns == shape and {r.doc_id for r in clean.collect()} == {r[0] for r in decontamination_plain(texts.items(), items) if not r[5]}
@@ -483,3 +484,154 @@ def test_token_tables_are_read_in_part(spark, tmp_path):
     stored = [i for r in spark.read.parquet(str(tmp_path / "t")).orderBy("part", "row").collect() for i in r.ids]
     for r in digests.collect():
         assert zlib.crc32(np.array(stored[r.start : r.start + r.n_tokens], np.uint32).tobytes()) == r.ids_crc32
+
+
+def test_near_duplicates_of_documents_with_several_rows(spark):
+    w = random.Random(9)
+    a, b, c = (" ".join("".join(w.choices("abcdef", k=5)) for _ in range(200)) for _ in range(3))
+    a2, c2 = a.replace(a.split()[50], "x"), c.replace(c.split()[50], "x")
+    rows = [(5, a), (5, b), (9, a), (7, c), (12, c), (12, b + " y"), (20, a2), (30, c2), (40, ""), (5, "")]
+    got = {(r[0], r[1]): r[2] for r in rows_of(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert {i for (i, n), k in got.items() if n and k == 5} == {5, 7, 9, 12, 20, 30}  # 5 and 12 meet by b, 7 and 30 come with c
+    assert got[40, 0] == 40
+
+
+def test_near_duplicates_in_blocks_lose_no_link(spark, monkeypatch):
+    """Groups that stay apart, groups that meet over one pair, in blocks of few texts."""
+    monkeypatch.setattr(near_dedup, "TEXTS", 4)
+    w = random.Random(13)
+    base = [f"{w.choice('abcdef') * 2}{i}" for i in range(400)]
+    rows = []
+    for i in range(90):  # a chain: each differs from the one before by a few words more
+        text = list(base)
+        for k in range(i):
+            text[(k * 37) % 400] = f"z{k // 3}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, " ".join(x if w.random() > 0.03 else f"n{w.random()}" for x in base)) for i in range(40)]
+    want = near_plain(rows)
+    assert 1 < len({v[1] for v in want.values()}) < len(rows)
+    assert {r[0]: r[1:] for r in rows_of(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))} == want
+
+
+def test_surrogates_are_distinct_agree_and_leak_nothing(spark):
+    """Texts made from templates: what stands between the entities stays, an entity has one surrogate, no two have the same."""
+    w = random.Random(23)
+    digits = lambda n: "".join(w.choices("0123456789", k=n))
+    letters = lambda n: "".join(w.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+
+    def card():
+        body = digits(15)
+        odd = [int(c) for c in body[::-1]]
+        return body + str(-sum(sum(divmod(2 * d, 10)) if i % 2 == 0 else d for i, d in enumerate(odd)) % 10)
+
+    kinds = {
+        "email": lambda: f"{letters(6)}.{letters(4)}@{letters(7)}.{w.choice(['com', 'org', 'co.uk'])}", "national_id": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", "ipv4": lambda: f"{w.choice(['10.1', '172.20', '192.168', '8.8', '81.2'])}.{w.randrange(256)}.{w.randrange(256)}",
+        "ipv6": lambda: f"2001:db8:{w.randrange(16**4):x}::{w.randrange(16**4):x}", "card": card, "phone": lambda: f"+{w.randrange(1, 99)} {digits(3)} {digits(4)}-{digits(4)}", "secret": lambda: f"sk-{''.join(w.choices('abcdefghij0123456789', k=24))}", "name": lambda: f"Frau X{letters(5)}",
+    }
+    pool = [(k, make()) for k, make in kinds.items() for _ in range(40)]
+    arabic = str.maketrans("0123456789", "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669")
+    docs = [(i, [w.choice(pool) for _ in range(w.randint(0, 6))]) for i in range(300)]
+    text = lambda own: "; ".join(f"<{letters(3)}> {e}" for _, e in own) + "."
+    rows = [(i, text(own)) for i, own in docs] + [(900, "id \u0661\u0662\u0663-\u0664\u0665-\u0666\u0667\u0668\u0669 and 123-45-6789"), (901, "4111 1111 1111 1112 is no card"), (902, f"\u00e9 {'4111 1111 1111 1111'.translate(arabic)}"), (903, None)]
+    got = dict(rows_of(pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert len(got) == len(rows) and got[903] is None and got[901] == rows[-3][1]
+    of: dict = {}
+    for (i, own), (_, before) in zip(docs, rows):
+        parts = re.fullmatch("".join(re.escape(x) + "(.+)" for x in re.split("|".join(re.escape(e) for _, e in own), before)[:-1]) + re.escape("."), got[i]).groups() if own else ()
+        assert own or got[i] == before
+        for (kind, e), new in zip(own, parts):
+            assert of.setdefault((kind, e), new) == new != e and re.sub(r"\w", "x", new) == re.sub(r"\w", "x", e) or kind in ("ipv4", "ipv6", "name")
+            assert kind != "ipv4" or (re.match(r"10\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.", e) is None) == (re.match(r"10\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.", new) is None)
+    assert len(set(of.values())) == len(of) and not set(of.values()) & {e for _, e in of}
+    a, b = re.fullmatch("id (.+) and (.+)", got[900]).groups()
+    assert a == b.translate(arabic) and b != "123-45-6789" and set(got[902][2:]) <= set("\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669 ") and got[902] != rows[-2][1]
+
+
+def test_surrogates_take_long_words_in_linear_time(spark):
+    import time
+
+    rows = [(1, "a" * 400_000), (2, "x@" + "a." * 100_000), (3, "@a" * 100_000), (4, "1" * 200_000), (5, "a" * 100_000 + " b@c.de")]
+    began = time.time()
+    got = dict(rows_of(pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert time.time() - began < 60 and got[1] == rows[0][1] and "b@c.de" not in got[5] and got[5].startswith("a" * 100_000 + " ")
+
+
+def test_surrogates_keep_odd_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.co", "z", 7)], "`doc id` long, text string, `_row` string, `a.b` long")
+    out = pii.pseudonymize(df)
+    assert out.columns == df.columns and out.first()[0::2] == (1, "z") and out.first()[1] != "a@b.co"
+
+
+def test_decontamination_of_long_and_repetitive_items(spark):
+    """Items of thousands of words, words that repeat, and a bit table that lets nearly everything through."""
+    w = random.Random(29)
+    long = [f"w{w.randrange(4000)}" for _ in range(6000)]
+    items = [(1, " ".join(long)), (2, "la " * 40), (3, " ".join(["a b c"] * 30)), (4, " ".join(f"q{i}" for i in range(3000)))]
+    docs = [(1, " ".join(long[1000:1500] + ["x"] + long[10:22])), (2, "la " * 12), (3, "la " * 13), (4, " ".join(["b c a"] * 10)), (5, " ".join(f"q{i}" for i in range(2990, 3000))), (6, "nothing " * 50), (7, " ".join(f"q{i}" for i in range(3000)))]
+    args = [spark.createDataFrame(x, f"{n} long, text string") for x, n in ((docs, "doc_id"), (items, "item_id"))]
+    assert sorted(rows_of(decontamination.digest(decontamination.contamination(*args))), key=str) == decontamination_plain(docs, items)
+    odd = args[0].select("doc_id", "text", F.lit(1).alias("text_key"), F.lit(2).alias("n_hit"), F.lit(3).alias("a b"), F.lit(4).alias("_key"))
+    kept = decontamination.clean(odd, args[1])
+    assert kept.columns == odd.columns and rows_of(kept) and all(r[2:] == (1, 2, 3, 4) for r in rows_of(kept))
+    assert {r[0] for r in rows_of(kept)} == {r[0] for r in decontamination_plain(docs, items) if not r[5]}
+
+
+def test_html_of_malformed_pages():
+    one = lambda body: html_blocks.parse(f"<html><body><article>{body}</article></body></html>")
+    texts = lambda body: [b.text for b in one(body)]
+    assert texts("<p title=don't>Hello there") == ["Hello there"]
+    assert texts("<p title=\"a > b\" class='x>y'>Hello</p>") == ["Hello"]
+    assert texts("ab<b class=" + "x" * 300_000 + ">cd</b>") == ["abcd"]
+    assert texts("<a href=x\">link</a> next") == ["link next"]
+    assert texts("1 < 2 and 3 > 2") == ["1 < 2 and 3 > 2"]
+    assert texts("a<script src='x>y'>if (a</b) {}</script>b<style>p{}</style >c") == ["abc"]
+    deep = "<ul>" + "<li><x1>" * 12 + "inner" + "<li>next</ul>after"
+    assert [b.text for b in one(deep)] == ["inner", "next", "after"]
+    assert len([t for t, _ in one("<dl><dt>" + "<y>" * 30 + "term<dd>meaning</dl>")[1].path]) == 5  # the term is closed however deep it is
+    import time
+
+    for piece in ("<a \"x ", "<a x=\"y ", "<!", "<p title='", "<script ", "<b>" * 3, "<div>"):
+        began = time.time()
+        html_blocks.extract([piece * 20_000 if piece != "<div>" else piece * 3000])
+        assert time.time() - began < 5, piece
+
+
+def test_pipeline_stages_take_odd_tables(spark):
+    """Nulls, empty, long and repeated texts, clashing and odd columns, an empty table: every stage against what it is to do."""
+    import corpus_pipeline as pipeline
+
+    docs = odd_docs(spark).withColumn("a b", F.lit(1)).withColumn("text_key", F.lit("k")).withColumn("_row", F.lit(2)).withColumn("n_words", F.lit(3)).withColumn("score", F.lit(0.9)).withColumn("kept", F.lit(False))
+    rows = {n: sorted(map(str, (r[:2] for r in rows_of(f(spark, docs, SF))))) for n, f in pipeline.STAGES[:4]}
+    own = sorted(map(str, (r[:2] for r in rows_of(docs))))
+    for _, stage in pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and all(r[5:] == (1, "k", 2, 3, 0.9, False) for r in rows_of(out))
+        assert rows_of(stage(spark, empty(docs), SF)) == []
+    assert rows["toxicity"] == rows["decontamination"] == own
+    plain = near_plain([(-1 if r[0] is None else r[0], r[1]) for r in docs.collect()], 80)
+    assert rows["near_dedup"] == sorted(str(r[:2]) for r in rows_of(docs) if plain[-1 if r[0] is None else r[0]][2])
+    assert len(rows["pii"]) == len(own) and [x for x in own if "Smith" not in x] == [x for x in rows["pii"] if "Mr " not in x]
+    packed = rows_of(pipeline.pack_sequences(spark, docs, SF))
+    want = collections.Counter(r[0] for r in rows_of(docs) for _ in library(r[1]))
+    got = collections.Counter()
+    for r in packed:
+        got[r[0]] += r[2]
+    assert got == want and pipeline.pack_sequences(spark, empty(docs), SF).count() == 0
+
+
+def test_toxicity_against_a_plain_matcher(spark):
+    """Scores of the fitted model, worked out word by word without the automaton."""
+    import math
+
+    p = lambda n: spark.read.parquet(f"{SF}/{n}.parquet")
+    model = toxicity.fit(p("documents"), p("labels"))
+    phrases = [x.split() for x in model.exceptions]
+    got = {r.doc_id: r.score for r in toxicity.scored(p("documents"), model).collect()}
+    for r in p("documents").collect():
+        words, total = toxicity.fold_words(r.text), 0.0
+        covered = {k for i in range(len(words)) for x in phrases if words[i : i + len(x)] == x for k in range(i, i + len(x))}
+        for i, w in enumerate(words):
+            own = [x for e, x in model.weights.items() if (w.startswith(e[:-1]) if e.endswith("*") else w == e)]
+            total += max(own, default=0.0) if i not in covered else 0.0
+        score = 1 / (1 + math.exp(-(model.slope * total / (1 + math.log1p(len(words) / toxicity.LENGTH_SCALE)) + model.bias)))
+        assert abs(score - got[r.doc_id]) < 1e-9
