@@ -1,7 +1,13 @@
 """A training corpus from ``documents``: each stage reads what its predecessor wrote.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of ``docs``.
+return the columns of ``docs``, also ones with odd or clashing names.
+
+Defined cases: a null or empty text isn't toxic, has no near copies, isn't
+contaminated, holds no personal data, and is packed as its end token alone. Of
+rows that share a doc_id, near copies of another document all go, since a
+document goes as a whole; toxicity and contamination are judged row by row. A
+null doc_id comes before all others, so the near-copy stage keeps it. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -12,30 +18,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from focusloom.llm import decontamination, near_dedup, packing, pii, toxicity
-from focusloom.llm.common import shared_dir
+from focusloom.llm.common import discard, shared_dir
+
+
+#: Texts are near copies of each other from this similarity on, in hundredths.
+NEAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    columns = docs.columns
-    whole = docs.select(F.col("doc_id").alias("_id"), F.col("text"), F.struct(*columns).alias("_row"))
-    return toxicity.scored(whole, model, "_id", ("_row",)).where("score < 0.5").select("_row.*")
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    whole = docs.select(F.col("doc_id").alias("_id"), F.col("text"), row.alias("_row"))
+    kept = toxicity.scored(whole, model, "_id", ("_row",)).where("score < 0.5")
+    return kept.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    gone = near_dedup.near_duplicates(docs, NEAR).where("not kept").select("doc_id")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than one in twenty lies in benchmark windows."""
-    hit = decontamination.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    rows = docs.withColumn("text_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    n_words = decontamination.n_words_of(F.col("text"))
-    bad = rows.select("text_key", n_words.alias("n_words")).join(hit, "text_key").where(decontamination.SHARE * F.col("n_hit") >= F.col("n_words")).select("text_key").distinct()
-    return rows.join(bad.hint("merge"), "text_key", "left_anti").select(docs.columns)
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +72,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
+        before = docs if k else None
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
+        if before is not None:
+            discard(before)
     return docs
