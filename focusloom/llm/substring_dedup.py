@@ -6,8 +6,9 @@ often; the tasks' sketches are merged cell block by cell block. Cells only ever
 overestimate a window's count, so a window with one cell that was met once
 occurs once. Pass two sends only the others on, each task one row for each
 window (its earliest), so a window that all documents share is a row a task and
-not a row a document; sorted streams then find the earliest start of each
-exactly (96 bits of hashes of whole words). The sketch has a fixed size: on much
+not a row a document; they travel as compressed columns, a bucket of hashes at a
+time, and the earliest start of each is then found bucket by bucket, exactly (96
+bits of hashes of whole words). The sketch has a fixed size: on much
 larger inputs it lets more single windows through to pass two, and loses none.
 
 Defined cases: a null text has no words; rows with equal doc_id are the same
@@ -32,7 +33,9 @@ WINDOW = 20
 #: The sketch: DEPTH rows of 2**CELLS cells (a bit each once merged: 64 MB in all), in blocks of 2**BLOCK cells.
 DEPTH, CELLS, BLOCK = 2, 28, 20
 #: Windows held by a task before it notes their cells, and before it sends off what it has.
-HELD, SENT = 1_500_000, 1_500_000
+HELD, SENT = 2_000_000, 800_000
+#: Buckets of hashes for each shuffle partition; one is held at a time.
+BUCKETS = 8
 
 _NULL_ID = -(1 << 63)
 
@@ -125,22 +128,51 @@ def sketch(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: int
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, pos, len, sum): runs of window starts whose words also start earlier. A run may come in parts.
+    """(doc_id, place, sum): runs of window starts whose words also start earlier. A run may come in parts.
 
-    sum: of the windows' hashes, by which a run is told to be of one row and not of another with its doc_id.
+    place: start << 32 | length; sum: of the windows' hashes, by which a run is told to be of one row and not of another with its doc_id.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(sketch(source, window, depth, cells, block))
+    # compressed, as most of it is zeros until it fills
+    shared = spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(sketch(source, window, depth, cells, block).tobytes()))
+    opened: list[np.ndarray] = []
 
     def estimated(hashes: np.ndarray) -> np.ndarray:
-        bits, often = shared.value.reshape(depth, -1), np.ones(len(hashes), bool)
+        if not opened:
+            opened.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(shared.value), np.uint8).reshape(depth, -1))
+        bits, often = opened[0], np.ones(len(hashes), bool)
         for row in range(depth):
             cell = _cells(hashes, row, cells)
             often &= (bits[row][cell >> np.uint32(3)] >> (np.uint8(7) - (cell & np.uint32(7)).astype(np.uint8))) & 1 != 0
         return often
 
-    names = ["key", "more", "doc_id", "pos", "len"]
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
+
+    def packed(h, c, d, p, n):
+        """Rows (hash, more of it, document, start, length of a run or 0) by bucket of their hash; h is sorted."""
+        pack = zstandard.ZstdCompressor(level=1)
+        cuts = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
+        full = np.flatnonzero(np.diff(cuts))
+        blobs = []
+        for k in full.tolist():
+            x, y = cuts[k], cuts[k + 1]
+            # byte by byte: the bytes that are alike in all rows of a bucket take no room
+            planes = b"".join(col[x:y].view(np.uint8).reshape(y - x, -1).T.tobytes() for col in (h, c, d, p, n))
+            blobs.append(int(y - x).to_bytes(4, "little") + pack.compress(planes))
+        return pa.record_batch([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
+
+    kinds = (np.uint64, np.int32, np.int64, np.int32, np.int32)
+
+    def unpacked(blob: bytes) -> list[np.ndarray]:
+        m = int.from_bytes(blob[:4], "little")
+        raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), np.uint8), [], 0
+        for kind in kinds:
+            wide = np.dtype(kind).itemsize
+            out.append(np.ascontiguousarray(raw[at : at + m * wide].reshape(wide, m).T).view(kind).ravel())
+            at += m * wide
+        return out
 
     def send(batches):
         held: list[tuple] = []
@@ -154,7 +186,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cel
             head = np.flatnonzero(new)
             mine = np.repeat(head, np.diff(np.append(head, len(h))))
             later = (d != d[mine]) | (p != p[mine])
-            yield pa.record_batch([pa.array(h[head].view(np.int64)), pa.array(c[head]), pa.array(d[head]), pa.array(p[head]), pa.array(np.zeros(len(head), np.int32))], names=names)
+            yield packed(h[head], c[head], d[head], p[head], np.zeros(len(head), np.int32))
             h, r, d, p = h[later], r[later], d[later], p[later]
             order = np.lexsort((p, r))
             h, r, d, p = h[order], r[order], d[order], p[order]
@@ -162,8 +194,9 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cel
                 cut = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] > p[:-1] + 1)])
                 first = np.flatnonzero(cut)
                 sizes = np.diff(np.append(first, len(d))).astype(np.int32)
-                # a run's key is the sum of its hashes
-                yield pa.record_batch([pa.array(np.add.reduceat(h, first).view(np.int64)), pa.array(np.zeros(len(first), np.int32)), pa.array(d[first]), pa.array(p[first]), pa.array(sizes)], names=names)
+                sums = np.add.reduceat(h, first)  # a run goes by the sum of its hashes
+                order = np.argsort(sums, kind="stable")
+                yield packed(sums[order], np.zeros(len(first), np.int32), d[first][order], p[first][order], sizes[order])
 
         for batch in batches:
             for h, r, d, p, more in _windows(batch, window):
@@ -179,32 +212,44 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cel
             yield from flush()
 
     def earliest(batches):
-        """Over rows sorted by (key, more, doc_id, pos): passes runs on, drops each key's first start."""
-        last = None
+        """Over rows sorted by bucket: passes runs on, drops each window's first start."""
+        held: list[list[np.ndarray]] = []
+        now = None
+
+        def done():
+            h, c, d, p, n = (np.concatenate(x) for x in zip(*held))
+            run = n > 0
+            rest = [(d[run], p[run], n[run], h[run])]
+            h, c, d, p = h[~run], c[~run], d[~run], p[~run]
+            if len(h):
+                order = np.lexsort((p, d, c, h))
+                h, c, d, p = h[order], c[order], d[order], p[order]
+                head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
+                mine = np.repeat(head, np.diff(np.append(head, len(h))))
+                later = (d != d[mine]) | (p != p[mine])
+                rest.append((d[later], p[later], np.ones(int(later.sum()), np.int32), h[later]))
+            d, p, n, h = (np.concatenate(x) for x in zip(*rest))
+            # 32 bits tell the rows of one document apart
+            return pa.record_batch([pa.array(d), pa.array(p.astype(np.int64) << 32 | n), pa.array(h.astype(np.uint32).view(np.int32))], names=["doc_id", "place", "sum"])
+
         for batch in batches:
-            key, more, doc, pos, size = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(key):
-                continue
-            run = size > 0
-            k, c, d, p = key[~run], more[~run], doc[~run], pos[~run]
-            later = np.zeros(len(k), bool)
-            if len(k):
-                new = np.concatenate([[last is None or (k[0], c[0]) != last[:2]], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-                head = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-                hd, hp = np.where(head < 0, last[2] if last else 0, d[head]), np.where(head < 0, last[3] if last else 0, p[head])
-                later = (d != hd) | (p != hp)
-                last = (k[-1], c[-1], hd[-1], hp[-1])
-            ones = np.ones(int(later.sum()), np.int32)
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in ((doc[run], d[later]), (pos[run], p[later]), (size[run], ones), (key[run], k[later]))], names=["doc_id", "pos", "len", "sum"])
-
-    sent = bounded_batches(source).mapInArrow(send, "key long, more int, doc_id long, pos int, len int")
-    return sent.repartition("key", "more").sortWithinPartitions("key", "more", "doc_id", "pos").mapInArrow(earliest, "doc_id long, pos int, len int, sum long")
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != now and held:
+                    yield done()
+                    held = []
+                now = bucket
+                held.append(unpacked(blob))
+        if held:
+            yield done()
+
+    sent = bounded_batches(source).mapInArrow(send, "bucket int, rows binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(earliest, "doc_id long, place long, sum int")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row; kept: the words that stay, joined by one space."""
     runs = repeated_runs(docs, window, **sizes)
-    by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "len", "sum")).alias("runs"))
+    by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("place", "sum")).alias("runs"))
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def remove(batches):
@@ -219,8 +264,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, **sizes: int) -> Dat
                 for i in range(a, b):
                     first, end = int(bounds[i - a]), int(bounds[i - a + 1])
                     for r in runs_of[i] or ():
-                        x, y = first + r["pos"], first + r["pos"] + r["len"]
-                        if y + window - 1 <= end and (int(sums[y]) - int(sums[x]) - r["sum"]) % 2**64 == 0:  # else it is of another row with this doc_id
+                        x = first + (r["place"] >> 32)
+                        y = x + (r["place"] & 0xFFFFFFFF)
+                        if y + window - 1 <= end and (int(sums[y]) - int(sums[x]) - r["sum"]) % 2**32 == 0:  # else it is of another row with this doc_id
                             gone[x] += 1
                             gone[y + window - 1] -= 1
                 stay = np.cumsum(gone)[:-1] <= 0
