@@ -171,7 +171,7 @@ def normalize_artifact(text: Column) -> Column:
 
 def sphere_tokens(text: Column) -> Column:
     words = F.split(normalize_artifact(text), " ")
-    return F.slice(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(C.SPHERE_STOPWORDS) & ~w.rlike("^[0-9]+$")), 1, 24)
+    return F.slice(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(list(C.SPHERE_STOPWORDS)) & ~w.rlike("^[0-9]+$")), 1, 24)
 
 
 def query_tokens(text: Column) -> Column:
@@ -179,7 +179,7 @@ def query_tokens(text: Column) -> Column:
 
 
 def theme_key(domain: Column, label: Column) -> Column:
-    words = F.filter(F.transform(F.regexp_extract_all(label, F.lit(r"[a-zA-Z][a-zA-Z0-9-]{2,}"), 0), F.lower), lambda w: ~w.isin(C.THEME_STOPWORDS))
+    words = F.filter(F.transform(F.regexp_extract_all(label, F.lit(r"[a-zA-Z][a-zA-Z0-9-]{2,}"), 0), F.lower), lambda w: ~w.isin(list(C.THEME_STOPWORDS)))
     top = F.slice(F.array_sort(F.array_distinct(words)), 1, 3)
     return F.concat(F.lower(domain), F.lit(":"), F.when(F.size(top) > 0, F.array_join(top, "-")).otherwise("general"))
 

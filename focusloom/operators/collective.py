@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
+import json
 import math
 import secrets
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from focusloom import config as C
@@ -55,33 +54,35 @@ def contributions(work: DataFrame, clip: int = 1, vocabulary=C.THEMES) -> DataFr
     return grid.join(counts, ["subject_id", "theme"], "left").select("subject_id", "position", "theme", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 
 
-def masked(values: DataFrame, secret: bytes, round_id: str) -> DataFrame:
-    """Each value with its subject's masks added, modulo 2^32.
+#: Subjects that agree on masks with each other; a cohort of more is dealt into groups of about so many.
+COHORT = 32
 
-    Masks are agreed on by neighbours in a ring of all subjects by key, each
-    pair's entering once with either sign, so they cancel in the sum and the
-    number of pairs is that of the subjects.
-    """
-    from pyspark.sql import Window
 
-    ring = values.select("subject_id").distinct()
-    order = Window.orderBy("subject_id")  # keys only
-    ring = ring.select("subject_id", F.coalesce(F.lead("subject_id").over(order), F.min("subject_id").over(Window.partitionBy(F.lit(0)))).alias("next"))
-    pairs = ring.where("subject_id <> next").select(F.explode(F.array(F.struct(F.col("subject_id"), F.col("next").alias("other"), F.lit(1).alias("sign")), F.struct(F.col("next").alias("subject_id"), F.col("subject_id").alias("other"), F.lit(-1).alias("sign")))).alias("p")).select("p.*")
-    rows = values.join(pairs, "subject_id", "left")
+def _hmac(secret: bytes, message: Column) -> Column:
+    """HMAC-SHA256 in hex, from Spark's own hashes."""
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytes(k ^ 0x36 for k in key)), message.cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(bytes(k ^ 0x5C for k in key)), F.unhex(inner)), 256)
 
-    @F.pandas_udf("long")
-    def mask(a: pd.Series, b: pd.Series, sign: pd.Series, position: pd.Series) -> pd.Series:
-        out = []
-        for x, y, s, k in zip(a, b, sign, position):
-            if y is None or s != s:
-                out.append(0)
-                continue
-            first, second = (x, y) if s > 0 else (y, x)
-            out.append(int(s) * int.from_bytes(hmac.new(secret, f"{round_id}|{first}|{second}|{k}".encode(), hashlib.sha256).digest()[:4], "big"))
-        return pd.Series(out, dtype="int64")
 
-    return rows.withColumn("m", mask("subject_id", "other", "sign", "position")).groupBy("subject_id", "position", "theme").agg(F.pmod(F.first("value") + F.sum("m"), F.lit(MODULUS)).alias("masked"))
+def masked(values: DataFrame, secret: bytes, round_id: str, cohort: int = COHORT) -> DataFrame:
+    """Each value with its subject's masks added, modulo 2^32.
+
+    All pairs of a group agree on a mask that enters once with either sign, so
+    masks cancel in the sum, and all others of a group would have to collude to
+    see one value. Up to ``cohort`` subjects are one group; more are dealt out by
+    hash, so that the number of pairs grows with the subjects and not with their square.
+    """
+    subjects = values.select("subject_id").distinct()
+    groups = subjects.agg(F.greatest(F.floor(F.count(F.lit(1)) / cohort), F.lit(1)).alias("_n"))
+    dealt = subjects.crossJoin(F.broadcast(groups)).select("subject_id", F.pmod(F.xxhash64("subject_id"), F.col("_n")).alias("_g"))  # one row
+    pairs = dealt.join(dealt.withColumnRenamed("subject_id", "other"), "_g").where("subject_id <> other").drop("_g")
+    first, second = F.least("subject_id", "other"), F.greatest("subject_id", "other")
+    rows = values.join(pairs, "subject_id", "left")
+    seed = F.concat_ws("|", F.lit(round_id), first, second, F.col("position").cast("string"))
+    drawn = F.conv(F.substr(_hmac(secret, seed), F.lit(1), F.lit(8)), 16, 10).cast("long")
+    mask = F.when(F.col("other").isNull(), 0).when(F.col("subject_id") < F.col("other"), drawn).otherwise(-drawn)
+    return rows.groupBy("subject_id", "position", "theme").agg(F.pmod(F.first("value") + F.sum(mask), F.lit(MODULUS)).alias("masked"))
 
 
 def secure_sum(contributed: DataFrame) -> DataFrame:
@@ -91,6 +92,57 @@ def secure_sum(contributed: DataFrame) -> DataFrame:
     return out.select("theme", checked.cast("long").alias("total"))
 
 
+def check_round(cohort: list[str], round_id: str, contributed: list[str], width: int, vocabulary=C.THEMES) -> None:
+    """Refuses a round whose masks can't cancel: a small or repeated cohort, missing or strange members, another width."""
+    if len(cohort) < 2 or len(set(cohort)) < len(cohort) or not all(cohort):
+        raise ValueError("a cohort is two or more different subjects")
+    if not round_id.strip():
+        raise ValueError("masks are bound to a round")
+    if set(contributed) != set(cohort) or len(contributed) != len(cohort):
+        raise ValueError("each member of the cohort contributes once")
+    if width != len(vocabulary):
+        raise ValueError("contributions don't have the declared vocabulary's width")
+
+
+def vocabulary_digest(version: str, themes=C.THEMES) -> str:
+    """What names a vocabulary: its version and its themes in order."""
+    return hashlib.sha256(json.dumps({"v": version, "t": list(themes)}, sort_keys=True).encode()).hexdigest()[:16]
+
+
+def load_vocabulary(text: str) -> tuple[str, list[tuple[str, str]], str]:
+    """(version, [(theme, description)], digest) of a vocabulary in JSON; a mistake fails the load."""
+    raw = json.loads(text)
+    version, entries = str(raw.get("version") or "").strip(), raw.get("themes")
+    if not version or not isinstance(entries, list) or not entries:
+        raise ValueError("a vocabulary has a version and themes")
+    rows = [(str((x if isinstance(x, dict) else {}).get("id") or "").strip(), str((x if isinstance(x, dict) else {}).get("description") or "").strip()) for x in entries]
+    if not all(a and b for a, b in rows) or len({a for a, _ in rows}) < len(rows):
+        raise ValueError("each theme has an id of its own and a description")
+    return version, rows, vocabulary_digest(version, [a for a, _ in rows])
+
+
+def synthesize(totals: DataFrame, cohort: Column, floor: int, cap: int = 24, epsilon: float = 0.0) -> DataFrame:
+    """totals(theme, total) of a masked round -> themes over the floor, with their share and interval, and how many were withheld, as a band.
+
+    epsilon: noise of scale 1 / epsilon is added to each total before the floor, none by default.
+    """
+    if floor < 2:
+        raise ValueError("a floor under 2 would show single subjects")
+    noise = F.udf(lambda: discrete_laplace(1 / epsilon), "long").asNondeterministic()() if epsilon > 0 else F.lit(0)
+    rows = totals.select("theme", F.greatest(F.col("total") + noise, F.lit(0)).alias("subjects"), cohort.alias("cohort"))
+    below = F.count_if(F.col("subjects") < floor).over(Window.partitionBy(F.lit(0)))  # as many rows as the vocabulary has themes
+    band = F.when(below == 0, "none").when(below <= 2, "1-2").when(below <= 5, "3-5").otherwise("6+")
+    share = F.least("subjects", "cohort") / F.col("cohort")
+    rows = rows.withColumn("withheld", band).where((F.col("subjects") >= floor) & (F.col("cohort") >= floor))
+    interval = wilson(F.least("subjects", "cohort"), F.col("cohort"))
+    return rows.select("theme", "subjects", F.round(share, 3).alias("share"), interval["low"].alias("low"), interval["high"].alias("high"), "withheld").orderBy(F.desc("subjects"), "theme").limit(cap)
+
+
+def subjects_seen(events: DataFrame) -> DataFrame:
+    """How many subjects there are at all, also those without any work to count."""
+    return events.where("trim(subject_id) <> ''").agg(F.countDistinct("subject_id").alias("subjects_seen"))
+
+
 def wilson(successes: Column, trials: Column, z: float = 1.96) -> Column:
     p = successes / trials
     d = 1 + z**2 / trials
@@ -103,10 +155,9 @@ def discrete_laplace(scale: float) -> int:
     """Two-sided geometric noise from the system's random source; none for a scale of 0 or less."""
     if scale <= 0:
         return 0
-    p = 1 - math.exp(-1 / scale)
 
     def geometric() -> int:
         u = (secrets.randbits(53) + 1) / 2**53
-        return int(math.floor(math.log(u) / math.log(1 - p)))
+        return int(math.floor(-math.log(u) * scale))
 
     return geometric() - geometric()

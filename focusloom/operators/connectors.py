@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from focusloom import config as C
 from focusloom.functions.text import redact
@@ -230,6 +231,28 @@ def apply(events: DataFrame, surfaces: dict[str, Column], depth: int, manifests:
     return df.select(*kept, F.coalesce(*results).alias("structured"))
 
 
+def payload(**known: Column) -> Column:
+    """A payload struct with the fields given; the others are null."""
+    return F.struct(*((known[f.name] if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(PAYLOAD)))
+
+
+def apply_each(events: DataFrame, surfaces: dict[str, Column], depth: int, manifests: list[Manifest] | None = None, cfg: C.Config = C.Config()) -> DataFrame:
+    """:func:`apply`, one plan for each manifest over its apps' events; what no manifest knows has a null struct.
+
+    An app belongs to the first manifest that names it.
+    """
+    manifests, app = load() if manifests is None else manifests, F.lower(F.trim(F.coalesce("app", F.lit(""))))
+    parts, taken = [], set()
+    for m in manifests:
+        own = [a.lower() for a in m.apps if a.lower() not in taken]
+        taken |= set(own)
+        if own:
+            parts.append(apply(events.where(app.isin(*own)), surfaces, depth, [m], cfg))
+    rest = events.where(~app.isin(*sorted(taken))) if taken else events
+    empty = parts[0].schema["structured"].dataType if parts else None
+    return reduce(DataFrame.unionByName, parts, rest.withColumn("structured", F.lit(None).cast(empty))) if parts else rest
+
+
 def activity(events: DataFrame) -> DataFrame:
     """What the connectors did: events and mean confidence by connector."""
     s = events.where("structured.status = 'captured'").select("structured.*")

@@ -75,12 +75,42 @@ def resume_events(found: DataFrame, gap_minutes: int = GAP_MINUTES, substantive:
     return found.groupBy("subject_id").applyInPandas(scan, "subject_id string, left_run long, back_run long, cluster string, resume_seconds double, gap_seconds double")
 
 
-def distribution(values: DataFrame, column: str, by: str | None = None) -> DataFrame:
-    """n, quartiles, p90, extremes: the value at the half-even rounded place of each fraction."""
-    v = F.array_sort(F.collect_list(column))
-    out = values.groupBy(*([by] if by else [])).agg(v.alias("v"))
-    n = F.size("v")
-    at = lambda f: F.when(n > 0, F.get("v", F.bround(F.lit(f) * (n - 1)).cast("int")))
-    median = F.when(n > 0, (F.get("v", F.floor((n - 1) / 2).cast("int")) + F.get("v", F.ceil((n - 1) / 2).cast("int"))) / 2)
-    named = {"n": n.cast("long"), "median": median, "p25": at(0.25), "p75": at(0.75), "p90": at(0.9), "least": at(0.0), "most": at(1.0)}
-    return out.select(*([by] if by else []), *(c.alias(k) for k, c in named.items()))
+#: Fractions whose places a distribution tells.
+PLACES = {"p25": 0.25, "p75": 0.75, "p90": 0.9, "least": 0.0, "most": 1.0}
+
+
+def distribution(values: DataFrame, column: str, by: str | None = None, width: float = 1.0) -> DataFrame:
+    """n, quartiles, p90, extremes: the value at the half-even rounded place of each fraction; no row for no values.
+
+    Equal values are counted, counts are summed over buckets of ``width``, and
+    only the buckets that hold a place are looked into: no task gets a group's values.
+    """
+    group = F.col(by) if by else F.lit(0)
+    counts = values.where(F.col(column).isNotNull()).groupBy(group.alias("g"), F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("b", F.floor(F.col("v") / width))
+    every, before = Window.partitionBy("g"), Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = counts.groupBy("g", "b").agg(F.sum("c").alias("c")).select("g", "b", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"), F.sum("c").over(every).alias("n"))
+    place = lambda f: F.bround(F.lit(f) * (F.col("n") - 1)).cast("long")
+    wanted = [(k, place(f)) for k, f in PLACES.items()] + [("low", F.floor((F.col("n") - 1) / 2)), ("high", F.ceil((F.col("n") - 1) / 2))]
+    places = buckets.select("g", "b", "c", "before", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), at.alias("at")) for k, at in wanted))).alias("p")).where("p.at >= before and p.at < before + c")
+    inside = Window.partitionBy("g", "b", "p.name").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = places.select("g", "b", "before", "n", "p").join(counts, ["g", "b"]).withColumn("to", F.col("before") + F.sum("c").over(inside)).where("p.at < to and p.at >= to - c")
+    value = lambda k: F.max(F.when(F.col("p.name") == k, F.col("v")))
+    out = rows.groupBy("g").agg(F.max("n").alias("n"), ((value("low") + value("high")) / 2).alias("median"), *(value(k).alias(k) for k in PLACES))
+    return out.select(*([F.col("g").alias(by)] if by else []), "n", "median", *PLACES)
+
+
+def report(events: DataFrame, found: DataFrame, returns: DataFrame, gap_minutes: int = GAP_MINUTES, substantive: float = SUBSTANTIVE) -> DataFrame:
+    """One row per subject: how many returns, over which runs, their delays, and why there are none if so.
+
+    found: :func:`runs` of the events; returns: :func:`resume_events` of found.
+    """
+    w = Window.partitionBy("subject_id").orderBy("run")
+    steps = found.select("subject_id", "dwell", "cluster", (F.col("run_start").cast("timestamp").cast("double") - F.lag(F.col("run_end").cast("timestamp").cast("double")).over(w)).alias("pause"), F.lag("dwell").over(w).alias("left_dwell"), F.lag("cluster").over(w).alias("left"), F.max(F.when(F.col("dwell") >= substantive, 1)).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("anchored"))
+    long = F.col("pause") >= gap_minutes * 60.0
+    switched = ~long & (F.col("left_dwell") >= substantive) & (F.col("cluster") != F.col("left"))
+    seen = steps.groupBy("subject_id").agg(F.count_if(F.col("dwell") >= substantive).alias("substantive_runs"), F.count_if(long | switched).alias("interruptions"), F.count_if((long & (F.col("anchored") == 1)) | switched).alias("with_task"))
+    own = events.groupBy("subject_id").agg(F.count(F.lit(1)).alias("events_considered"))
+    told = returns.groupBy("subject_id").agg(F.count(F.lit(1)).alias("resume_events"), F.min("resume_seconds").alias("least_seconds"), F.max("resume_seconds").alias("most_seconds"))
+    out = own.join(seen, "subject_id", "left").join(told, "subject_id", "left").fillna(0, ["substantive_runs", "interruptions", "with_task", "resume_events"])
+    why = F.when(F.col("resume_events") > 0, None).when(F.col("substantive_runs") == 0, "no substantive run").when(F.col("interruptions") == 0, "no interruption").when(F.col("with_task") == 0, "no task to return to").otherwise("never returned")
+    return out.withColumn("no_resumes_because", why)

@@ -33,8 +33,19 @@ def content_score(text: Column, query: str) -> Column:
     return F.when((overlap > 0) | (soft > 0), F.least(F.lit(1.0), 0.15 + 0.2 * overlap + 0.08 * soft)).otherwise(F.lit(0.15))
 
 
-def retrieve(events: DataFrame, query: str, top_k: int = 5, short_days: int = 5, long_days: int = 14, filters: list[str] | None = None) -> DataFrame:
-    """The top artifacts of each subject by attention x content.
+def _reasons(names: list[str], value: dict[str, Column], shifted: Column) -> Column:
+    # What each filter says of an artifact that it gives weight.
+    says = {
+        "proportional": F.lit("high dwell time"), "recurrent": F.lit("repeated revisits"), "differential": F.concat(F.lit("recent "), F.col("domain"), F.lit(" attention above baseline")),
+        "inverse": F.concat(F.col("domain"), F.lit(" has less recent attention than baseline")), "comparative": F.lit("involved in frequent attention switches"),
+        "sequential": F.lit("part of a workflow transition"), "collective": F.lit("single-user stand-in for cohort attention"),
+    }
+    also = [] if "differential" in names else ["differential"]
+    return F.array_compact(F.array(*(F.when((value[n] > 0) & (shifted if n in also else F.lit(True)), F.concat(F.lit(f"{n}: "), says[n])) for n in [*names, *also])))
+
+
+def retrieve(events: DataFrame, query: str, top_k: int = 5, short_days: int = 5, long_days: int = 14, filters: list[str] | None = None, why: bool = False) -> DataFrame:
+    """The top artifacts of each subject by attention x content; with ``why``, the reasons of each.
 
     Whether the differential filter joins in depends on each subject's own
     divergence, so both weightings are worked out and one is chosen.
@@ -60,7 +71,8 @@ def retrieve(events: DataFrame, query: str, top_k: int = 5, short_days: int = 5,
     def mixed(chosen: list[str]) -> Column:
         return sum((F.lit(round(1 / len(chosen), 4)) * value[n] for n in chosen), F.lit(0.0))
 
+    four = lambda c: F.floor(F.round(c, 9) * 10_000 + 0.5) / 10_000  # noqa: E731  a double's half goes up, as arithmetic has it and not as it is written
     attention = mixed(names) if "differential" in names else F.when(F.col("kl") > 0.2, mixed([*names, "differential"])).otherwise(mixed(names))
     scored = rows.withColumn("attention", attention).withColumn("content", content_score(F.concat_ws(" ", "artifact", "app", "domain"), query)).withColumn("weight", F.col("attention") * F.col("content")).where("weight > 0")
     rank = F.row_number().over(w.orderBy(F.desc(F.round("weight", 9)), F.desc(F.log1p("dwell")), "first_ord"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select("subject_id", "rank", "artifact", F.round(F.round("attention", 9), 4).alias("attention_score"), F.round(F.round("content", 9), 4).alias("content_score"), F.round(F.round("weight", 9), 4).alias("weight"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select("subject_id", "rank", "artifact", four("attention").alias("attention_score"), four("content").alias("content_score"), four("weight").alias("weight"), *([_reasons(names, value, F.col("kl") > 0.2).alias("why")] if why else []))

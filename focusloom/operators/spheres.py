@@ -7,13 +7,14 @@ from collections import Counter
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from focusloom import config as C
-from focusloom.functions.text import gate_for_event, normalize_artifact, sphere_task, sphere_tokens
+from focusloom.functions.text import gate_for_event, normalize_artifact, shorten, sphere_task, sphere_tokens
 from focusloom.operators.overview import without_system
 from focusloom.schema import AS_OF, as_of_column
+from focusloom.sources.shared import written
 
 ASSIGNED = "id long, subject_id string, sphere_ordinal int, sphere_id string, score double"
 TOP_TOKENS = 18
@@ -82,6 +83,11 @@ class Assigner:
         return best.ordinal, best.sphere_id, score
 
 
+def assigned_once(events: DataFrame, cfg: C.Config = C.Config()) -> DataFrame:
+    """The assignment, written once: what follows from it reads it more than once."""
+    return written(assign(events, cfg), "spheres")
+
+
 def assign(events: DataFrame, cfg: C.Config = C.Config()) -> DataFrame:
     """(id, subject_id, sphere_ordinal, sphere_id, score): sequential for a subject, parallel over subjects."""
 
@@ -99,7 +105,85 @@ def segments(events: DataFrame, assigned: DataFrame, gap_minutes: int = C.Config
     w = Window.partitionBy("subject_id").orderBy("ts_start", "id")
     pause = F.col("ts_start") > F.lag("ts_end").over(w) + F.expr(f"interval {max(5, gap_minutes)} minutes")
     rows = rows.withColumn("_n", F.coalesce(((F.lag("sphere_id").over(w) != F.col("sphere_id")) | pause).cast("int"), F.lit(1))).withColumn("segment", F.sum("_n").over(w))
-    return rows.groupBy("subject_id", "segment").agg(F.first("sphere_id").alias("sphere_id"), F.min("ts_start").alias("seg_start"), F.max("ts_end").alias("seg_end"), F.count(F.lit(1)).alias("events"), F.sum("dwell").cast("double").alias("dwell"))
+    # by app first, within the subject's partition: no shuffle more
+    by_app = rows.groupBy("subject_id", "segment", "app").agg(F.first("sphere_id").alias("sphere_id"), F.min("ts_start").alias("s"), F.max("ts_end").alias("e"), F.count(F.lit(1)).alias("n"), F.sum("dwell").alias("d"), F.min(F.struct("ts_start", "id")).alias("f"))
+    return by_app.groupBy("subject_id", "segment").agg(
+        F.first("sphere_id").alias("sphere_id"), F.min("s").alias("seg_start"), F.max("e").alias("seg_end"), F.sum("n").alias("events"), F.sum("d").cast("double").alias("dwell"), F.min_by("app", F.struct(-F.col("n"), "f")).alias("top_app")
+    )
+
+
+def transitions(events: DataFrame, assigned: DataFrame, cap: int = 12) -> DataFrame:
+    """Moves from one sphere to another, the most frequent ones of each subject, with when they were last seen."""
+    rows = without_system(events).join(assigned.select("id", "sphere_id"), "id")
+    w = Window.partitionBy("subject_id").orderBy("ts_start", "id")
+    moved = rows.select("subject_id", F.lag("sphere_id").over(w).alias("source"), F.col("sphere_id").alias("target"), "ts_start", "id").where("source <> target")
+    by = moved.groupBy("subject_id", "source", "target").agg(F.count(F.lit(1)).alias("count"), F.max("ts_start").alias("last_seen"), F.min(F.struct("ts_start", "id")).alias("first"))
+    k = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("count"), "first"))
+    return by.withColumn("rank", k).where(F.col("rank") <= cap).drop("first")
+
+
+def recent_events(events: DataFrame, assigned: DataFrame, n: int = 8) -> DataFrame:
+    """The last n events of each sphere, latest first."""
+    rows = without_system(events).join(assigned.select("id", "sphere_id"), "id")
+    k = F.row_number().over(Window.partitionBy("subject_id", "sphere_id").orderBy(F.desc("ts_start"), F.desc("id")))
+    return rows.withColumn("rank", k).where(F.col("rank") <= n).select("subject_id", "sphere_id", "rank", "id", "artifact", "app", "ts_end")
+
+
+def timeline(stretches: DataFrame, selected: DataFrame, cap: int = 20) -> DataFrame:
+    """Segments of the selected spheres with their labels, latest first. selected: subject_id, sphere_id, label."""
+    rows = stretches.join(selected.select("subject_id", "sphere_id", "label"), ["subject_id", "sphere_id"])
+    k = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("seg_start"), F.desc("segment")))
+    return rows.withColumn("rank", k).where(F.col("rank") <= cap).select("subject_id", "rank", "sphere_id", "label", "seg_start", "seg_end", "events", "dwell", F.round(F.col("dwell") / 3600, 2).alias("hours"), "top_app")
+
+
+def selected_transitions(moves: DataFrame, selected: DataFrame) -> DataFrame:
+    """Moves between selected spheres, with both labels."""
+    label = lambda name: selected.select("subject_id", F.col("sphere_id").alias(name), F.col("label").alias(f"{name}_label"))
+    return moves.join(label("source"), ["subject_id", "source"]).join(label("target"), ["subject_id", "target"])
+
+
+def next_action(task: Column) -> Column:
+    """A hint for going on with a sphere, by its task."""
+    # The first group of words found in the task gives the hint.
+    hints = (
+        (("research",), "Summarize the strongest source and connect it to the active product concept."),
+        (("build", "verify", "test"), "Open the latest artifact, check the last verification result, then continue the next small implementation step."),
+        (("document", "plan"), "Review the latest note, extract decisions, and turn the next open item into a task."),
+        (("communicate",), "Draft the next response using only the admitted context for this sphere."),
+    )
+    out = F.lit("Review the latest artifact and decide whether this sphere should continue, pause, or be ignored.")
+    for words, hint in reversed(hints):
+        out = F.when(task.rlike("|".join(words)), hint).otherwise(out)
+    return out
+
+
+def token_ranks(events: DataFrame, assigned: DataFrame, n: int) -> DataFrame:
+    """The n tokens that most events of a sphere have (of equal ones the first in order), as an array."""
+    rows = without_system(events).join(assigned.select("id", "sphere_id"), "id")
+    by = rows.select("subject_id", "sphere_id", F.explode(F.array_distinct(sphere_tokens(F.col("artifact")))).alias("t")).groupBy("subject_id", "sphere_id", "t").agg(F.count(F.lit(1)).alias("c"))
+    k = F.row_number().over(Window.partitionBy("subject_id", "sphere_id").orderBy(F.desc("c"), "t"))
+    top = by.withColumn("k", k).where(F.col("k") <= n)
+    return top.groupBy("subject_id", "sphere_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]).alias("tokens"))
+
+
+def explanations(found: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Why each sphere of a report is one: sentences on its signal, terms, artifact, sessions and gate."""
+    rows = found.join(tokens, ["subject_id", "sphere_id"], "left")
+    terms = F.when(F.size("tokens") > 0, F.concat(F.lit("Shared terms: "), F.array_join(F.slice("tokens", 1, 4), ", ")))
+    # The sentences.
+    said = F.array_compact(F.array(
+        F.concat(F.lit("Dominant work signal: "), "domain", F.lit(" / "), "task"), terms, F.concat(F.lit("Top artifact: "), shorten(F.col("top_artifact"), 76)),
+        F.when(F.col("sessions") > 1, F.concat(F.lit("Returned across "), F.col("sessions").cast("string"), F.lit(" sessions"))).otherwise("Single continuous session so far"),
+        F.when(F.col("gate_mode") == "masked", "Privacy gate fired before inference").otherwise("Uses redacted Depth 1 metadata only"),
+    ))
+    return rows.select("subject_id", "sphere_id", said.alias("explanations"), next_action(F.col("task")).alias("next_action"))
+
+
+def resume_packs(found: DataFrame, recent: DataFrame, n: int = 5) -> DataFrame:
+    """What to show someone who comes back to a sphere: its last artifact and app, returns, recent events and a hint."""
+    last = recent.where(F.col("rank") <= n).groupBy("subject_id", "sphere_id").agg(F.array_sort(F.collect_list(F.struct("rank", "artifact", "app", "ts_end"))).alias("recent"))
+    rows = found.join(last, ["subject_id", "sphere_id"], "left")
+    return rows.select("subject_id", "sphere_id", "state", F.col("recent")[0]["artifact"].alias("last_artifact"), F.col("recent")[0]["app"].alias("last_app"), F.greatest(F.col("sessions") - 1, F.lit(0)).alias("return_count"), "recent", next_action(F.col("task")).alias("next_action"))
 
 
 def report(events: DataFrame, assigned: DataFrame, as_of: str = AS_OF, cfg: C.Config = C.Config()) -> DataFrame:
@@ -124,8 +208,10 @@ def report(events: DataFrame, assigned: DataFrame, as_of: str = AS_OF, cfg: C.Co
         0.25 + F.least(F.lit(1.0), F.log1p("events") / F.log1p(F.lit(24.0))) * 0.22 + F.least(F.lit(1.0), F.col("sessions") / 5) * 0.2 + F.least(F.lit(1.0), F.coalesce("n_tokens", F.lit(0)) / 8) * 0.12
         + F.col("n_domain") / F.col("events") * 0.11 + F.col("mean_score") * 0.14 - 0.04 * F.col("masked")
     )
-    label = F.when((F.col("n_artifact") >= 2) & ~F.col("top_artifact").startswith("["), F.col("top_artifact")).otherwise(F.concat_ws(": ", "top_task", "top_domain"))
+    out = out.join(token_ranks(events, assigned, 3), keys, "left")
+    terms = F.when(F.size("tokens") > 0, F.array_join("tokens", " ")).otherwise(F.col("top_domain"))
+    label = shorten(F.when((F.col("n_artifact") >= 2) & ~F.col("top_artifact").startswith("["), F.col("top_artifact")).otherwise(F.concat_ws(": ", F.col("top_task"), terms)), 72)
     out = out.withColumn("state", state).withColumn("confidence", F.round(F.greatest(F.lit(0.2), F.least(F.lit(0.96), value)), 2)).withColumn("share", F.round(F.col("dwell") / F.greatest(F.sum("dwell").over(w), F.lit(1.0)), 4))
     order = F.when(F.col("state") == "active", 0).when(F.col("state") == "suspended", 1).otherwise(2)
     ranked = out.withColumn("rank", F.row_number().over(w.orderBy(order, F.desc("dwell"), F.desc("confidence"), "first"))).where(F.col("rank") <= cfg.max_spheres)
-    return ranked.select("subject_id", "rank", "sphere_id", label.alias("label"), F.col("top_domain").alias("domain"), F.col("top_task").alias("task"), "events", "sessions", "dwell", "share", "state", "confidence", F.when(F.col("masked") == 1, "masked").otherwise("allowed").alias("gate_mode"))
+    return ranked.select("subject_id", "rank", "sphere_id", label.alias("label"), F.col("top_domain").alias("domain"), F.col("top_task").alias("task"), "events", "sessions", "dwell", "share", "state", "confidence", F.when(F.col("masked") == 1, "masked").otherwise("allowed").alias("gate_mode"), "top_artifact", "last_seen")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from focusloom import config
 from focusloom.functions import text as T
 from focusloom.operators import collective, graph, learning, overview, profile, resume, retrieve, spheres
-from focusloom.schema import AS_OF, EVENTS_SQL, events
+from focusloom.schema import AS_OF, EVENTS_SQL, as_of_column, events
 from focusloom.sources.tables import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,18 +161,18 @@ named("resume_distribution", _of(lambda e: resume.distribution(_runs(e), "dwell"
       SELECT cluster, n, (v[CAST(floor((n - 1) / 2) AS INTEGER) + 1] + v[CAST(ceil((n - 1) / 2) AS INTEGER) + 1]) / 2 AS median, v[CAST(round_even(0.25 * (n - 1), 0) AS INTEGER) + 1] AS p25, v[CAST(round_even(0.75 * (n - 1), 0) AS INTEGER) + 1] AS p75, v[CAST(round_even(0.9 * (n - 1), 0) AS INTEGER) + 1] AS p90, v[1] AS least, v[n] AS most FROM z""")
 named("sphere_assignments", _of(spheres.assign))
 named("sphere_segments", _of(lambda e: spheres.segments(e, spheres.assign(e), 24 * 60)))
-named("spheres", _of(lambda e: spheres.report(e, spheres.assign(e))))
+named("spheres", _of(lambda e: spheres.report(e, spheres.assigned_once(e)).drop("top_artifact", "last_seen")))
 
 # text
 
-named("classify_domain", lambda s, d: documents(s, d).select("doc_id", T.classify_domain(F.lit("none"), F.substring("text", 1, 400)).alias("domain"), T.is_ignored(F.col("source")).alias("ignored")),
+named("classify_domain", lambda s, d: documents(s, d).select("doc_id", T.classify_domain(F.lit("none"), F.col("text")).alias("domain"), T.is_ignored(F.col("source")).alias("ignored")),
       """SELECT doc_id, CASE WHEN t LIKE '%github%' OR t LIKE '%pull request%' OR t LIKE '%issue%' OR t LIKE '%repo%' OR t LIKE '%localhost%' THEN 'coding'
       WHEN t LIKE '%gmail%' OR t LIKE '%inbox%' OR t LIKE '%email%' OR t LIKE '%calendar invite%' THEN 'communication'
       WHEN t LIKE '%docs.google%' OR t LIKE '%.docx%' OR t LIKE '%.pdf%' OR t LIKE '%proposal%' OR t LIKE '%brief%' THEN 'documents'
       WHEN t LIKE '%arxiv%' OR t LIKE '%docs%' OR t LIKE '%stackoverflow%' OR t LIKE '%search%' OR t LIKE '%wikipedia%' THEN 'browser-research'
       WHEN t LIKE '%roadmap%' OR t LIKE '%kanban%' OR t LIKE '%todo%' OR t LIKE '%meeting%' OR t LIKE '%spec%' THEN 'planning'
       WHEN t LIKE '%spreadsheet%' OR t LIKE '%.csv%' OR t LIKE '%dashboard%' OR t LIKE '%metrics%' THEN 'data' ELSE 'other' END AS domain, lower(source) IN ('loginwindow', 'screensaverengine') AS ignored
-      FROM (SELECT *, lower('none ' || substr(text, 1, 400)) AS t FROM documents)""")
+      FROM (SELECT *, lower('none ' || text) AS t FROM documents)""")
 _KEYWORDS = " OR ".join(f"contains(lower(text), '{k}')" for k in ("password", "passcode", "otp", "2fa", "mfa", "bank", "card number", "secret", "private key", "recovery phrase"))
 named("scrub_title", lambda s, d: documents(s, d).select("doc_id", T.scrub_title(F.col("text")).alias("title")),
       rf"SELECT doc_id, CASE WHEN {_KEYWORDS} THEN '[redacted sensitive title]' ELSE substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 240) END AS title FROM documents")
@@ -236,26 +236,33 @@ named("wilson", _of(lambda e: collective.secure_sum(collective.contributions(_de
 
 # feedback and cards, on feedback made from the events
 
-_FEEDBACK = "SELECT id, 's' || (id % 40) AS sphere_id, CASE WHEN id % 11 = 0 THEN 'p' || (id % 60) END AS pack_id, CASE WHEN id % 13 = 0 THEN 'k' || (id % 70) END AS evidence_key, ['useful','wrong','stale','too_broad','too_private','missing_context'][1 + CAST(id * 7 % 6 AS INTEGER)] AS label, CASE WHEN id % 3 = 0 THEN ts_start END AS resolved_at, ts_start AS created_at FROM e WHERE id % 17 = 0"
+_FEEDBACK = "SELECT id, subject_id, subject_id || '|' || domain AS sphere_id, CASE WHEN k % 11 = 0 THEN 'p' || subject_id || '|' || (k % 4) END AS pack_id, CASE WHEN k % 13 = 0 THEN 'k' || subject_id || '|' || (k % 4) END AS evidence_key, CASE WHEN k % 31 = 0 THEN 'too_private' ELSE ['useful','wrong','stale','too_broad','missing_context'][1 + CAST(k % 5 AS INTEGER)] END AS label, CASE WHEN k % 3 <> 1 THEN ts_start END AS resolved_at, ts_start AS created_at FROM (SELECT *, id * 7919 % 1009 AS k FROM e)"
 
 
 def _feedback(e: DataFrame) -> DataFrame:
-    i = F.col("id")
-    labels = F.array(*map(F.lit, ("useful", "wrong", "stale", "too_broad", "too_private", "missing_context")))
-    text = lambda p, n: F.concat(F.lit(p), (i % n).cast("string"))
-    return e.where(i % 17 == 0).select(
-        "id", text("s", 40).alias("sphere_id"), F.when(i % 11 == 0, text("p", 60)).alias("pack_id"), F.when(i % 13 == 0, text("k", 70)).alias("evidence_key"),
-        F.element_at(labels, (1 + i * 7 % 6).cast("int")).alias("label"), F.when(i % 3 == 0, F.col("ts_start")).alias("resolved_at"), F.col("ts_start").alias("created_at"),
+    """An entry for each event, on the sphere of its subject and domain."""
+    k = F.col("id") * 7919 % 1009
+    labels = F.array(*map(F.lit, ("useful", "wrong", "stale", "too_broad", "missing_context")))
+    own = lambda p: F.concat(F.lit(p), "subject_id", F.lit("|"), (k % 4).cast("string"))
+    return e.select(
+        "id", "subject_id", F.concat_ws("|", "subject_id", "domain").alias("sphere_id"), F.when(k % 11 == 0, own("p")).alias("pack_id"), F.when(k % 13 == 0, own("k")).alias("evidence_key"),
+        F.when(k % 31 == 0, "too_private").otherwise(F.element_at(labels, (1 + k % 5).cast("int"))).alias("label"), F.when(k % 3 != 1, F.col("ts_start")).alias("resolved_at"), F.col("ts_start").alias("created_at"),
     )
 
 
+def _sphere_figures(e: DataFrame) -> DataFrame:
+    """The sphere of each subject and domain, with a confidence and an age."""
+    by = e.groupBy("subject_id", F.concat_ws("|", "subject_id", "domain").alias("sphere_id")).agg(F.count(F.lit(1)).alias("n"), F.max("ts_end").alias("last_seen"))
+    return by.select("subject_id", "sphere_id", (F.col("n") % 10 / 10).alias("confidence"), F.datediff(as_of_column(), F.to_date("last_seen")).alias("age_days"))
+
+
+_FIGURES = f"SELECT subject_id, subject_id || '|' || domain AS sphere_id, count(*) % 10 / 10 AS confidence, date_diff('day', CAST(max(ts_end) AS DATE), CAST({_CUT} AS DATE)) AS age_days FROM e GROUP BY subject_id, domain"
 _PIVOT = f"{_E}, f AS ({_FEEDBACK}), v AS (SELECT sphere_id, " + ", ".join(f"count(*) FILTER (label = '{x}') AS {x}" for x in learning.LABELS) + " FROM f WHERE resolved_at IS NULL GROUP BY 1)"
 named("feedback_pivot", _of(lambda e: learning.feedback_pivot(_feedback(e))), f"{_PIVOT} SELECT * FROM v")
-named("cards", _of(lambda e: learning.cards(e.sparkSession.range(50).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("sphere_id"), (F.col("id") % 10 / 10).alias("confidence"), (F.col("id") % 12).alias("age_days")), _feedback(e)).select("sphere_id", "status")),
-      f"""{_PIVOT}, s AS (SELECT 's' || range AS sphere_id, range % 10 / 10 AS confidence, range % 12 AS age_days FROM range(50))
-      SELECT sphere_id, CASE WHEN coalesce(too_private, 0) > 0 THEN 'privacy_review' WHEN coalesce(stale, 0) > 0 THEN 'stale' WHEN coalesce(wrong + too_broad + missing_context, 0) > 0 THEN 'needs_evidence' WHEN confidence < 0.45 THEN 'weak' WHEN coalesce(useful, 0) > 0 THEN 'validated' WHEN age_days > 7 THEN 'aging' ELSE 'learning' END AS status FROM s LEFT JOIN v USING (sphere_id)""")
-named("restrictions", _of(lambda e: learning.blocked_packs(e.sparkSession.range(80).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("pack_id"), F.concat(F.lit("s"), (F.col("id") % 90).cast("string")).alias("sphere_id"), F.concat(F.lit("k"), (F.col("id") % 75).cast("string")).alias("evidence_key")), _feedback(e))),
-      f"{_E}, f AS (SELECT * FROM ({_FEEDBACK}) WHERE resolved_at IS NULL AND label = 'too_private'), p AS (SELECT 'p' || range AS pack_id, 's' || (range % 90) AS sphere_id, 'k' || (range % 75) AS evidence_key FROM range(80)) SELECT pack_id FROM p WHERE sphere_id IN (SELECT sphere_id FROM f) OR pack_id IN (SELECT pack_id FROM f WHERE pack_id IS NOT NULL) OR evidence_key IN (SELECT evidence_key FROM f WHERE evidence_key IS NOT NULL)")
+_STATUS = "CASE WHEN coalesce(too_private, 0) > 0 THEN 'privacy_review' WHEN coalesce(stale, 0) > 0 THEN 'stale' WHEN coalesce(wrong + too_broad + missing_context, 0) > 0 THEN 'needs_evidence' WHEN confidence < 0.45 THEN 'weak' WHEN coalesce(useful, 0) > 0 THEN 'validated' WHEN age_days > 7 THEN 'aging' ELSE 'learning' END"
+named("cards", _of(lambda e: learning.cards(_sphere_figures(e), _feedback(e)).select("sphere_id", "status")), f"{_PIVOT}, s AS ({_FIGURES}) SELECT sphere_id, {_STATUS} AS status FROM s LEFT JOIN v USING (sphere_id)")
+named("restrictions", _of(lambda e: learning.blocked_packs(e.select("subject_id", "domain", (F.col("id") % 4).alias("k")).distinct().select(F.concat(F.lit("p"), "subject_id", F.lit("|"), F.col("k").cast("string")).alias("pack_id"), F.concat_ws("|", "subject_id", "domain").alias("sphere_id"), F.concat(F.lit("k"), "subject_id", F.lit("|"), F.col("k").cast("string")).alias("evidence_key")), _feedback(e))),
+      f"{_E}, f AS (SELECT * FROM ({_FEEDBACK}) WHERE resolved_at IS NULL AND label = 'too_private'), p AS (SELECT DISTINCT 'p' || subject_id || '|' || (id % 4) AS pack_id, subject_id || '|' || domain AS sphere_id, 'k' || subject_id || '|' || (id % 4) AS evidence_key FROM e) SELECT DISTINCT pack_id FROM p WHERE sphere_id IN (SELECT sphere_id FROM f) OR pack_id IN (SELECT pack_id FROM f WHERE pack_id IS NOT NULL) OR evidence_key IN (SELECT evidence_key FROM f WHERE evidence_key IS NOT NULL)")
 named("latest_checkpoints", _of(lambda e: learning.latest_checkpoints(_feedback(e), 3).select("id", "sphere_id", "revision")),
       f"{_E}, f AS ({_FEEDBACK}) SELECT id, sphere_id, revision FROM (SELECT *, row_number() OVER (PARTITION BY sphere_id ORDER BY created_at DESC, id DESC) AS revision FROM f) WHERE revision <= 3")
 _RUN_A = [("resume", 1.0, 0.0, 9, 11557), ("canary", 1.0, 0.0, 9, 12016), ("gate", 1.0, 0.1, 9, 11091), ("denied", 1.0, 0.0, 11, 5872), ("stale", 1.0, 0.0, 10, 5782), ("gone", 1.0, 0.0, 1, 10)]

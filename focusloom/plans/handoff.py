@@ -33,7 +33,7 @@ named("pack_admission", _of(lambda e: _packed(e, "codex")),
       CASE WHEN d = 'planning' THEN 3 ELSE 0 END AS mask, CASE status WHEN 'ready' THEN 9 ELSE 10 END AS deny FROM p""")
 named("pack_denied_target", _of(lambda e: _packed(e, "elsewhere")),
       f"{_PACKS} SELECT subject_id, CASE WHEN d IS NULL THEN 'empty' ELSE 'blocked' END AS status, subject_id || '|' || d AS sphere_id, CAST(NULL AS VARCHAR) AS title, 1 AS allow, 1 AS summarize, 0 AS generalize, 0 AS mask, 11 AS deny FROM p")
-named("context_packs", _of(lambda e: packs.build(spheres.report(e, spheres.assign(e)), e, "agent_prompt", "local_file").select("subject_id", "pack_id", "status", "sphere_id", F.to_json("summary").alias("summary"), F.to_json("decisions").alias("decisions"))))
+named("context_packs", _of(lambda e: packs.build(spheres.report(e, spheres.assigned_once(e)).drop("top_artifact", "last_seen"), e, "agent_prompt", "local_file").select("subject_id", "pack_id", "status", "sphere_id", F.to_json("summary").alias("summary"), F.to_json("decisions").alias("decisions"))))
 named("coverage", _of(packs.coverage),
       f"""{_E}, l AS (SELECT subject_id, count(*) AS events, max(ts_end) AS last_event FROM e GROUP BY 1), g AS (SELECT *, greatest(CAST(trunc(epoch({_CUT} - last_event)) AS BIGINT), 0) AS age_seconds FROM l)
       SELECT *, CASE WHEN age_seconds > 180 THEN 'stale' ELSE 'recent' END AS coverage, CASE WHEN age_seconds <= 180 THEN 'ready' ELSE 'stale' END AS health FROM g""")

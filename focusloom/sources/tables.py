@@ -39,8 +39,17 @@ def export_json(events: DataFrame, path: str) -> None:
     events.write.mode("overwrite").json(path)
 
 
-def delete_before(spark: SparkSession, path: str, cutoff: str) -> None:
-    """Retention: rewrites the partition of the cutoff's day and drops those before it."""
+def delete_before(spark: SparkSession, path: str, cutoff: str, derived: tuple[str, ...] = ()) -> None:
+    """Retention: rewrites the partition of the cutoff's day and drops those before it, and the same in tables derived from it.
+
+    A day's old partition is renamed away before the new one takes its place and
+    deleted after that, so that a failure never leaves a day without its rows.
+    """
+    for table in (path, *derived):
+        _delete_before(spark, table, cutoff)
+
+
+def _delete_before(spark: SparkSession, path: str, cutoff: str) -> None:
     rows = spark.read.parquet(path).where(F.col("event_date") <= F.to_date(F.lit(cutoff)))
     keep = rows.where(F.col("ts_start") >= F.lit(cutoff).cast("timestamp_ntz"))
     days = [r[0] for r in rows.select("event_date").distinct().orderBy("event_date").collect()]  # one for each day kept so far
@@ -51,9 +60,10 @@ def delete_before(spark: SparkSession, path: str, cutoff: str) -> None:
     for day in days:
         old = jvm.org.apache.hadoop.fs.Path(f"{path}/event_date={day}")
         fs = old.getFileSystem(conf)
-        fs.delete(old, True)
-        new = jvm.org.apache.hadoop.fs.Path(f"{staged}/event_date={day}")
+        new, aside = jvm.org.apache.hadoop.fs.Path(f"{staged}/event_date={day}"), jvm.org.apache.hadoop.fs.Path(f"{path}/_old-{day}")
+        fs.rename(old, aside)
         if fs.exists(new):
             fs.rename(new, old)
+        fs.delete(aside, True)
     done = jvm.org.apache.hadoop.fs.Path(staged)
     done.getFileSystem(conf).delete(done, True)
