@@ -80,7 +80,9 @@ PLACES = {"p25": 0.25, "p75": 0.75, "p90": 0.9, "least": 0.0, "most": 1.0}
 
 
 def distribution(values: DataFrame, column: str, by: str | None = None, width: float = 1.0) -> DataFrame:
-    """n, quartiles, p90, extremes: the value at the half-even rounded place of each fraction; no row for no values.
+    """n, quartiles, p90, extremes: the value at the half-even rounded place of each fraction.
+
+    Without ``by`` no values give one row with n = 0.
 
     Equal values are counted, counts are summed over buckets of ``width``, and
     only the buckets that hold a place are looked into: no task gets a group's values.
@@ -95,7 +97,10 @@ def distribution(values: DataFrame, column: str, by: str | None = None, width: f
     inside = Window.partitionBy("g", "b", "p.name").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = places.select("g", "b", "before", "n", "p").join(counts, ["g", "b"]).withColumn("to", F.col("before") + F.sum("c").over(inside)).where("p.at < to and p.at >= to - c")
     value = lambda k: F.max(F.when(F.col("p.name") == k, F.col("v")))
+    one = values.sparkSession.range(1).select(F.lit(0).alias("g"))
     out = rows.groupBy("g").agg(F.max("n").alias("n"), ((value("low") + value("high")) / 2).alias("median"), *(value(k).alias(k) for k in PLACES))
+    if not by:
+        out = one.join(out, "g", "left").fillna(0, ["n"])
     return out.select(*([F.col("g").alias(by)] if by else []), "n", "median", *PLACES)
 
 
