@@ -8,7 +8,10 @@ whole Arrow batches.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,6 +64,18 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def lean_worker() -> None:
+    """Gives back the memory that tasks of other operators left in this Python worker, which Spark uses again and again."""
+    tokens = sys.modules.get("focusloom.llm.tokens")
+    if tokens:
+        tokens._encoders.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+    if trim:
+        trim(0)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table written by :func:`materialize` that nothing reads any more."""
     jvm = df.sparkSession._jvm

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from focusloom.llm.common import bounded_batches
+from focusloom.llm.common import bounded_batches, lean_worker
 
 #: Payloads are padded with 255 to a positive multiple of this (one row of samples).
 UNIT = 576
@@ -301,6 +301,7 @@ def encode_media(df: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, n_bytes, media): binary or text payloads, padded to UNIT and stored as GIFs."""
 
     def run(batches):
+        lean_worker()
         for batch in batches:
             sizes, media = [], []
             for b in batch.column(1).to_pylist():
@@ -338,6 +339,7 @@ def decode_media(df: DataFrame, key: str, media: str = "media", keep: tuple[str,
         return row | {"payload_bytes": size, "payload_sha256": digest.hexdigest(), "tail_crc32": zlib.crc32(tail), "frames": out}
 
     def run(batches):
+        lean_worker()
         names = None
         for batch in batches:
             n = batch.num_columns - 1

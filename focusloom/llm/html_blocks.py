@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from focusloom.llm.common import bounded_batches
+from focusloom.llm.common import bounded_batches, lean_worker
 
 PATH_DIM, WORD_DIM, FIGURES, HIDDEN = 64, 32, 10, 20
 INPUT = PATH_DIM + WORD_DIM + FIGURES
@@ -246,6 +246,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page: one narrow pass."""
 
     def run(batches):
+        lean_worker()
         for batch in batches:
             texts: list[str] = []
             sources = batch.column(2)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from focusloom.llm.common import LOWER, bounded_batches, discard, gram_hashes, materialize, mix, split_words, text_chunks, word_hashes
+from focusloom.llm.common import LOWER, bounded_batches, discard, gram_hashes, lean_worker, materialize, mix, split_words, text_chunks, word_hashes
 from focusloom.llm.components import components
 
 SHINGLE = 5
@@ -81,6 +81,7 @@ def signatures(docs: DataFrame, trees: int = TREES) -> DataFrame:
     """(doc_id, n, d1, d2, roots array<long>, tokens binary): one narrow pass over the texts."""
 
     def run(batches):
+        lean_worker()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
@@ -193,6 +194,7 @@ def _candidates(nodes: DataFrame, threshold: int) -> DataFrame:
     least = COORDINATES * p - 5.2 * (COORDINATES * p * (1 - p)) ** 0.5
 
     def run(batches):
+        lean_worker()
         us, vs = [], []
         for t in _runs(batches, 3):
             if t.num_rows < 2:
@@ -269,6 +271,7 @@ def _exact(members: DataFrame, threshold: int) -> DataFrame:
     """Edges (u, v) of the exact forest of each group. members: key, i, j, id, text."""
 
     def run(batches):
+        lean_worker()
         for t in _runs(batches, 3):
             if t.num_rows < 2:
                 continue
@@ -285,6 +288,7 @@ def _between(members: DataFrame, threshold: int) -> DataFrame:
     """Edges (u, v) between the clusters of each group: what ``mine`` has is compared with all. members: key, i, j, mine, cluster, id, text."""
 
     def run(batches):
+        lean_worker()
         for t in _runs(batches, 3):
             rows, ids, sets = _sets_of(t)
             if len(sets) < 2:

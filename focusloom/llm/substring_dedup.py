@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from focusloom.llm.common import bounded_batches, gram_hashes, mix, positions_of, split_words, text_chunks, word_hashes
+from focusloom.llm.common import bounded_batches, gram_hashes, lean_worker, mix, positions_of, split_words, text_chunks, word_hashes
 
 WINDOW = 20
 #: The sketch: DEPTH rows of 2**CELLS cells (a bit each once merged: 64 MB in all), in blocks of 2**BLOCK cells.
@@ -59,6 +59,7 @@ def sketch(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: int
     """For each row and cell (packed bits): do two or more windows fall into it?"""
 
     def note(batches):
+        lean_worker()
         held: list[np.ndarray] = []
         count = 0
 
@@ -97,6 +98,7 @@ def sketch(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: int
 
     def merge(batches):
         """Over rows sorted by block: one block is held at a time."""
+        lean_worker()
         unpack = zstandard.ZstdDecompressor()
         now, once, more = None, np.zeros(1 << block, bool), np.zeros(1 << block, bool)
         done = lambda: pa.record_batch([pa.array([now], pa.int32()), pa.array([np.packbits(more).tobytes()], pa.binary())], names=["block", "cells"])
@@ -175,6 +177,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cel
         return out
 
     def send(batches):
+        lean_worker()
         held: list[tuple] = []
         count = base = 0
 
@@ -213,6 +216,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cel
 
     def earliest(batches):
         """Over rows sorted by bucket: passes runs on, drops each window's first start."""
+        lean_worker()
         held: list[list[np.ndarray]] = []
         now = None
 
@@ -253,6 +257,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, **sizes: int) -> Dat
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def remove(batches):
+        lean_worker()
         for batch in batches:
             ids, texts, runs_of = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
             out = []

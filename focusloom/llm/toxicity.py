@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from focusloom.llm.common import bounded_batches
+from focusloom.llm.common import bounded_batches, lean_worker
 
 #: Labelled training rows used at most, taken by hash of doc_id (a documented bound; more change little).
 TRAIN_ROWS = 8_000
@@ -151,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     train = _training(docs, labels, rows)
 
     def contexts(batches):
+        lean_worker()
         for batch in batches:
             out: list[tuple] = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             w, c, t = zip(*out)
             yield pa.record_batch([pa.array(w), pa.array(c, pa.int64()), pa.array(t, pa.int32())], names=["word", "context", "toxic"])
 
-    counts = train.select("text", "toxic").mapInArrow(contexts, "word string, context long, toxic int").where("word <> ''")
+    counts = bounded_batches(train).select("text", "toxic").mapInArrow(contexts, "word string, context long, toxic int").where("word <> ''")
     counts = counts.groupBy("word").agg(F.approx_count_distinct(F.when(F.col("toxic") == 1, F.col("context"))).alias("bad"), F.approx_count_distinct(F.when(F.col("toxic") == 0, F.col("context"))).alias("good"))
     n = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.countDistinct(F.xxhash64("text")).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
@@ -207,6 +208,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str,
     n = len(cols)
 
     def run(batches):
+        lean_worker()
         automaton = model.automaton()
         for batch in batches:
             got = [evidence(t, automaton) for t in batch.column(n).to_pylist()]
