@@ -64,10 +64,10 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def lean_worker() -> None:
-    """Gives back the memory that tasks of other operators left in this Python worker, which Spark uses again and again."""
+def lean_worker(keep_tokens: bool = False) -> None:
+    """Gives back the memory that earlier tasks left in this Python worker, which Spark uses again and again; known words' tokens too, unless they are kept."""
     tokens = sys.modules.get("focusloom.llm.tokens")
-    if tokens:
+    if tokens and not keep_tokens:
         tokens._encoders.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()

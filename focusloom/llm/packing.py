@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from focusloom.llm.common import bounded_batches, materialize
+from focusloom.llm.common import bounded_batches, lean_worker, materialize
 from focusloom.llm.tokens import encoded_rows, tokenizer_path
 
 SEQUENCE = 4096
@@ -133,6 +133,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, windows: int = OPEN_WIND
     path = tokenizer or tokenizer_path()
 
     def first(batches):
+        lean_worker(keep_tokens=True)
         partition = TaskContext.get().partitionId()
         packer = Packer(partition << 32, windows, size)
         for batch in batches:

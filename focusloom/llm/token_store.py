@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from focusloom.llm.common import bounded_batches, shared_dir
+from focusloom.llm.common import bounded_batches, lean_worker, shared_dir
 from focusloom.llm.tokens import encoded_rows, tokenizer_path
 
 ROW_GROUP_BYTES = 32 << 20
@@ -33,6 +33,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """(doc_id, ids) of every row, in the rows' order; one narrow pass."""
 
     def run(batches):
+        lean_worker(keep_tokens=True)
         for batch in batches:
             ids_col = batch.column(0)
             for a, b, ids, offsets in encoded_rows(batch, "text", path):

@@ -25,7 +25,7 @@ CHUNK_BYTES = 16 << 20
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 HASH = np.dtype([("a", np.uint64), ("b", np.uint64)])
 #: Words kept by each Python worker (some 100 bytes each); when they are more, it begins anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 450_000
 #: Trailing signs that the tokenizer parts from a word's letters, if nothing but letters of _LATIN stands before them.
 _SIGNS = ".,!?;:*#$%&\"'()[]{}-_/\\=+~`@^"
 _LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
