@@ -30,8 +30,6 @@ from focusloom.llm.common import bounded_batches, lean_worker
 
 #: Labelled training rows used at most, taken by hash of doc_id (a documented bound; more change little).
 TRAIN_ROWS = 8_000
-#: Words in the lexicon at most, best first.
-LEXICON = 400
 #: A learnt word occurs in this many toxic contexts at least, and its counts differ from chance by
 #: this log-likelihood ratio (p < 0.01), however small its language's part of the toxic texts.
 LEAST_CONTEXTS, LEAST_RATIO = 3, 6.63
@@ -177,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     both = (F.col("bad") + F.col("good")) / (n[0] + n[1])
     ratio = 2 * (F.col("bad") * F.log(F.col("bad") / (both * n[1])) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (both * n[0]))).otherwise(0.0))
     best = counts.where(F.col("bad") >= LEAST_CONTEXTS).withColumn("weight", weight).withColumn("ratio", ratio).where((F.col("weight") >= LEAST_WEIGHT) & (F.col("ratio") >= LEAST_RATIO))
-    rows_of = best.orderBy(F.desc("ratio"), "word").limit(LEXICON).collect()
+    rows_of = best.orderBy(F.desc("ratio"), "word").collect()  # significant words of TRAIN_ROWS texts, some hundreds
     whole = [(r["word"], r["bad"]) for r in rows_of if not r["word"].endswith("*")]
     # a beginning that one whole word accounts for says no more than the word
     lexicon = {r["word"]: float(r["weight"]) for r in rows_of if not r["word"].endswith("*") or not any(w.startswith(r["word"][:-1]) and n >= 0.8 * r["bad"] for w, n in whole)}
