@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from focusloom.config import Config
-from focusloom.functions.text import redact
+from focusloom.functions.text import REDACTIONS, redact
 
 
 def fetch(events: DataFrame, subject: str | None = None, since: str | None = None, limit: int | None = None) -> DataFrame:
@@ -49,12 +49,11 @@ def redacted_again(events: DataFrame, cfg: Config = Config(), columns: tuple[str
 def dry_run(events: DataFrame, cfg: Config = Config(), columns: tuple[str, ...] = ("artifact",)) -> DataFrame:
     """What redacting again would do: (category, n), and the number of changed events as category ''."""
     rows = redacted_again(events, cfg, columns)
-    found = [rows.select(F.explode(f"findings_{c}").alias("category", "n")) for c in columns]
-    total = found[0]
-    for f in found[1:]:
-        total = total.unionByName(f)
-    changed = rows.agg(F.lit("").alias("category"), F.count_if("changed").alias("n"))
-    return total.groupBy("category").agg(F.sum("n").alias("n")).unionByName(changed)
+    kinds = [name for name, _ in REDACTIONS] + ["name"]
+    sums = [F.coalesce(F.sum(sum((F.coalesce(F.col(f"findings_{c}")[k], F.lit(0)) for c in columns), F.lit(0))), F.lit(0)) for k in kinds]
+    totals = rows.agg(*(n.alias(k) for k, n in zip(kinds, sums)), F.count_if("changed").alias("_changed"))  # one pass
+    pairs = F.array(F.struct(F.lit("").alias("category"), F.col("_changed").alias("n")), *(F.struct(F.lit(k).alias("category"), F.col(k).cast("long").alias("n")) for k in kinds))
+    return totals.select(F.explode(pairs).alias("p")).select("p.*").where("n > 0 or category = ''")
 
 
 def _paths(spark: SparkSession):
