@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from focusloom.config import Config
 from focusloom.functions import text as T
 from focusloom.operators import collective, learning, resume, spheres
-from focusloom.plans import catalogue
+from focusloom.plans import catalogue, handoff, workbench  # noqa: F401, the others add their queries
 from focusloom.sources import crypto, tables
 from focusloom.streaming import ingest
 

@@ -1,4 +1,4 @@
-"""Golden rows of timelines, health, surfaces, workflow, scenarios, maintenance, masks; their queries against DuckDB."""
+"""Golden rows of timelines, health, surfaces, workflow, scenarios, maintenance and masks."""
 
 import hashlib
 import hmac
@@ -7,20 +7,11 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-import focusloom.plans.workbench  # noqa: F401, adds its queries
 from focusloom import config
 from focusloom.operators import collective, connectors, harness, health, packs, resume, retrieve, spheres, surfaces, workflow
 from focusloom.plans import catalogue
 from focusloom.sources import maintenance, shared, tables
-from tests.test_operators import BASE, SF, same, trace
-
-NAMES = [n for n in catalogue.QUERIES if catalogue.QUERIES[n].__module__ == "focusloom.plans.workbench" or n in ("domain_segments", "sphere_timeline", "insights", "learning_state", "connector_fields", "card_prompts", "secure_themes", "fetch_events", "surface_lines", "interruptions", "newer_samples", "health_report")]
-
-
-@pytest.mark.parametrize("name", sorted(set(NAMES) & set(catalogue.SQL)))
-def test_query_equals_sql(spark, name):
-    same(spark, name, catalogue.QUERIES[name], catalogue.SQL[name])
-
+from tests.test_operators import BASE, SF, trace
 
 def test_spheres_are_labelled_and_explained(spark):
     rows = [(0, "gateway retry ledger", 60), (2, "gateway retry budget", 60), (4, "gateway retry parser", 60)]
