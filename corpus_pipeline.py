@@ -28,10 +28,10 @@ NEAR = 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    whole = docs.select(F.col("doc_id").alias("_id"), F.col("text"), row.alias("_row"))
-    kept = toxicity.scored(whole, model, "_id", ("_row",)).where("score < 0.5")
-    return kept.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    whole = docs.select(F.col("doc_id").alias("_id"), *(F.col(f"`{c}`").alias(n) for n, c in zip(names, docs.columns)))
+    kept = toxicity.scored(whole, model, "_id", tuple(names), names[docs.columns.index("text")]).where("score < 0.5")
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from focusloom.llm.common import bounded_batches, lean_worker
 
@@ -199,22 +199,29 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return model
 
 
-def scored(docs: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The key and kept columns with evidence, matches and score of every row: one narrow pass over whole texts."""
+def scored(docs: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """The key and kept columns with evidence, matches and score of every row: one narrow pass over whole texts.
+
+    A string column that is both scored and kept goes to the workers once.
+    """
     cols = [F.col(f"`{key}`").cast("long").alias(key), *(F.col(f"`{c}`") for c in keep)]
-    schema = StructType(docs.select(*cols).schema.fields).add("evidence", "double").add("matches", "integer").add("score", "double")
+    kept = docs.select(*cols).schema
+    schema = StructType(list(kept.fields)).add("evidence", "double").add("matches", "integer").add("score", "double")
     n = len(cols)
+    once = text in keep and kept[text].dataType == StringType()
+    at = 1 + keep.index(text) if once else n
 
     def run(batches):
         lean_worker()
         automaton = model.automaton()
         for batch in batches:
-            got = [evidence(t, automaton) for t in batch.column(n).to_pylist()]
+            got = [evidence(t.as_py(), automaton) for t in batch.column(at)]
             e = np.array([g[0] for g in got])
             score = 1 / (1 + np.exp(-(model.slope * e + model.bias)))
             yield pa.record_batch([*batch.columns[:n], pa.array(e), pa.array([g[1] for g in got], pa.int32()), pa.array(score)], names=[*batch.schema.names[:n], "evidence", "matches", "score"])
 
-    return bounded_batches(docs).select(*cols, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    more = [] if once else [F.col(f"`{text}`").cast("string").alias("_text")]
+    return bounded_batches(docs).select(*cols, *more).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
