@@ -34,16 +34,43 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts_start", late).groupBy(F.window("ts_start", "1 hour"), "domain").agg(F.sum("dwell").alias("dwell"), F.count(F.lit(1)).alias("events"))
 
 
-def assign_spheres(features: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """The batch assignment kept as state for each subject; rows must come in order of time."""
+def sessions(events: DataFrame, gap_minutes: int = 15, late: str = "1 hour") -> DataFrame:
+    """Stretches of a subject's events with no pause longer than the gap, from one's end to the next one's start; later rows than the watermark are left out."""
+    gap = F.make_interval(mins=F.lit(gap_minutes), secs=F.greatest(F.col("dwell"), F.lit(0.0)))
+    timed = events.withColumn("_at", F.col("ts_start").cast("timestamp")).withWatermark("_at", late)
+    return timed.groupBy("subject_id", F.session_window("_at", gap)).agg(
+        F.min("ts_start").alias("session_start"), F.max("ts_end").alias("session_end"), F.sum("dwell").alias("dwell"), F.count(F.lit(1)).alias("events")
+    ).drop("session_window")
+
+
+def assign_spheres(features: DataFrame, cfg: Config = Config(), keep_days: int | None = None, late: str = "1 hour") -> DataFrame:
+    """The batch assignment kept as state for each subject; rows of later triggers must be later.
+
+    With ``keep_days`` a subject's spheres are forgotten after so many days without
+    events: at its next event, however triggers fall, or when the watermark passes.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import pickle
 
-        own = pickle.loads(state.get[0]) if state.exists else Assigner(cfg.session_gap_minutes, cfg.match_threshold)
-        for pdf in frames:
-            rows = [(r.id, r.subject_id, *own.assign(r)) for r in pdf.sort_values(["ts_start", "id"]).itertuples()]
-            yield pd.DataFrame(rows, columns=["id", "subject_id", "sphere_ordinal", "sphere_id", "score"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = pickle.loads(state.get[0]) if state.exists else None
+        rows = []
+        # a subject's rows of one trigger can come in several frames
+        for r in pd.concat(list(frames)).sort_values(["ts_start", "id"]).itertuples():
+            if own is None or (keep_days is not None and own.ended is not None and r.ts_start - own.ended > pd.Timedelta(days=keep_days)):
+                own = Assigner(cfg.session_gap_minutes, cfg.match_threshold)
+            rows.append((r.id, r.subject_id, *own.assign(r)))
         state.update((pickle.dumps(own),))
-
-    return features.groupBy("subject_id").applyInPandasWithState(step, ASSIGNED, "state binary", "append", GroupStateTimeout.NoTimeout)
+        if keep_days is not None:
+            ends = (pd.Timestamp(own.ended) + pd.Timedelta(days=keep_days)).timestamp()
+            state.setTimeoutTimestamp(max(int(ends * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["id", "subject_id", "sphere_ordinal", "sphere_id", "score"])
+
+    timeout = GroupStateTimeout.NoTimeout
+    if keep_days is not None:
+        timeout = GroupStateTimeout.EventTimeTimeout
+        features = features.withColumn("_at", F.col("ts_start").cast("timestamp")).withWatermark("_at", late)
+    return features.groupBy("subject_id").applyInPandasWithState(step, ASSIGNED, "state binary", "append", timeout)

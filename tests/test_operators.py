@@ -82,6 +82,35 @@ def test_streamed_spheres_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("assigned").collect())) == sorted(map(tuple, spheres.assign(e).collect()))
 
 
+def streamed(spark, tmp_path, df, name):
+    """The rows of a stream over the files in tmp_path/in, a trigger for each."""
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
+    q.awaitTermination()
+    return sorted(map(tuple, spark.table(name).collect()))
+
+
+def test_streamed_spheres_are_forgotten(spark, tmp_path):
+    day = 24 * 60
+    features = spheres.features(trace(spark, [(0, "task model induction arxiv paper", 15), (day, "task model induction arxiv paper", 15), (60 * day, "task model induction arxiv paper", 15)]))
+    for i in range(3):  # one after the other: a stream takes files in order of time
+        features.where(F.col("id") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema(features.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    known = [r[4] > 0.52 for r in streamed(spark, tmp_path, ingest.assign_spheres(source()), "kept")]
+    assert known == [False, True, True]
+    known = [r[4] > 0.52 for r in streamed(spark, tmp_path, ingest.assign_spheres(source(), keep_days=14), "forgotten")]
+    assert known == [False, True, False]
+
+
+def test_streamed_sessions(spark, tmp_path):
+    rows = trace(spark, [(0, "a", 600), (20, "b", 60), (50, "c", 60), (52, "d", 60), (10_000, "e", 60)])
+    want = [("s", 0, 21, 660.0, 2), ("s", 50, 53, 120.0, 2), ("s", 10_000, 10_001, 60.0, 1)]
+    minutes = lambda got: [(r[0], *((t - BASE).total_seconds() / 60 for t in r[1:3]), *r[3:]) for r in got]
+    assert minutes(sorted(map(tuple, ingest.sessions(rows).collect()))) == want
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = streamed(spark, tmp_path, ingest.sessions(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), "sessions")
+    assert minutes(got) == want[:2]  # the last is still open
+
+
 def test_streaming_ingest_redacts_before_writing(spark, tmp_path):
     spark.createDataFrame([(1, "s", "Mail", "note to ana@x.org", BASE, BASE, 15.0), (2, "s", "loginwindow", "x", BASE, BASE, 15.0)], ingest.RAW).write.parquet(str(tmp_path / "raw"))
     q = ingest.start(spark.readStream.schema(ingest.RAW).parquet(str(tmp_path / "raw")), str(tmp_path / "out"), str(tmp_path / "c"), once=True)
