@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from focusloom.llm import chat, decontamination, gif, html_blocks, near_dedup, packing, pii, substring_dedup, token_store, toxicity
+from focusloom.llm import byte_bpe, chat, decontamination, gif, html_blocks, near_dedup, packing, pii, substring_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    own = (op1_chat_format, op2_substring_dedup, op3_toxicity, op4_html_text, op5_near_dedup, op6_gif_media, op7_pii_surrogates, op8_decontamination, op9_token_ids, op10_packing, pipeline)
+    own = (op1_chat_format, op2_substring_dedup, op3_toxicity, op4_html_text, op5_near_dedup, op6_gif_media, op7_pii_surrogates, op8_decontamination, op9_token_ids, op10_packing, op11_byte_bpe, pipeline)
     return {f.__name__: f for f in own}
 
 
