@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from focusloom.llm import byte_bpe, chat, decontamination, gif, html_blocks, near_dedup, packing, pii, substring_dedup, token_store, toxicity
+from focusloom.llm import byte_bpe, chat, decontamination, gif, html_blocks, near_dedup, packing, pii, prefix_trie, spelling, substring_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,14 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    own = (op1_chat_format, op2_substring_dedup, op3_toxicity, op4_html_text, op5_near_dedup, op6_gif_media, op7_pii_surrogates, op8_decontamination, op9_token_ids, op10_packing, op11_byte_bpe, pipeline)
+    own = (op1_chat_format, op2_substring_dedup, op3_toxicity, op4_html_text, op5_near_dedup, op6_gif_media, op7_pii_surrogates, op8_decontamination, op9_token_ids, op10_packing, op11_byte_bpe, op12_spelling_variants, op13_prefix_trie, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -144,5 +152,82 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
 
+# crc32 bit by bit, over the UTF-8 bytes of {s}
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(0, octet_length(encode({s}))), lambda i: list_transform(range(0, 8), lambda b: (('0x' || substring(hex(encode({s})), CAST(2 * i + 1 AS INT), 2))::BIGINT >> CAST(b AS INT)) & 1)))), lambda a, b: xor(a >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+
+# near words: equal but for one open place, or one without one place is the other
+_SPELLING = rf"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         unnest(list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+'), lambda w: length(w) >= 7)) AS run
+  FROM documents
+), counted AS (
+  SELECT id || ':' || run AS s, run, count(*) AS n FROM runs GROUP BY ALL
+), hashed AS (
+  SELECT run, n, {_CRC.format(s="s")} AS h FROM counted
+), cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substring(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), opened AS (
+  SELECT word, n, left(word, i - 1) || '*' || substring(word, i + 1) AS k FROM places
+), shorter AS (
+  SELECT DISTINCT word, n, left(word, i - 1) || substring(word, i + 1) AS k FROM places
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM opened a JOIN opened b USING (k) WHERE a.word <> b.word
+  UNION ALL SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.k = w.word
+  UNION ALL SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.k = w.word
+), near AS (
+  SELECT word, count(*) AS n_near, max(m) AS best_n, min(other) FILTER (m = top) AS best FROM (SELECT *, max(m) OVER (PARTITION BY word) AS top FROM pairs) GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+  FROM words w LEFT JOIN near USING (word)
+), chain AS (
+  SELECT word, word AS root, 0 AS d FROM forms
+  UNION ALL SELECT c.word, f.form, d + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN (SELECT word, arg_max(root, d) AS root FROM chain GROUP BY word) USING (word)
+"""
+
+
+# every subtree is summed node by node, by joining each node with the conversations that pass it
+_TRIE = rf"""
+WITH ids AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC.format(s="CAST(conv_id AS VARCHAR)")} % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+), turns AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(role)) || ':' || role || ':' || text)) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), rebuilt AS (
+  SELECT c.conv_id, i, role, text FROM ids c JOIN turns t ON t.conv_id = c.base WHERE i <= h
+  UNION ALL SELECT c.conv_id, i, role, text FROM ids c JOIN turns t ON t.conv_id = c.conv_id WHERE i > h
+), placed AS (
+  SELECT conv_id, row_number() OVER w AS depth, octet_length(encode(text)) AS bytes,
+         md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING)) AS k
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM ids
+), last AS (
+  SELECT conv_id, max(depth) AS depth FROM placed GROUP BY conv_id
+), linked AS (
+  SELECT p.*, lag(k) OVER (PARTITION BY p.conv_id ORDER BY p.depth) AS parent, p.depth = l.depth AS ends FROM placed p JOIN last l USING (conv_id)
+), nodes AS (
+  SELECT k, depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS worth,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM linked GROUP BY k, depth
+), children AS (
+  SELECT parent AS k, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), full_nodes AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (k)
+), below AS (
+  SELECT p.k, sum(u.worth) AS saved, count(*) FILTER (u.n_children = 0) AS leaves
+  FROM placed p JOIN full_nodes u ON u.conv_id = p.conv_id AND u.depth >= p.depth GROUP BY p.k
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN below b USING (k) LEFT JOIN full_nodes p ON p.k = n.parent
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _CHAT, "op2_substring_dedup": _SUBSTRING, "op8_decontamination": _DECONTAMINATION}
+    return {"op1_chat_format": _CHAT, "op2_substring_dedup": _SUBSTRING, "op8_decontamination": _DECONTAMINATION, "op12_spelling_variants": _SPELLING, "op13_prefix_trie": _TRIE}
