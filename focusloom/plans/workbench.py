@@ -49,13 +49,14 @@ named("next_actions", _of(lambda e: e.select("id", spheres.next_action(F.concat_
       ELSE 'Review the latest artifact and decide whether this sphere should continue, pause, or be ignored.' END AS hint FROM (SELECT id, domain || ' ' || artifact AS t FROM e)""")
 def _explained(e: DataFrame) -> DataFrame:
     own = spheres.assigned_once(e)
-    return spheres.explanations(spheres.report(e, own), spheres.token_ranks(e, own, 4)).select("subject_id", "sphere_id", F.array_join("explanations", "; ").alias("explanations"), "next_action")
+    return spheres.explanations(spheres.report(e, own)).select("subject_id", "sphere_id", F.array_join("explanations", "; ").alias("explanations"), "next_action")
 
 
 named("sphere_explanations", _of(_explained))
 named("token_ranks", _of(lambda e: spheres.token_ranks(e, _by_domain(e), 4).select("subject_id", "sphere_id", F.array_join("tokens", " ").alias("tokens"))),
-      f"""{_ROWS}, tk AS (SELECT subject_id, sphere_id, t, count(*) AS c FROM (SELECT subject_id, sphere_id, unnest(list_distinct([x FOR x IN string_split(trim(regexp_replace(lower(artifact), '[^a-z0-9]+', ' ', 'g')), ' ') IF length(x) >= 3 AND NOT regexp_full_match(x, '[0-9]+')])) AS t FROM r) GROUP BY ALL)
-      SELECT subject_id, sphere_id, string_agg(t, ' ' ORDER BY k) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, sphere_id ORDER BY c DESC, t) AS k FROM tk) WHERE k <= 4 GROUP BY 1, 2""")
+      f"""{_ROWS}, tl AS (SELECT subject_id, sphere_id, ts_start, id, list_distinct(ws) AS ds, ws FROM (SELECT *, [x FOR x IN string_split(trim(regexp_replace(lower(artifact), '[^a-z0-9]+', ' ', 'g')), ' ') IF length(x) >= 3 AND NOT regexp_full_match(x, '[0-9]+')] AS ws FROM r)),
+      tk AS (SELECT subject_id, sphere_id, t, count(*) AS c, min((ts_start, id, list_position(ws, t))) AS f FROM (SELECT *, unnest(ds) AS t FROM tl) GROUP BY ALL)
+      SELECT subject_id, sphere_id, string_agg(t, ' ' ORDER BY k) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, sphere_id ORDER BY c DESC, f) AS k FROM tk) WHERE k <= 4 GROUP BY 1, 2""")
 
 # returns
 
