@@ -30,27 +30,60 @@ def theme_of(domain: Column, text: Column) -> Column:
     )
 
 
+def gated(spheres: DataFrame) -> DataFrame:
+    """Spheres that may be counted: not masked or generalised, not of high sensitivity, of a named subject. What a table doesn't tell is open."""
+    out = spheres.where(F.trim("subject_id") != "")
+    if "gate_mode" in spheres.columns:
+        out = out.where(F.coalesce("gate_mode", F.lit("allowed")) == "allowed")
+    if "sensitivity" in spheres.columns:
+        out = out.where(F.coalesce("sensitivity", F.lit("low")) != "high")
+    return out
+
+
 def themes(work: DataFrame, floor: int, cap: int = 24) -> DataFrame:
-    """work(subject_id, theme, events, dwell) -> themes with at least ``floor`` subjects; a floor is 2 or more."""
+    """work(subject_id, theme, events, dwell, and gate_mode, sensitivity, age_seconds if known) -> themes with at least ``floor`` subjects; a floor is 2 or more.
+
+    Only what passes :func:`gated` is counted, so a theme that clears the floor does so without masked work.
+    """
     if floor < 2:
         raise ValueError("a floor under 2 would show single subjects")
-    out = work.groupBy("theme").agg(F.countDistinct("subject_id").alias("subjects"), F.sum("events").alias("events"), F.round(F.sum("dwell") / 3600, 2).alias("hours")).where(F.col("subjects") >= floor)
+    aged = [F.min("age_seconds").alias("evidence_age_seconds")] if "age_seconds" in work.columns else []
+    out = gated(work).groupBy("theme").agg(F.countDistinct("subject_id").alias("subjects"), F.sum("events").alias("events"), F.round(F.sum("dwell") / 3600, 2).alias("hours"), *aged).where(F.col("subjects") >= floor)
     confidence = 0.65 * F.least(F.lit(1.0), F.col("subjects") / (2 * floor)) + 0.35 * F.least(F.lit(1.0), F.col("events") / 40)
     return out.withColumn("confidence", F.round(confidence, 3)).orderBy(F.desc("subjects"), F.desc("hours"), "theme").limit(cap)
 
 
+def synthesis(work: DataFrame, floor: int, cap: int = 24) -> DataFrame:
+    """One row on the themes of :func:`themes`: status, subjects seen (also those without counted work), how many are told, and the decisions taken."""
+    supported = gated(work).groupBy("theme").agg(F.countDistinct("subject_id").alias("s")).agg(F.count_if(F.col("s") >= floor).alias("over"), F.count_if(F.col("s") < floor).alias("n"))
+    seen = work.where(F.trim("subject_id") != "").agg(F.countDistinct("subject_id").alias("subjects_seen"))
+    told, more = F.least("over", F.lit(cap)), F.greatest(F.col("over") - cap, F.lit(0))
+    # Fields and their decisions.
+    decisions = F.array_compact(F.array(F.lit("aggregation_floor: enforced"), F.lit("subject_identity: deny"), F.lit("raw_events: deny"), F.when(more > 0, "themes: truncate")))
+    return supported.crossJoin(F.broadcast(seen)).select(F.when(told > 0, "ready").otherwise("below_floor").alias("status"), "subjects_seen", told.alias("themes_emitted"), more.alias("themes_truncated"), _band(F.col("n")).alias("withheld"), F.array_join(decisions, "; ").alias("decisions"))  # a row each
+
+
+def _band(n: Column) -> Column:
+    return F.when(n == 0, "none").when(n <= 2, "1-2").when(n <= 5, "3-5").otherwise("6+")
+
+
 def withheld(work: DataFrame, floor: int) -> DataFrame:
     """How many themes stay under the floor, as a band: never which."""
-    n = work.groupBy("theme").agg(F.countDistinct("subject_id").alias("s")).agg(F.count_if(F.col("s") < floor).alias("n"))
-    return n.select(F.when(F.col("n") == 0, "none").when(F.col("n") <= 2, "1-2").when(F.col("n") <= 5, "3-5").otherwise("6+").alias("band"))
+    n = gated(work).groupBy("theme").agg(F.countDistinct("subject_id").alias("s")).agg(F.count_if(F.col("s") < floor).alias("n"))
+    return n.select(_band(F.col("n")).alias("band"))
 
 
-def contributions(work: DataFrame, clip: int = 1, vocabulary=C.THEMES) -> DataFrame:
-    """(subject_id, position, value): a clipped count for each declared theme, zeros included."""
-    spark = work.sparkSession
+def contributions(spheres: DataFrame, clip: int = 1, vocabulary=C.THEMES) -> DataFrame:
+    """(subject_id, position, theme, value): how many of a subject's spheres each declared theme has, clipped, zeros included.
+
+    spheres(subject_id, theme, and gate_mode, sensitivity if known): a row a sphere; only those of :func:`gated` count.
+    """
+    if clip < 1:
+        raise ValueError("clip must be at least 1")
+    spark = spheres.sparkSession
     declared = spark.createDataFrame([(i, t) for i, t in enumerate(vocabulary)], "position int, theme string")
-    counts = work.where("theme is not null").groupBy("subject_id", "theme").agg(F.least(F.sum("events"), F.lit(clip)).alias("value"))
-    grid = work.select("subject_id").distinct().crossJoin(F.broadcast(declared))  # a dozen themes
+    counts = gated(spheres).where("theme is not null").groupBy("subject_id", "theme").agg(F.least(F.count(F.lit(1)), F.lit(clip)).alias("value"))
+    grid = spheres.select("subject_id").distinct().crossJoin(F.broadcast(declared))  # a dozen themes
     return grid.join(counts, ["subject_id", "theme"], "left").select("subject_id", "position", "theme", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELS = ("useful", "wrong", "stale", "too_broad", "too_private", "missing_context")
+#: Labels that, while open, keep a pack from being handed on.
+RESTRICTING = ("too_private", "wrong", "stale")
 RECALL_TOLERANCE, NOISE_TOLERANCE, GROWTH_TOLERANCE = 0.02, 0.05, 0.25
 
 
@@ -28,15 +30,24 @@ def cards(spheres: DataFrame, feedback: DataFrame) -> DataFrame:
     return out.withColumn("status", card_status(F.col("confidence"), F.col("age_days")))
 
 
-def blocked_packs(packs: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Packs that an open restriction names by sphere, pack or evidence; one without any sphere blocks all."""
-    open_ones = feedback.where("resolved_at is null and label = 'too_private'")
+def blocked_packs(packs: DataFrame, feedback: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Packs that an open restriction of their subject names by sphere, pack or evidence.
+
+    A privacy objection whose sphere is lost (none, or not among known(subject_id,
+    sphere_id), by default the packs' own) stays in force: it blocks all the
+    subject's packs. Tables without subject_id are one subject's.
+    """
+    by = ["subject_id"] if "subject_id" in packs.columns and "subject_id" in feedback.columns else []
+    open_ones = feedback.where(F.col("resolved_at").isNull() & F.col("label").isin(*RESTRICTING))
     hit = None
     for key in ("sphere_id", "pack_id", "evidence_key"):
-        mine = packs.join(open_ones.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi").select("pack_id")
+        mine = packs.join(open_ones.select(*by, key).where(F.col(key).isNotNull()).distinct(), [*by, key], "left_semi").select("pack_id")
         hit = mine if hit is None else hit.union(mine)
-    everywhere = packs.select("pack_id").crossJoin(F.broadcast(open_ones.where("sphere_id is null and pack_id is null and evidence_key is null").limit(1).select(F.lit(1).alias("_x")))).select("pack_id")  # a row at most
-    return hit.union(everywhere).distinct()
+    spheres = (packs if known is None else known).select(*by, "sphere_id").distinct()
+    lost = open_ones.where("label = 'too_private'").join(spheres, [*by, "sphere_id"], "left_anti")
+    if by:
+        return hit.union(packs.join(lost.select(*by).distinct(), by, "left_semi").select("pack_id")).distinct()
+    return hit.union(packs.select("pack_id").crossJoin(F.broadcast(lost.limit(1).select(F.lit(1).alias("_x")))).select("pack_id")).distinct()  # a row at most
 
 
 def latest_checkpoints(checkpoints: DataFrame, history: int = 10) -> DataFrame:

@@ -48,20 +48,22 @@ def build(spheres: DataFrame, subjects: DataFrame, purpose: str, target: str, bl
 
     spheres: the sphere report. The sphere asked for is taken, else the active
     one, else the first. blocked(sphere_id): spheres under an open restriction.
-    Labels are redacted once more on their way out, and a masked sphere or one in
-    whose label that finds something makes the pack sensitive. Without a sphere
-    a pack is empty; for a target that isn't allowed, or under a restriction,
-    it is blocked and has no content.
+    Labels are redacted once more on their way out, and a masked sphere, or one in whose label or artifacts that or a
+    placeholder is found, makes the pack sensitive. Without a sphere a pack is empty;
+    for a target that isn't allowed, under a restriction or of high sensitivity it
+    is blocked and has no content.
     """
     if purpose not in PURPOSES:
         raise ValueError(f"unknown purpose {purpose!r}")
     allowed = target_allowed(target, cfg)
+    known = spheres
     if sphere_id is not None:
         spheres = spheres.where(F.col("sphere_id") == sphere_id)
     best = spheres.groupBy("subject_id").agg(F.min_by(F.struct(*(c for c in spheres.columns if c != "subject_id")), F.struct(F.col("state") != "active", "rank")).alias("s"))
     df = subjects.select("subject_id").distinct().join(best, "subject_id", "left").withColumn("title", F.col("s.label"))
     df = redact(df, "title", cfg, "found").withColumn("title", shorten(F.col("title"), 96))
-    placeholder = F.lower(F.concat_ws(" ", "s.label", "s.task", "s.domain"))
+    names = F.transform("s.artifacts", lambda a: a["name"]) if "artifacts" in spheres.columns else F.lit("")
+    placeholder = F.lower(F.concat_ws(" ", "s.label", "s.task", "s.domain", names))
     marked = F.coalesce(*(F.when(placeholder.contains(m), True) for m in C.PLACEHOLDERS), F.lit(False))
     sensitive = F.coalesce(F.col("s.gate_mode") != "allowed", F.lit(False)) | marked | (F.size("found") > 0)
     if blocked is None:
@@ -69,7 +71,8 @@ def build(spheres: DataFrame, subjects: DataFrame, purpose: str, target: str, bl
     else:
         named = blocked.select("sphere_id").distinct().select(F.col("sphere_id").alias("_id"), F.lit(True).alias("_b"))
         df = df.join(named, F.col("s.sphere_id") == F.col("_id"), "left").withColumn("_b", F.coalesce("_b", F.lit(False)))
-    restricted = F.col("_b") & F.col("s").isNotNull() & F.lit(allowed)
+    high = F.coalesce(F.col("s.sensitivity") == "high", F.lit(False)) if "sensitivity" in spheres.columns else F.lit(False)
+    restricted = (F.col("_b") | high) & F.col("s").isNotNull() & F.lit(allowed)
     status = F.when(F.col("s").isNull(), "empty").when(F.lit(not allowed) | restricted, "blocked").otherwise("ready")
     df = df.withColumn("status", status).withColumn("decisions", _ledger(F.col("status"), sensitive, allowed, restricted))
     shown = lambda c: F.when(F.col("status") == "ready", c)

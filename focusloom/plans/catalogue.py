@@ -226,6 +226,33 @@ named("collective_themes", _of(lambda e: collective.themes(_work(e), 20)),
 named("themes_withheld", _of(lambda e: collective.withheld(_work(e), 20)),
       f"{_WORK} SELECT CASE WHEN n = 0 THEN 'none' WHEN n <= 2 THEN '1-2' WHEN n <= 5 THEN '3-5' ELSE '6+' END AS band FROM (SELECT count(*) FILTER (s < 20) AS n FROM (SELECT theme, count(DISTINCT subject_id) AS s FROM k GROUP BY 1))")
 _DECLARED = f"{_E}, k AS (SELECT DISTINCT subject_id, CASE domain WHEN 'coding' THEN 'coding:implementation' WHEN 'communication' THEN 'communication:async' WHEN 'planning' THEN 'planning:coordination' END AS theme FROM e WHERE domain <> 'system')"
+
+
+def _gated_spheres(e: DataFrame) -> DataFrame:
+    """A sphere of each subject's artifact, of whose titles some were masked, hidden or sensitive: gates and sensitivities of all kinds."""
+    shown = F.when(F.col("id") % 11 == 0, config.REDACTED_TITLE).when(F.col("id") % 7 == 0, F.concat(F.lit("[email] "), "artifact")).when(F.col("id") % 5 == 0, config.NO_TITLE).otherwise(F.col("artifact"))
+    rows = overview.without_system(e).withColumn("gate", T.gate_for_event(shown, shown, F.lit(False)))
+    by = rows.groupBy("subject_id", "domain", "artifact").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("dwell").cast("double").alias("dwell"), F.min(F.timestamp_diff("SECOND", F.col("ts_end"), as_of_column())).alias("age_seconds"),
+        F.max(F.col("gate.mode") == "masked").alias("masked"), F.max(F.col("gate.sensitivity") == "high").alias("high"),
+    )
+    gate = F.when(F.col("masked"), "masked").otherwise("allowed").alias("gate_mode")
+    return by.select("*", gate, F.when(F.col("high"), "high").when(F.col("masked"), "medium").otherwise("low").alias("sensitivity"))
+
+
+_GATED = f"""{_E}, s AS (SELECT subject_id, domain, artifact, count(*) AS events, CAST(sum(dwell) AS DOUBLE) AS dwell, min(CAST(trunc(epoch({_CUT} - ts_end)) AS BIGINT)) AS age_seconds,
+  bool_or(id % 11 = 0) AS high, bool_or(id % 11 = 0 OR id % 7 = 0) AS masked FROM e WHERE domain <> 'system' AND action <> 'system' GROUP BY 1, 2, 3)"""
+_OPEN = f"{_GATED}, k AS (SELECT *, {_KEYSQL} AS theme FROM s WHERE NOT masked AND NOT high)"
+_keyed = lambda e: _gated_spheres(e).withColumn("theme", T.theme_key(F.col("domain"), F.col("artifact")))
+named("gated_themes", _of(lambda e: collective.themes(_keyed(e), 20)),
+      f"{_OPEN} SELECT theme, count(DISTINCT subject_id) AS subjects, sum(events) AS events, round(sum(dwell) / 3600, 2) AS hours, min(age_seconds) AS evidence_age_seconds, round(0.65 * least(1.0, count(DISTINCT subject_id) / 40) + 0.35 * least(1.0, sum(events) / 40), 3) AS confidence FROM k GROUP BY 1 HAVING count(DISTINCT subject_id) >= 20 ORDER BY subjects DESC, hours DESC, theme LIMIT 24")
+named("theme_decisions", _of(lambda e: collective.synthesis(_keyed(e), 3)),
+      f"""{_OPEN}, t AS (SELECT theme, count(DISTINCT subject_id) AS n FROM k GROUP BY 1), c AS (SELECT count(*) FILTER (n >= 3) AS o, count(*) FILTER (n < 3) AS u FROM t)
+      SELECT CASE WHEN o > 0 THEN 'ready' ELSE 'below_floor' END AS status, (SELECT count(DISTINCT subject_id) FROM s) AS subjects_seen, least(o, 24) AS themes_emitted, greatest(o - 24, 0) AS themes_truncated,
+      CASE WHEN u = 0 THEN 'none' WHEN u <= 2 THEN '1-2' WHEN u <= 5 THEN '3-5' ELSE '6+' END AS withheld, 'aggregation_floor: enforced; subject_identity: deny; raw_events: deny' || CASE WHEN o > 24 THEN '; themes: truncate' ELSE '' END AS decisions FROM c""")
+named("gated_contributions", _of(lambda e: collective.contributions(_gated_spheres(e).withColumn("theme", collective.theme_of(F.col("domain"), F.col("artifact"))), 3).drop("position")),
+      f"""{_GATED}, k AS (SELECT subject_id, CASE domain WHEN 'coding' THEN 'coding:implementation' WHEN 'communication' THEN 'communication:async' WHEN 'planning' THEN 'planning:coordination' END AS theme, count(*) AS n FROM s WHERE NOT masked AND NOT high GROUP BY 1, 2)
+      SELECT u.subject_id, v.theme, CAST(least(coalesce(n, 0), 3) AS BIGINT) AS value FROM (SELECT DISTINCT subject_id FROM s) u CROSS JOIN (VALUES {", ".join(f"('{t}')" for t in config.THEMES)}) v(theme) LEFT JOIN k ON k.subject_id = u.subject_id AND k.theme = v.theme""")
 _VOCABULARY = "(VALUES " + ", ".join(f"('{t}')" for t in config.THEMES) + ") v(theme)"
 named("secure_theme_totals", _of(lambda e: collective.secure_sum(collective.masked(collective.contributions(_declared(e)), b"cohort secret", "2024-W05"))),
       f"{_DECLARED} SELECT v.theme, count(DISTINCT subject_id) AS total FROM {_VOCABULARY} LEFT JOIN k ON k.theme = v.theme GROUP BY 1")
@@ -261,8 +288,23 @@ _PIVOT = f"{_E}, f AS ({_FEEDBACK}), v AS (SELECT sphere_id, " + ", ".join(f"cou
 named("feedback_pivot", _of(lambda e: learning.feedback_pivot(_feedback(e))), f"{_PIVOT} SELECT * FROM v")
 _STATUS = "CASE WHEN coalesce(too_private, 0) > 0 THEN 'privacy_review' WHEN coalesce(stale, 0) > 0 THEN 'stale' WHEN coalesce(wrong + too_broad + missing_context, 0) > 0 THEN 'needs_evidence' WHEN confidence < 0.45 THEN 'weak' WHEN coalesce(useful, 0) > 0 THEN 'validated' WHEN age_days > 7 THEN 'aging' ELSE 'learning' END"
 named("cards", _of(lambda e: learning.cards(_sphere_figures(e), _feedback(e)).select("sphere_id", "status")), f"{_PIVOT}, s AS ({_FIGURES}) SELECT sphere_id, {_STATUS} AS status FROM s LEFT JOIN v USING (sphere_id)")
-named("restrictions", _of(lambda e: learning.blocked_packs(e.select("subject_id", "domain", (F.col("id") % 4).alias("k")).distinct().select(F.concat(F.lit("p"), "subject_id", F.lit("|"), F.col("k").cast("string")).alias("pack_id"), F.concat_ws("|", "subject_id", "domain").alias("sphere_id"), F.concat(F.lit("k"), "subject_id", F.lit("|"), F.col("k").cast("string")).alias("evidence_key")), _feedback(e))),
-      f"{_E}, f AS (SELECT * FROM ({_FEEDBACK}) WHERE resolved_at IS NULL AND label = 'too_private'), p AS (SELECT DISTINCT 'p' || subject_id || '|' || (id % 4) AS pack_id, subject_id || '|' || domain AS sphere_id, 'k' || subject_id || '|' || (id % 4) AS evidence_key FROM e) SELECT DISTINCT pack_id FROM p WHERE sphere_id IN (SELECT sphere_id FROM f) OR pack_id IN (SELECT pack_id FROM f WHERE pack_id IS NOT NULL) OR evidence_key IN (SELECT evidence_key FROM f WHERE evidence_key IS NOT NULL)")
+def _packs_of(e: DataFrame) -> DataFrame:
+    """Four packs of each subject's spheres but those of talk: objections to these have lost their sphere."""
+    own = lambda p: F.concat(F.lit(p), "subject_id", F.lit("|"), F.col("k").cast("string"))
+    rows = e.where("domain <> 'communication'").select("subject_id", "domain", (F.col("id") % 4).alias("k")).distinct()
+    return rows.select("subject_id", own("p").alias("pack_id"), F.concat_ws("|", "subject_id", "domain").alias("sphere_id"), own("k").alias("evidence_key"))
+
+
+def _mostly_resolved(e: DataFrame) -> DataFrame:
+    """The feedback, of which most was resolved: else hardly a pack would be free."""
+    return _feedback(e).withColumn("resolved_at", F.coalesce("resolved_at", F.when(F.col("id") % 24 != 5, F.col("created_at"))))
+
+
+named("restrictions", _of(lambda e: learning.blocked_packs(_packs_of(e), _mostly_resolved(e))),
+      f"""{_E}, f AS (SELECT * FROM ({_FEEDBACK}) WHERE resolved_at IS NULL AND id % 24 = 5 AND label IN ('too_private', 'wrong', 'stale')),
+      p AS (SELECT DISTINCT subject_id, 'p' || subject_id || '|' || (id % 4) AS pack_id, subject_id || '|' || domain AS sphere_id, 'k' || subject_id || '|' || (id % 4) AS evidence_key FROM e WHERE domain <> 'communication')
+      SELECT DISTINCT pack_id FROM p WHERE EXISTS (SELECT 1 FROM f WHERE f.subject_id = p.subject_id AND (f.sphere_id = p.sphere_id OR f.pack_id = p.pack_id OR f.evidence_key = p.evidence_key
+        OR f.label = 'too_private' AND (f.sphere_id IS NULL OR f.sphere_id NOT IN (SELECT sphere_id FROM p q WHERE q.subject_id = f.subject_id))))""")
 named("latest_checkpoints", _of(lambda e: learning.latest_checkpoints(_feedback(e), 3).select("id", "sphere_id", "revision")),
       f"{_E}, f AS ({_FEEDBACK}) SELECT id, sphere_id, revision FROM (SELECT *, row_number() OVER (PARTITION BY sphere_id ORDER BY created_at DESC, id DESC) AS revision FROM f) WHERE revision <= 3")
 _RUN_A = [("resume", 1.0, 0.0, 9, 11557), ("canary", 1.0, 0.0, 9, 12016), ("gate", 1.0, 0.1, 9, 11091), ("denied", 1.0, 0.0, 11, 5872), ("stale", 1.0, 0.0, 10, 5782), ("gone", 1.0, 0.0, 1, 10)]

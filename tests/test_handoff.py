@@ -48,6 +48,13 @@ def test_pack(spark, label, gate, target, restricted, status, counts):
     assert "ana@x.org" not in text and (status == "ready") == ("## Summary" in text)
 
 
+def test_high_sensitivity_blocks_and_placeholders_in_artifacts_mask(spark):
+    schema = SPHERE + ", sensitivity string, artifacts array<struct<name:string,events:long>>"
+    one = lambda how, name: packs.build(spark.createDataFrame([("s", 1, "a", "parser work", "coding", "build", 3, 1, 60.0, "active", 0.5, "allowed", how, [(name, 3)])], schema), spark.createDataFrame([("s",)], "subject_id string"), "coding", "codex").first()
+    assert one("high", "x")["status"] == "blocked" and one("high", "x")["summary"] is None and one("high", "x")["decisions"][-1]["decision"] == "deny"
+    assert one("low", "x")["summary"]["gate_mode"] == "allowed" and one("low", "to [EMAIL] at x")["summary"]["gate_mode"] == "masked"
+
+
 def test_coverage(spark):
     end = datetime(2024, 1, 31)
     rows = [("new", end - timedelta(seconds=180)), ("old", end - timedelta(seconds=181)), ("none", None), ("ahead", end + timedelta(hours=1))]

@@ -151,6 +151,30 @@ def test_private_feedback_without_a_sphere_blocks_all(spark):
     assert blocked([("too_private", "s1", None, None, "2024")]) == set()
 
 
+def test_restrictions_by_label_and_subject(spark):
+    packs = spark.createDataFrame([("p1", "u", "s1", "k1"), ("p2", "u", "s2", "k2"), ("p3", "v", "s3", "k3")], "pack_id string, subject_id string, sphere_id string, evidence_key string")
+    schema = "label string, subject_id string, sphere_id string, pack_id string, evidence_key string, resolved_at string"
+    blocked = lambda *rows: {r[0] for r in learning.blocked_packs(packs, spark.createDataFrame(list(rows), schema)).collect()}
+    assert blocked(("wrong", "u", "s1", None, None, None)) == {"p1"} == blocked(("stale", "u", None, "p1", None, None))
+    assert blocked(("too_private", "u", "gone", "old", None, None)) == {"p1", "p2"}  # its sphere is lost: the objection stays
+    assert blocked(("wrong", "u", "gone", None, None, None), ("useful", "u", "s1", None, None, None), ("too_broad", "u", "s1", None, None, None)) == set()
+    assert blocked(("too_private", "u", "s1", None, None, None), ("stale", "v", None, None, "k3", None)) == {"p1", "p3"}
+    assert blocked(("wrong", "v", "s1", None, None, None)) == set()  # another subject's
+    assert blocked(("too_private", "u", "gone", None, None, "2024")) == set()
+
+
+def test_masked_and_sensitive_work_is_never_counted(spark):
+    schema = "subject_id string, theme string, events long, dwell double, gate_mode string, sensitivity string"
+    rows = [(str(i), "coding:review", 1, 60.0, *how) for i, how in enumerate([("allowed", "low")] * 2 + [("masked", "medium"), ("generalized", "low"), ("allowed", "high")] * 4)]
+    work = spark.createDataFrame(rows + [("", "coding:review", 1, 1.0, "allowed", "low"), ("0", "coding:review", 1, 1.0, None, None)], schema)
+    assert [(r.subjects, r.events) for r in collective.themes(work, 2).collect()] == [(2, 3)] and collective.themes(work, 3).count() == 0
+    assert collective.synthesis(work, 3).first()[:5] == ("below_floor", 14, 0, 0, "1-2")
+    counted = {(r.subject_id, r.value) for r in collective.contributions(work, 5).where("theme = 'coding:review'").collect()}
+    assert {("0", 2), ("1", 1), ("2", 0), ("13", 0)} <= counted and sum(v for _, v in counted) == 3
+    many = spark.createDataFrame([("0", "coding:review")] * 50, "subject_id string, theme string")
+    assert collective.contributions(many).agg(F.max("value")).first()[0] == 1
+
+
 def same(spark, name, build, sql):
     con = duckdb.connect()
     for f in os.listdir(SF):
