@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from focusloom import config as C
+from focusloom.sources.shared import written
 
 MODULUS = 2**32
 
@@ -87,8 +88,8 @@ def contributions(spheres: DataFrame, clip: int = 1, vocabulary=C.THEMES) -> Dat
     return grid.join(counts, ["subject_id", "theme"], "left").select("subject_id", "position", "theme", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 
 
-#: Subjects that agree on masks with each other; a cohort of more is dealt into groups of about so many.
-COHORT = 32
+#: With how many others a subject agrees on masks, half of them on each side of it in the ring.
+PARTNERS = 32
 
 
 def _hmac(secret: bytes, message: Column) -> Column:
@@ -98,31 +99,100 @@ def _hmac(secret: bytes, message: Column) -> Column:
     return F.sha2(F.concat(F.lit(bytes(k ^ 0x5C for k in key)), F.unhex(inner)), 256)
 
 
-def masked(values: DataFrame, secret: bytes, round_id: str, cohort: int = COHORT) -> DataFrame:
-    """Each value with its subject's masks added, modulo 2^32.
+def _padded(key: Column, pad: int) -> Column:
+    """A key of 32 bytes, given in hex, xored with a pad and filled up to a block of 64."""
+    word = lambda i: F.conv(F.substring(key, 1 + 8 * i, 8), 16, 10).cast("long").bitwiseXOR(F.lit(int.from_bytes(bytes([pad]) * 4)))
+    return F.concat(F.unhex(F.concat(*(F.lpad(F.hex(word(i)), 8, "0") for i in range(8)))), F.lit(bytes([pad]) * 32))
 
-    All pairs of a group agree on a mask that enters once with either sign, so
-    masks cancel in the sum, and all others of a group would have to collude to
-    see one value. Up to ``cohort`` subjects are one group; more are dealt out by
-    hash, so that the number of pairs grows with the subjects and not with their square.
+
+def mask_stream(seed: Column, width: int) -> list[Column]:
+    """The first words (32 bits) of a seed's stream: HMAC-SHA256 of a counter of 8 bytes, with the seed (hex) as key."""
+    inner, outer, words = _padded(seed, 0x36), _padded(seed, 0x5C), []
+    for block in range(-(-width // 8)):
+        digest = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.lit(block.to_bytes(8))), 256))), 256)
+        words += [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(8)]
+    return words[:width]
+
+
+def pair_seed(secret: bytes, round_id: str, one: Column, other: Column) -> Column:
+    """What two subjects share in a round, in hex."""
+    return _hmac(secret, F.concat_ws("|", F.lit(round_id), F.least(one, other), F.greatest(one, other)))
+
+
+def _ring(subjects: DataFrame) -> DataFrame:
+    """(subject_id, place, n): subjects in a ring by hash, numbered without gathering them in one task."""
+    key = F.sha2("subject_id", 256)
+    dealt = subjects.withColumn("_h", key).repartitionByRange("_h", "subject_id").sortWithinPartitions("_h", "subject_id")
+    marked = written(dealt.select("subject_id", F.monotonically_increasing_id().alias("_at")), "ring")  # the partition, and the row within it
+    part = F.shiftright("_at", 33)
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))  # a row a partition
+    w = Window.partitionBy(F.lit(0)).orderBy("_part")
+    starts = sizes.select("_part", (F.sum("_size").over(w) - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy(F.lit(0))).alias("n"))
+    return marked.withColumn("_part", part).join(F.broadcast(starts), "_part").select("subject_id", (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"), "n")
+
+
+def pairs(subjects: DataFrame, partners: int = PARTNERS) -> DataFrame:
+    """(subject_id, other) both ways: who agrees on masks with whom.
+
+    Each subject pairs with half of ``partners`` on each side of it in one ring of
+    all, so all are connected, and pairs grow with the subjects. Where the ring has
+    no more than partners + 1 subjects these are all pairs there are.
     """
-    subjects = values.select("subject_id").distinct()
-    groups = subjects.agg(F.greatest(F.floor(F.count(F.lit(1)) / cohort), F.lit(1)).alias("_n"))
-    dealt = subjects.crossJoin(F.broadcast(groups)).select("subject_id", F.pmod(F.xxhash64("subject_id"), F.col("_n")).alias("_g"))  # one row
-    pairs = dealt.join(dealt.withColumnRenamed("subject_id", "other"), "_g").where("subject_id <> other").drop("_g")
-    first, second = F.least("subject_id", "other"), F.greatest("subject_id", "other")
-    rows = values.join(pairs, "subject_id", "left")
-    seed = F.concat_ws("|", F.lit(round_id), first, second, F.col("position").cast("string"))
-    drawn = F.conv(F.substr(_hmac(secret, seed), F.lit(1), F.lit(8)), 16, 10).cast("long")
-    mask = F.when(F.col("other").isNull(), 0).when(F.col("subject_id") < F.col("other"), drawn).otherwise(-drawn)
-    return rows.groupBy("subject_id", "position", "theme").agg(F.pmod(F.first("value") + F.sum(mask), F.lit(MODULUS)).alias("masked"))
-
-
-def secure_sum(contributed: DataFrame) -> DataFrame:
-    """Totals of masked values by theme; a total over 2^31 shows that masks didn't cancel."""
+    ring = _ring(subjects.select("subject_id").distinct())
+    away = F.sequence(F.lit(1), F.least(F.lit(max(1, partners // 2)), F.expr("cast(n div 2 as int)")))
+    ahead = ring.where("n > 1").select("subject_id", "place", "n", F.explode(away).alias("away")).select("subject_id", F.expr("(place + away) % n").alias("place"))
+    met = ahead.join(ring.select(F.col("subject_id").alias("other"), "place"), "place")
+    once = met.select(F.least("subject_id", "other").alias("a"), F.greatest("subject_id", "other").alias("b")).distinct()  # in a small ring two meet from both sides
+    return once.select(F.explode(F.array(F.struct(F.col("a").alias("subject_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("subject_id"), F.col("a").alias("other")))).alias("p")).select("p.*")
+
+
+def masked(values: DataFrame, secret: bytes, round_id: str, partners: int = PARTNERS, vocabulary=C.THEMES) -> DataFrame:
+    """Each value with its subject's masks added, modulo 2^32, and what the round's cohort is: its digest and size.
+
+    Two partners agree on a stream that the lower one adds and the higher one
+    subtracts: masks cancel in the sum over the whole cohort and not before, and a
+    subject's value shows only if all its partners collude. A cohort of one is refused.
+    """
+    width = len(vocabulary)
+    pair = written(pairs(values, partners), "pairs").withColumn("seed", pair_seed(secret, round_id, F.col("subject_id"), F.col("other")))
+    sign = F.when(F.col("subject_id") < F.col("other"), 1).otherwise(-1)
+    drawn = pair.select("subject_id", sign.alias("sign"), F.array(*mask_stream(F.col("seed"), width)).alias("words"))
+    masks = drawn.groupBy("subject_id").agg(F.array(*(F.sum(F.col("sign") * F.col("words")[i]) for i in range(width))).alias("mask"))
+    part = lambda i: F.bit_xor(F.conv(F.substring(F.sha2("subject_id", 256), 1 + 8 * i, 8), 16, 10).cast("long"))
+    members = values.select("subject_id").distinct().agg(F.sha2(F.concat_ws("|", part(0), part(1), part(2), part(3), F.count(F.lit(1))), 256).alias("digest"), F.count(F.lit(1)).alias("cohort_size"))
+    refused = F.raise_error(F.lit("masking needs at least two cohort members"))
+    cohort = members.select(F.substring("digest", 1, 16).alias("cohort_digest"), F.when(F.col("cohort_size") < 2, refused.cast("long")).otherwise(F.col("cohort_size")).alias("cohort_size"))
+    rows = values.crossJoin(F.broadcast(cohort)).join(masks, "subject_id", "left")  # one row of the cohort
+    return rows.select("subject_id", "position", "theme", F.pmod(F.col("value") + F.get("mask", F.col("position")), F.lit(MODULUS)).alias("masked"), F.lit(round_id).alias("round_id"), "cohort_digest", "cohort_size")
+
+
+def totals(values: DataFrame) -> DataFrame:
+    """Open totals of (position, theme, value)."""
+    return values.groupBy("position", "theme").agg(F.sum("value").alias("total")).select("theme", "total")
+
+
+def secure_sum(contributed: DataFrame, vocabulary=C.THEMES) -> DataFrame:
+    """Totals of masked values by theme.
+
+    Refused, within the plan: rows of different rounds or cohorts, a cohort of which
+    not all members contributed once, other positions than the vocabulary's; and a
+    total over 2^31, which shows that masks didn't cancel.
+    """
+    seen = contributed.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("positions"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("round_id", "cohort_digest", "cohort_size") for f in (F.min, F.max)))
+    checks = seen.agg(
+        F.count(F.lit(1)).alias("members"), F.max("max_cohort_size").alias("size"), F.max((F.col("n") != len(vocabulary)) | (F.col("positions") != len(vocabulary))).alias("wide"),
+        *(((F.min(f"min_{c}") != F.max(f"max_{c}")).alias(c)) for c in ("round_id", "cohort_digest", "cohort_size")),
+    )
+    no = F.lit("masks do not cancel: ")
+    why = F.coalesce(
+        F.when(F.col("round_id"), F.concat(no, F.lit("contributions come from different rounds"))), F.when(F.col("cohort_digest") | F.col("cohort_size"), F.concat(no, F.lit("contributions describe different cohorts"))),
+        F.when(F.col("members") != F.col("size"), F.concat(no, F.lit("the cohort is incomplete, "), F.col("members").cast("string"), F.lit(" of "), F.col("size").cast("string"), F.lit(" reported"))),
+        F.when(F.col("wide"), F.concat(no, F.lit("contributions don't have the declared vocabulary's positions once each"))),
+    )
     out = contributed.groupBy("position", "theme").agg(F.pmod(F.sum("masked"), F.lit(MODULUS)).alias("total"))
-    checked = F.when(F.col("total") > 2**31, F.raise_error(F.lit("masks do not cancel: a cohort is not complete, or secrets differ"))).otherwise(F.col("total"))
-    return out.select("theme", checked.cast("long").alias("total"))
+    checked = out.crossJoin(F.broadcast(checks.select(why.alias("why"))))  # one row
+    wrong = F.coalesce("why", F.when(F.col("total") > 2**31, F.lit("masks do not cancel: the cohort or secrets differ")))
+    return checked.select("theme", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("long")).otherwise(F.col("total")).alias("total"))
 
 
 def check_round(cohort: list[str], round_id: str, contributed: list[str], width: int, vocabulary=C.THEMES) -> None:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from focusloom.sources.shared import written
+
 GAP_MINUTES, SUBSTANTIVE = 15, 60.0
 
 
@@ -30,49 +31,54 @@ def runs(events: DataFrame, gap_minutes: int = GAP_MINUTES, cluster: Column | No
     return rows.groupBy("subject_id", "run").agg(F.first("cluster").alias("cluster"), F.min("ts_start").alias("run_start"), F.max("ts_end").alias("run_end"), F.sum("dwell").cast("double").alias("dwell"), F.count(F.lit(1)).alias("events"))
 
 
+def returns(found: DataFrame, gap_minutes: int = GAP_MINUTES, substantive: float = SUBSTANTIVE) -> DataFrame:
+    """Each run at which work was interrupted and later taken up again, with the first substantive run that does so.
+
+    The last substantive run before an interruption and the next one of its cluster
+    are window functions: no run of that cluster can lie between the two.
+    """
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    timed = found.select("subject_id", "run", "cluster", "dwell", seconds("run_start").alias("start"), seconds("run_end").alias("end"), (F.col("dwell") >= substantive).alias("real"))
+    mine = Window.partitionBy("subject_id", "cluster", "real").orderBy("run")
+    after = timed.withColumn("back", F.when(F.col("real"), F.struct("run", "cluster", F.lead("run").over(mine).alias("to"), F.lead("start").over(mine).alias("at"))))
+    w = Window.partitionBy("subject_id").orderBy("run")
+    anchor = F.last("back", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = after.select("subject_id", "run", "cluster", "start", F.lag("run").over(w).alias("left_run"), F.lag("end").over(w).alias("left_end"), anchor.alias("task")).where("left_run is not null and task.to is not null")
+    gap, away = F.lit(gap_minutes * 60.0), F.col("task.at") - F.col("start")
+    long = F.col("start") - F.col("left_end") >= gap
+    switched = (F.col("task.run") == F.col("left_run")) & (F.col("task.cluster") != F.col("cluster")) & (away >= gap)
+    told = F.when(long, F.col("start") - F.col("left_end")).otherwise(F.col("task.at") - F.col("left_end"))
+    return rows.where(long | switched).select("subject_id", "run", "left_run", F.col("task.to").alias("back_run"), F.col("task.cluster").alias("cluster"), away.alias("resume_seconds"), told.alias("gap_seconds"))
+
+
+def _next_beyond(steps: DataFrame) -> DataFrame:
+    """hop: the first of a subject's steps after each step's own return. One sorted pass, latest first."""
+    ends = steps.select("subject_id", F.col("back_run").alias("at"), F.lit(0).alias("is_step"), F.struct(*steps.columns).alias("step"))
+    both = steps.select("subject_id", F.col("run").alias("at"), F.lit(1).alias("is_step"), F.lit(None).cast(ends.schema["step"].dataType).alias("step")).unionByName(ends)
+    w = Window.partitionBy("subject_id").orderBy(F.desc("at"), "is_step").rowsBetween(Window.unboundedPreceding, 0)
+    hop = F.last(F.when(F.col("is_step") == 1, F.col("at")), ignorenulls=True).over(w)
+    return both.withColumn("hop", hop).where("is_step = 0").select("step.*", "hop")
+
+
 def resume_events(found: DataFrame, gap_minutes: int = GAP_MINUTES, substantive: float = SUBSTANTIVE) -> DataFrame:
-    """Interruptions that end in a return. Each return moves the scan on past it, so a subject's runs are read in order."""
-    gap = gap_minutes * 60.0
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("run")
-        start, end = (pdf[c].astype("datetime64[us]").astype("int64").to_numpy() / 1e6 for c in ("run_start", "run_end"))
-        dwell, names, subject = pdf["dwell"].to_numpy(), pdf["cluster"].tolist(), pdf["subject_id"].iloc[0] if len(pdf) else None
-        good: dict[str, list[int]] = {}
-        for j, c in enumerate(names):
-            if dwell[j] >= substantive:
-                good.setdefault(c, []).append(j)
-        anchors, last = [], None
-        for j in range(len(names)):
-            anchors.append(last)
-            last = j if dwell[j] >= substantive else last
-
-        def first_return(name: str, at: int) -> int | None:
-            from bisect import bisect_left
-
-            mine = good.get(name, [])
-            k = bisect_left(mine, at)
-            return mine[k] if k < len(mine) else None
-
-        out, i = [], 1
-        while i < len(names):
-            p = i - 1
-            step = i + 1
-            if start[i] - end[p] < gap:
-                if dwell[p] >= substantive and names[i] != names[p]:
-                    r = first_return(names[p], i + 1)
-                    if r is not None and start[r] - start[i] >= gap:
-                        out.append((subject, p, r, names[p], start[r] - start[i], start[r] - end[p]))
-                        step = r + 1
-            elif anchors[i] is not None:
-                r = first_return(names[anchors[i]], i)
-                if r is not None:
-                    out.append((subject, p, r, names[anchors[i]], start[r] - start[i], start[i] - end[p]))
-                    step = r + 1
-            i = step
-        return pd.DataFrame(out, columns=["subject_id", "left_run", "back_run", "cluster", "resume_seconds", "gap_seconds"])
-
-    return found.groupBy("subject_id").applyInPandas(scan, "subject_id string, left_run long, back_run long, cluster string, resume_seconds double, gap_seconds double")
+    """Interruptions that end in a return. Each return moves the scan on past it, to the next interruption beyond.
+
+    The scan is a path through these pointers. It is marked by doubling them: in
+    each round twice as many steps of the path are known, for all subjects at once.
+    """
+    steps = returns(found, gap_minutes, substantive)
+    first = F.min("run").over(Window.partitionBy("subject_id")) == F.col("run")
+    told = written(_next_beyond(steps).withColumn("told", first), "returns")
+    now = told.select("subject_id", "run", "hop", "told")
+    while True:
+        reached = now.where("told and hop is not null").select("subject_id", F.col("hop").alias("run"), F.lit(True).alias("met"))
+        beyond = now.select("subject_id", F.col("run").alias("hop"), F.col("hop").alias("next"))
+        after = now.join(reached, ["subject_id", "run"], "left").join(beyond, ["subject_id", "hop"], "left")
+        # two steps can't reach one: a path's pointers all lead ahead, each to another run
+        now = written(after.select("subject_id", "run", F.col("next").alias("hop"), (F.col("told") | F.col("met").isNotNull()).alias("told")).distinct(), "returns")
+        if not now.where("told and hop is not null").limit(1).count():
+            break
+    return told.drop("told", "hop").join(now.where("told").select("subject_id", "run"), ["subject_id", "run"]).select("subject_id", "left_run", "back_run", "cluster", "resume_seconds", "gap_seconds")
 
 
 #: Fractions whose places a distribution tells.

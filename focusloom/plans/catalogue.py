@@ -126,20 +126,47 @@ for _name, _text in _ASKED.items():
 # graph
 
 _GTASK = "CASE WHEN contains(lower(artifact), 'pull request') THEN 'review code changes' WHEN contains(lower(artifact), 'issue') OR contains(lower(artifact), 'ticket') THEN 'track implementation work' ELSE CASE domain WHEN 'browser-research' THEN 'research and source review' WHEN 'coding' THEN 'build, debug, or review code' WHEN 'communication' THEN 'communicate and follow up' WHEN 'planning' THEN 'plan and coordinate work' WHEN 'system' THEN 'system state' ELSE 'unclassified work' END END"
-_G = f"""{_E}, p AS (SELECT *, {_GTASK} AS task, strftime(date_trunc('hour', ts_start), '%Y-%m-%d %H:00') AS "time", lag(domain) OVER q AS pd, lag(artifact) OVER q AS pa FROM e WINDOW q AS (PARTITION BY subject_id ORDER BY ts_start, id)),
-nn AS (SELECT ts_start, id, dwell, unnest([{{'type': 'subject', 'label': 'you'}}, {{'type': 'app', 'label': app}}, {{'type': 'domain', 'label': domain}}, {{'type': 'artifact', 'label': artifact}}, {{'type': 'task', 'label': task}}, {{'type': 'time', 'label': "time"}}]) AS n FROM p),
-nodes AS (SELECT n.type AS type, lower(n.label) AS key, arg_min(n.label, (ts_start, id)) AS label, count(*) AS events, CAST(sum(dwell) AS DOUBLE) AS d FROM nn GROUP BY 1, 2),
-scored AS (SELECT type || ':' || substr(sha1(type || ':' || key), 1, 12) AS node_id, type, label, events, round(d, 2) AS dwell, CASE type WHEN 'subject' THEN 'generalized' ELSE 'allowed' END AS gate_mode,
-  d + 5.0 * events + 120.0 * CASE type WHEN 'subject' THEN 10 WHEN 'domain' THEN 8 WHEN 'task' THEN 7 WHEN 'artifact' THEN 6 WHEN 'app' THEN 5 ELSE 4 END AS score FROM nodes),
-top AS (SELECT * FROM scored ORDER BY (type = 'subject') DESC, score DESC, node_id LIMIT 70),
-ee AS (SELECT dwell, unnest([{{'r': 'focused_in', 'a': 'subject:you', 'b': 'domain:' || domain}}, {{'r': 'worked_through', 'a': 'domain:' || domain, 'b': 'app:' || app}}, {{'r': 'opened', 'a': 'app:' || app, 'b': 'artifact:' || artifact}}, {{'r': 'suggests_task', 'a': 'artifact:' || artifact, 'b': 'task:' || task}}, {{'r': 'observed', 'a': 'time:' || "time", 'b': 'domain:' || domain}}]) AS x FROM p
-  UNION ALL SELECT dwell, {{'r': 'transitioned_to', 'a': 'domain:' || pd, 'b': 'domain:' || domain}} FROM p WHERE pd IS NOT NULL AND pd <> domain
-  UNION ALL SELECT dwell, {{'r': 'next_context', 'a': 'artifact:' || pa, 'b': 'artifact:' || artifact}} FROM p WHERE pa IS NOT NULL AND pa <> artifact),
-edges AS (SELECT split_part(x.a, ':', 1) || ':' || substr(sha1(lower(x.a)), 1, 12) AS source, x.r AS relation, split_part(x.b, ':', 1) || ':' || substr(sha1(lower(x.b)), 1, 12) AS target, count(*) AS events, CAST(sum(dwell) AS DOUBLE) AS d FROM ee GROUP BY 1, 2, 3)"""
-named("graph_nodes", _of(graph.nodes), f"{_G} SELECT * FROM top")
-named("graph_edges", _of(graph.edges), f"{_G} SELECT source, relation, target, events, round(d, 2) AS dwell, d + 4.0 * events AS score FROM edges WHERE source <> target ORDER BY score DESC, source, relation, target LIMIT 140")
-named("graph_relationships", _of(graph.relationships),
-      f"{_G} SELECT a.label AS source_label, relation, b.label AS target_label, x.events, round(d, 2) AS dwell FROM edges x JOIN top a ON a.node_id = x.source JOIN top b ON b.node_id = x.target WHERE source <> target ORDER BY d + 4.0 * x.events DESC, source, relation, target LIMIT 14")
+
+
+def _observed(e: DataFrame) -> DataFrame:
+    """Events of which some had private text taken out and some were read by a connector."""
+    found = F.create_map(F.lit("email"), F.when(F.col("id") % 7 == 0, 2).otherwise(0), F.lit("secret"), F.when(F.col("id") % 13 == 0, 1).otherwise(0), F.lit("phone"), F.when(F.col("id") % 17 == 0, 1).otherwise(0))
+    read = F.struct(F.when(F.col("id") % 3 == 0, "captured").otherwise("empty").alias("status"), F.create_map(F.lit("window"), F.col("app")).alias("fields"))
+    return e.withColumn("findings", found).withColumn("structured", read)
+
+
+_G = f"""{_E}, p AS (SELECT *, {_GTASK} AS task, strftime(date_trunc('hour', ts_start), '%Y-%m-%d %H:00') AS "time", lag(domain) OVER q AS pd, lag(artifact) OVER q AS pa, id % 7 = 0 OR id % 13 = 0 OR id % 17 = 0 AS priv
+  FROM e WHERE domain <> 'system' AND action <> 'system' WINDOW q AS (PARTITION BY subject_id ORDER BY ts_start, id)),
+nn AS (
+  SELECT subject_id, ts_start, id, t.pos, dwell, 1 AS w, t.type, t.label, CASE WHEN t.type = 'subject' THEN 'generalized' WHEN t.type = 'artifact' AND priv THEN 'masked' ELSE 'allowed' END AS gate, CASE WHEN t.type = 'artifact' AND priv THEN 'medium' ELSE 'low' END AS sens
+  FROM p, LATERAL (VALUES (0, 'subject', 'you'), (1, 'app', app), (2, 'domain', domain), (3, 'artifact', artifact), (4, 'task', task), (5, 'time', "time")) t(pos, type, label)
+  UNION ALL SELECT subject_id, ts_start, id, 6, 0, 1, 'connector-field', 'window: ' || app, 'allowed', 'low' FROM p WHERE id % 3 = 0
+  UNION ALL SELECT subject_id, ts_start, id, 7, 0, 2, 'private-signal', 'masked identity/contact', 'masked', 'high' FROM p WHERE id % 7 = 0
+  UNION ALL SELECT subject_id, ts_start, id, 8, 0, 1, 'private-signal', 'blocked secret/token', 'masked', 'high' FROM p WHERE id % 13 = 0
+  UNION ALL SELECT subject_id, ts_start, id, 9, 0, 1, 'private-signal', 'masked identity/contact', 'masked', 'high' FROM p WHERE id % 17 = 0),
+nodes AS (SELECT subject_id, type, lower(label) AS key, arg_min(label, (ts_start, id, pos)) AS label, CAST(sum(w) AS BIGINT) AS events, CAST(sum(dwell) AS DOUBLE) AS d, min((ts_start, id, pos)) AS f,
+  coalesce(arg_min(gate, (ts_start, id, pos)) FILTER (gate <> 'allowed'), 'allowed') AS gate_mode, coalesce(arg_min(sens, (ts_start, id, pos)) FILTER (gate <> 'allowed'), 'low') AS sensitivity FROM nn GROUP BY 1, 2, 3),
+scored AS (SELECT subject_id, type || ':' || substr(sha1(type || ':' || key), 1, 12) AS node_id, type, label, events, round(d, 2) AS dwell, gate_mode, sensitivity, f,
+  d + 5.0 * events + 120.0 * CASE type WHEN 'subject' THEN 10 WHEN 'domain' THEN 8 WHEN 'task' THEN 7 WHEN 'artifact' THEN 6 WHEN 'app' THEN 5 WHEN 'time' THEN 4 ELSE 3 END AS score FROM nodes),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY type <> 'subject', score DESC, f) AS rank FROM scored),
+top AS (SELECT * FROM ranked WHERE rank <= 70),
+ee AS (
+  SELECT subject_id, ts_start, id, dwell, t.* FROM p, LATERAL (VALUES (0, 'focused_in', 'subject:you', 'domain:' || domain, 'allowed'), (1, 'worked_through', 'domain:' || domain, 'app:' || app, 'allowed'),
+    (2, 'opened', 'app:' || app, 'artifact:' || artifact, CASE WHEN priv THEN 'masked' ELSE 'allowed' END), (3, 'suggests_task', 'artifact:' || artifact, 'task:' || task, CASE WHEN priv THEN 'masked' ELSE 'allowed' END), (4, 'observed', 'time:' || "time", 'domain:' || domain, 'allowed'),
+    (5, 'transitioned_to', 'domain:' || pd, 'domain:' || domain, 'allowed'), (6, 'next_context', 'artifact:' || pa, 'artifact:' || artifact, 'allowed')) t(pos, relation, a, b, gate) WHERE t.a IS NOT NULL
+  UNION ALL SELECT subject_id, ts_start, id, 0, 7, 'described_by', 'artifact:' || artifact, 'connector-field:window: ' || app, 'allowed' FROM p WHERE id % 3 = 0
+  UNION ALL SELECT subject_id, ts_start, id, 0, 8, 'redacted_from', 'artifact:' || artifact, 'private-signal:masked identity/contact', 'masked' FROM p WHERE id % 7 = 0
+  UNION ALL SELECT subject_id, ts_start, id, 0, 9, 'redacted_from', 'artifact:' || artifact, 'private-signal:blocked secret/token', 'masked' FROM p WHERE id % 13 = 0
+  UNION ALL SELECT subject_id, ts_start, id, 0, 10, 'redacted_from', 'artifact:' || artifact, 'private-signal:masked identity/contact', 'masked' FROM p WHERE id % 17 = 0),
+joined AS (SELECT subject_id, split_part(a, ':', 1) || ':' || substr(sha1(lower(a)), 1, 12) AS source, relation, split_part(b, ':', 1) || ':' || substr(sha1(lower(b)), 1, 12) AS target, count(*) AS events, CAST(sum(dwell) AS DOUBLE) AS d, min((ts_start, id, pos)) AS f,
+  coalesce(min(gate) FILTER (gate <> 'allowed'), 'allowed') AS gate_mode FROM ee WHERE lower(a) <> lower(b) GROUP BY 1, 2, 3, 4),
+edges AS (SELECT j.*, s.label AS source_label, t.label AS target_label, j.d + 4.0 * j.events AS score, row_number() OVER (PARTITION BY j.subject_id ORDER BY j.d + 4.0 * j.events DESC, j.f) AS rank
+  FROM joined j JOIN top s ON s.subject_id = j.subject_id AND s.node_id = j.source JOIN top t ON t.subject_id = j.subject_id AND t.node_id = j.target)"""
+named("graph_nodes", _of(lambda e: graph.nodes(_observed(e))), f"{_G} SELECT * EXCLUDE (f) FROM top")
+named("graph_edges", _of(lambda e: graph.edges(_observed(e))), f"{_G} SELECT subject_id, rank, source, relation, target, events, round(d, 2) AS dwell, gate_mode, score FROM edges WHERE rank <= 140")
+named("graph_relationships", _of(lambda e: graph.relationships(_observed(e))), f"{_G} SELECT subject_id, rank, source_label, relation, target_label, events, round(d, 2) AS dwell, gate_mode FROM edges WHERE rank <= 14")
+named("graph_gates", _of(lambda e: graph.gates(_observed(e))),
+      f"{_G} SELECT subject_id, count(*) FILTER (rank <= 70 AND gate_mode = 'allowed') AS allowed, count(*) FILTER (rank <= 70 AND gate_mode = 'masked') AS masked, count(*) FILTER (rank <= 70 AND gate_mode = 'generalized') AS generalized, count(*) FILTER (rank > 70) AS withheld FROM ranked GROUP BY 1")
 
 # runs and returns
 
@@ -155,7 +182,17 @@ def _runs(e: DataFrame) -> DataFrame:
 
 
 named("runs", _of(_runs), f"{_RUNS} SELECT * FROM runs")
-named("resume_events", _of(lambda e: resume.resume_events(_runs(e), _GAP, 10.0)))
+# the scan as it is defined: run by run, and on from the run after a return
+_SCAN = f"""{_RUNS.replace("WITH ", "WITH RECURSIVE ", 1)}, t AS (SELECT subject_id, run, cluster, dwell >= 10.0 AS real, epoch(run_start) AS s, epoch(run_end) AS f FROM runs),
+p AS (SELECT i.subject_id, i.run, i.cluster, i.s, l.run AS left_run, l.cluster AS left_cluster, l.real AS left_real, l.f AS left_end, i.s - l.f >= {_GAP} * 60 AS long,
+  (SELECT max(run) FROM t a WHERE a.subject_id = i.subject_id AND a.run < i.run AND a.real) AS anchor FROM t i JOIN t l ON l.subject_id = i.subject_id AND l.run = i.run - 1),
+q AS (SELECT p.*, a.cluster AS task, (SELECT min(run) FROM t r WHERE r.subject_id = p.subject_id AND r.real AND r.cluster = CASE WHEN p.long THEN a.cluster ELSE p.left_cluster END AND r.run >= CASE WHEN p.long THEN p.run ELSE p.run + 1 END) AS back_run
+  FROM p LEFT JOIN t a ON a.subject_id = p.subject_id AND a.run = p.anchor),
+x AS (SELECT q.*, r.s AS back_at, CASE WHEN q.long THEN task IS NOT NULL AND r.run IS NOT NULL ELSE left_real AND q.cluster <> left_cluster AND r.s - q.s >= {_GAP} * 60 END AS hit FROM q LEFT JOIN t r ON r.subject_id = q.subject_id AND r.run = q.back_run),
+scan AS (SELECT subject_id, 2::HUGEINT AS run FROM (SELECT DISTINCT subject_id FROM t)
+  UNION ALL SELECT x.subject_id, CASE WHEN coalesce(hit, false) THEN back_run + 1 ELSE x.run + 1 END FROM scan JOIN x ON x.subject_id = scan.subject_id AND x.run = scan.run)"""
+named("resume_events", _of(lambda e: resume.resume_events(_runs(e), _GAP, 10.0).withColumns({c: F.round(c, 3) for c in ("resume_seconds", "gap_seconds")})),
+      f"{_SCAN} SELECT x.subject_id, left_run, back_run, CASE WHEN long THEN task ELSE left_cluster END AS cluster, round(back_at - s, 3) AS resume_seconds, round(CASE WHEN long THEN s - left_end ELSE back_at - left_end END, 3) AS gap_seconds FROM scan JOIN x ON x.subject_id = scan.subject_id AND x.run = scan.run WHERE hit")
 named("resume_distribution", _of(lambda e: resume.distribution(_runs(e), "dwell", "cluster")),
       f"""{_RUNS}, v AS (SELECT cluster, list_sort(list(dwell)) AS v FROM runs GROUP BY 1), z AS (SELECT cluster, v, len(v) AS n FROM v)
       SELECT cluster, n, (v[CAST(floor((n - 1) / 2) AS INTEGER) + 1] + v[CAST(ceil((n - 1) / 2) AS INTEGER) + 1]) / 2 AS median, v[CAST(round_even(0.25 * (n - 1), 0) AS INTEGER) + 1] AS p25, v[CAST(round_even(0.75 * (n - 1), 0) AS INTEGER) + 1] AS p75, v[CAST(round_even(0.9 * (n - 1), 0) AS INTEGER) + 1] AS p90, v[1] AS least, v[n] AS most FROM z""")
@@ -256,7 +293,7 @@ named("gated_contributions", _of(lambda e: collective.contributions(_gated_spher
 _VOCABULARY = "(VALUES " + ", ".join(f"('{t}')" for t in config.THEMES) + ") v(theme)"
 named("secure_theme_totals", _of(lambda e: collective.secure_sum(collective.masked(collective.contributions(_declared(e)), b"cohort secret", "2024-W05"))),
       f"{_DECLARED} SELECT v.theme, count(DISTINCT subject_id) AS total FROM {_VOCABULARY} LEFT JOIN k ON k.theme = v.theme GROUP BY 1")
-named("wilson", _of(lambda e: collective.secure_sum(collective.contributions(_declared(e)).withColumnRenamed("value", "masked")).crossJoin(F.broadcast(overview.without_system(e).agg(F.countDistinct("subject_id").alias("cohort")))).select("theme", "total", "cohort", collective.wilson(F.col("total"), F.col("cohort")).alias("w")).select("theme", "total", "cohort", "w.low", "w.high")),
+named("wilson", _of(lambda e: collective.totals(collective.contributions(_declared(e))).crossJoin(F.broadcast(overview.without_system(e).agg(F.countDistinct("subject_id").alias("cohort")))).select("theme", "total", "cohort", collective.wilson(F.col("total"), F.col("cohort")).alias("w")).select("theme", "total", "cohort", "w.low", "w.high")),
       f"""{_DECLARED}, c AS (SELECT count(DISTINCT subject_id) AS n FROM e WHERE domain <> 'system'), t AS (SELECT v.theme, count(DISTINCT subject_id) AS total FROM {_VOCABULARY} LEFT JOIN k ON k.theme = v.theme GROUP BY 1),
       x AS (SELECT theme, total, n AS cohort, total / n AS p, 1 + 1.96 * 1.96 / n AS d FROM t, c)
       SELECT theme, total, cohort, round(greatest(0.0, (p + 1.96 * 1.96 / (2 * cohort)) / d - 1.96 / d * sqrt(p * (1 - p) / cohort + 1.96 * 1.96 / (4 * cohort * cohort))), 3) AS low, round(least(1.0, (p + 1.96 * 1.96 / (2 * cohort)) / d + 1.96 / d * sqrt(p * (1 - p) / cohort + 1.96 * 1.96 / (4 * cohort * cohort))), 3) AS high FROM x""")
