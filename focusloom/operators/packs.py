@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -61,7 +63,8 @@ def build(spheres: DataFrame, subjects: DataFrame, purpose: str, target: str, bl
         spheres = spheres.where(F.col("sphere_id") == sphere_id)
     best = spheres.groupBy("subject_id").agg(F.min_by(F.struct(*(c for c in spheres.columns if c != "subject_id")), F.struct(F.col("state") != "active", "rank")).alias("s"))
     df = subjects.select("subject_id").distinct().join(best, "subject_id", "left").withColumn("title", F.col("s.label"))
-    df = redact(df, "title", cfg, "found").withColumn("title", shorten(F.col("title"), 96))
+    df = redact(df, "title", replace(cfg, mask_pii=True, redact_urls=True), "found")  # whatever the settings, what leaves is masked
+    df = df.withColumn("title", shorten(F.col("title"), 96))
     names = F.transform("s.artifacts", lambda a: a["name"]) if "artifacts" in spheres.columns else F.lit("")
     placeholder = F.lower(F.concat_ws(" ", "s.label", "s.task", "s.domain", names))
     marked = F.coalesce(*(F.when(placeholder.contains(m), True) for m in C.PLACEHOLDERS), F.lit(False))

@@ -72,3 +72,40 @@ def signature(events: DataFrame, short_days: int = 5, long_days: int = 14) -> Da
     owned = owned.groupBy("subject_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "domain"))), lambda x: x["domain"]), ",").alias("owned_domains"))
     out = rhythm.join(revisit_rate(rows).drop("events"), "subject_id").join(transition_entropy(rows), "subject_id", "left").join(divergence(shares), "subject_id").join(owned, "subject_id", "left")
     return out.select("subject_id", "events", "mean_dwell", "median_dwell", "revisit_rate", F.coalesce("entropy", F.lit(0.0)).alias("entropy"), "kl", F.coalesce("owned_domains", F.lit("")).alias("owned_domains"))
+
+
+def rolling(events: DataFrame, short_days: int = 5, long_days: int = 14) -> DataFrame:
+    """The profile of each subject at each day on which it was active, over the short and the long window that end with that day.
+
+    Days are aggregated once, by domain and by change of domain; windows are sums of
+    days. So an event is read once however many windows it is in, and what is kept
+    grows with a subject's days and domains.
+    """
+    day = F.to_date("ts_start")
+    number = F.datediff(F.col("day"), F.lit("1970-01-01").cast("date"))
+    by_day = events.groupBy("subject_id", day.alias("day"), "domain").agg(F.sum("dwell").alias("dwell"), F.count(F.lit(1)).alias("n"))
+    active = by_day.select("subject_id", "day").distinct()
+
+    def summed(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+        """For each active day and key of a subject: the sums over both windows."""
+        own = rows.select("subject_id", *keys).distinct()
+        grid = active.join(own, "subject_id").join(rows, ["subject_id", "day", *keys], "left").withColumn("k", number)
+        w = Window.partitionBy("subject_id", *keys).orderBy("k")
+        over = {f"{v}_{name}": F.coalesce(F.sum(v).over(w.rangeBetween(1 - days, 0)), F.lit(0)) for v in values for name, days in (("short", short_days), ("long", long_days))}
+        return grid.select("subject_id", "day", *keys, *(c.alias(name) for name, c in over.items()))
+
+    whole = Window.partitionBy("subject_id", "day")
+    told = summed(by_day, ["domain"], ["dwell", "n"]).where("n_long > 0")
+    of = lambda name: share(F.col(f"dwell_{name}").cast("double"), F.sum(f"dwell_{name}").over(whole).cast("double"))
+    shares = told.select("*", F.when(F.col("n_short") > 0, of("short")).alias("short"), of("long").alias("long"))
+    p, q = F.coalesce("short", F.lit(EPS)), F.col("long")
+    owned = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("long") >= 0.15, F.struct((-F.col("long")).alias("less"), "domain")))), 1, 5), lambda x: x["domain"])
+    days = shares.groupBy("subject_id", "day").agg(
+        F.sum("n_long").alias("events"), F.round(F.sum("dwell_long").cast("double") / F.sum("n_long") + F.lit(1e-9), 2).alias("mean_dwell"), F.round(F.sum(p * F.log((p + EPS) / (q + EPS))), 4).alias("kl"), F.array_join(owned, ",").alias("owned_domains")
+    )
+    previous = F.lag("domain").over(Window.partitionBy("subject_id").orderBy(*ORDER))
+    steps = events.select("subject_id", day.alias("day"), previous.alias("source"), F.col("domain").alias("target")).where("source is not null and source <> '' and source <> target")
+    moves = summed(steps.groupBy("subject_id", "day", "source", "target").agg(F.count(F.lit(1)).alias("c")), ["source", "target"], ["c"]).where("c_long > 0")
+    part = F.col("c_long") / F.sum("c_long").over(whole)
+    entropy = moves.withColumn("p", part).groupBy("subject_id", "day").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 4).alias("entropy"))
+    return days.join(entropy, ["subject_id", "day"], "left").select("subject_id", "day", "events", "mean_dwell", (F.coalesce("entropy", F.lit(0.0)) + F.lit(0.0)).alias("entropy"), "kl", "owned_domains")

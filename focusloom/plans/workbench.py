@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from focusloom import config
-from focusloom.operators import collective, connectors, health, overview, profile, resume, retrieve, spheres, surfaces, workflow
-from focusloom.plans.catalogue import _CUT, _DECLARED, _E, _GAP, _KL, _PIVOT, _REDACT, _FIGURES, _RUNS, _STATUS, _TRANS_R, _VOCABULARY, _declared, _feedback, _of, _runs, _sphere_figures, _windows_sql, named
+from focusloom.operators import collective, connectors, health, overview, profile, resume, retrieve, spheres, summary, surfaces, workflow
+from focusloom.plans.catalogue import _CUT, _DECLARED, _E, _GAP, _KL, _PIVOT, _REDACT, _FIGURES, _RUNS, _STATUS, _TRANS_R, _VOCABULARY, _declared, _feedback, _observed, _of, _runs, _sphere_figures, _windows_sql, named
 from focusloom.operators import learning
 from focusloom.functions.text import normalize_artifact, redact_emails
 from focusloom.schema import as_of_column
@@ -209,3 +209,38 @@ named("connector_provenance", _of(lambda e: connectors.provenance_counts(_connec
 named("retrieve_reasons", _of(lambda e: retrieve.retrieve(e, "workflow cedar", filters=["sequential"], why=True).select("subject_id", "rank", F.array_join("why", "; ").alias("why"))))
 named("retrieve_by_cues", _of(lambda e: retrieve.retrieve(e, "what changed after the budget")))
 named("normalized_titles", _of(lambda e: e.select("id", normalize_artifact(F.concat(F.lit("[draft] https://x.y/z "), "artifact")).alias("norm"))), f"{_E} SELECT id, artifact AS norm FROM e")
+
+# rolling profiles, privacy payload and overview
+
+_DAYS = f"""{_E}, d AS (SELECT subject_id, CAST(ts_start AS DATE) AS day, domain, sum(dwell) AS dw, count(*) AS n FROM e GROUP BY 1, 2, 3), a AS (SELECT DISTINCT subject_id, day FROM d),
+g AS (SELECT a.subject_id, a.day, b.domain, coalesce(dw, 0) AS dw, coalesce(n, 0) AS n FROM a JOIN (SELECT DISTINCT subject_id, domain FROM d) b ON b.subject_id = a.subject_id LEFT JOIN d ON d.subject_id = a.subject_id AND d.day = a.day AND d.domain = b.domain),
+w AS (SELECT subject_id, day, domain, sum(dw) OVER s AS ds, sum(n) OVER s AS ns, sum(dw) OVER l AS dl, sum(n) OVER l AS nl FROM g
+  WINDOW s AS (PARTITION BY subject_id, domain ORDER BY day RANGE BETWEEN INTERVAL 4 DAYS PRECEDING AND CURRENT ROW), l AS (PARTITION BY subject_id, domain ORDER BY day RANGE BETWEEN INTERVAL 13 DAYS PRECEDING AND CURRENT ROW)),
+x AS (SELECT *, CASE WHEN ns > 0 THEN round(coalesce(CAST(ds AS DOUBLE) / nullif(CAST(sum(ds) OVER q AS DOUBLE), 0), 0), 4) END AS short, round(coalesce(CAST(dl AS DOUBLE) / nullif(CAST(sum(dl) OVER q AS DOUBLE), 0), 0), 4) AS long FROM w WHERE nl > 0 WINDOW q AS (PARTITION BY subject_id, day)),
+f AS (SELECT subject_id, day, CAST(sum(nl) AS BIGINT) AS events, round(CAST(sum(dl) AS DOUBLE) / sum(nl) + 1e-9, 2) AS mean_dwell, round(sum(coalesce(short, 1e-6) * ln((coalesce(short, 1e-6) + 1e-6) / (long + 1e-6))), 4) AS kl,
+  coalesce(array_to_string(list(domain ORDER BY long DESC, domain) FILTER (long >= 0.15)[1:5], ','), '') AS owned_domains FROM x GROUP BY 1, 2),
+t AS (SELECT subject_id, day, s AS source, domain AS target, count(*) AS c FROM (SELECT subject_id, CAST(ts_start AS DATE) AS day, domain, lag(domain) OVER (PARTITION BY subject_id ORDER BY ts_start, id) AS s FROM e) WHERE s IS NOT NULL AND s <> domain GROUP BY ALL),
+m AS (SELECT a.subject_id, a.day, (SELECT -sum(p * log2(p)) FROM (SELECT sum(c) / sum(sum(c)) OVER () AS p FROM t WHERE t.subject_id = a.subject_id AND t.day BETWEEN a.day - 13 AND a.day GROUP BY source, target)) AS h FROM a)
+SELECT f.*, coalesce(round(h, 4), 0) + 0.0 AS entropy FROM f JOIN m ON m.subject_id = f.subject_id AND m.day = f.day"""
+named("rolling_profile", _of(profile.rolling), _DAYS)
+_flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
+named("privacy_payload", _of(lambda e: summary.privacy(_observed(e).withColumn("structured", F.col("structured").withField("connector", F.col("domain")))).select(
+        "subject_id", "events_all_time", "events_in_window", "expired_events", "oldest_event", _flat("redaction_summary").alias("redaction_summary"), _flat("connector_activity").alias("connector_activity"), "retention_days", F.array_join("captured", "; ").alias("captured"))),
+      f"""{_E}, x AS (SELECT *, ts_start >= {_CUT} - INTERVAL 14 DAYS AS shown FROM e), k AS (SELECT subject_id, 'email' AS key, 2 * count(*) AS n FROM x WHERE shown AND id % 7 = 0 GROUP BY 1 UNION ALL SELECT subject_id, 'secret', count(*) FROM x WHERE shown AND id % 13 = 0 GROUP BY 1 UNION ALL SELECT subject_id, 'phone', count(*) FROM x WHERE shown AND id % 17 = 0 GROUP BY 1),
+      r AS (SELECT subject_id, string_agg(key || ':' || n, ',' ORDER BY key) AS r FROM k GROUP BY 1), c AS (SELECT subject_id, string_agg(domain || ':' || n, ',' ORDER BY domain) AS c FROM (SELECT subject_id, domain, count(*) AS n FROM x WHERE shown AND id % 3 = 0 GROUP BY 1, 2) GROUP BY 1)
+      SELECT x.subject_id, count(*) AS events_all_time, count(*) FILTER (shown) AS events_in_window, count(*) FILTER (ts_start < {_CUT} - INTERVAL 30 DAYS) AS expired_events, min(ts_start) AS oldest_event, coalesce(any_value(r), '') AS redaction_summary, coalesce(any_value(c), '') AS connector_activity, 30 AS retention_days, '{"; ".join(summary.CAPTURED)}' AS captured
+      FROM x LEFT JOIN r USING (subject_id) LEFT JOIN c USING (subject_id) GROUP BY 1""")
+
+
+def _figures(e: DataFrame) -> DataFrame:
+    figures, _ = summary.overview_parts(e)
+    return e.sparkSession.createDataFrame([figures], "events_all_time long, expired_events long, oldest_event timestamp_ntz, events_in_window long, dwell double, first_event timestamp_ntz, last_event timestamp_ntz")
+
+
+named("overview_figures", _of(_figures),
+      f"""{_E} SELECT count(*) AS events_all_time, count(*) FILTER (ts_start < {_CUT} - INTERVAL 30 DAYS) AS expired_events, min(ts_start) AS oldest_event, count(*) FILTER (shown) AS events_in_window, CAST(sum(dwell) FILTER (shown) AS DOUBLE) AS dwell, min(ts_start) FILTER (shown) AS first_event, max(ts_start) FILTER (shown) AS last_event
+      FROM (SELECT *, ts_start >= {_CUT} - INTERVAL 14 DAYS AS shown FROM e)""")
+named("overview_domains", _of(lambda e: summary.overview_parts(e)[1]["domains"]),
+      f"""{_E}, a AS (SELECT domain, app, sum(dwell) AS d, count(*) AS n FROM e WHERE ts_start >= {_CUT} - INTERVAL 14 DAYS GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY d DESC, app) AS k FROM a),
+      g AS (SELECT domain, sum(d) AS dwell, sum(n) AS events, string_agg(app, ',' ORDER BY k) FILTER (k <= 4) AS top_apps FROM k GROUP BY domain)
+      SELECT domain, round(CAST(dwell AS DOUBLE), 2) AS dwell, events, round(CAST(dwell AS DOUBLE) / (SELECT CAST(sum(dwell) AS DOUBLE) FROM g), 4) AS share, top_apps FROM g""")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from focusloom.config import Config
 from focusloom.functions.text import REDACTIONS, redact
+from focusloom.sources import crypto
+from focusloom.sources.files import Files, recover, replace_table
 
 
 def fetch(events: DataFrame, subject: str | None = None, since: str | None = None, limit: int | None = None) -> DataFrame:
@@ -56,40 +56,17 @@ def dry_run(events: DataFrame, cfg: Config = Config(), columns: tuple[str, ...]
     return totals.select(F.explode(pairs).alias("p")).select("p.*").where("n > 0 or category = ''")
 
 
-def _paths(spark: SparkSession):
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    return path, spark._jsparkSession.sessionState().newHadoopConf()
-
-
-def replace_table(rows: DataFrame, path: str, partition: str | None = None) -> None:
-    """Writes rows beside a table and then takes its place in two renames.
-
-    The old table stays under another name until the new one is in place, so that
-    a failure at any step leaves one of the two whole; the next call clears up.
-    """
-    spark = rows.sparkSession
-    make, conf = _paths(spark)
-    base = path.rstrip("/")
-    new, old = make(f"{base}.new-{uuid.uuid4().hex}"), make(f"{base}.old")
-    fs = new.getFileSystem(conf)
-    writer = rows.write.partitionBy(partition) if partition else rows.write
-    writer.parquet(str(new.toString()))
-    if fs.exists(make(base)):
-        fs.delete(old, True)
-        fs.rename(make(base), old)
-    fs.rename(new, make(base))
-    fs.delete(old, True)
-
-
 def delete_all(spark: SparkSession, path: str, subject: str | None = None, derived: tuple[str, ...] = ()) -> None:
-    """Deletes all events, or a subject's, and the same from tables derived from them (feedback, cards, sessions)."""
+    """Deletes all events, or a subject's, and the same from tables derived from them (feedback, cards, sessions). Tables that a crash left half moved are put right first."""
     for table in (path, *derived):
-        make, conf = _paths(spark)
-        if not make(table).getFileSystem(conf).exists(make(table)):
+        base = table.rstrip("/")
+        files = Files(spark, base)
+        recover(files, base, f"{base}.old")
+        if not files.exists(base):
             continue
-        rows = spark.read.parquet(table)
+        rows = spark.read.parquet(base)
         keep = rows.where("false") if subject is None else rows.where(~F.col("subject_id").eqNullSafe(F.lit(subject)))
-        replace_table(keep, table, "event_date" if "event_date" in rows.columns else None)
+        replace_table(keep, base, "event_date" if "event_date" in rows.columns else None)
 
 
 def without_repeats(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -104,19 +81,24 @@ def unless_paused(events: DataFrame, cfg: Config) -> DataFrame:
     return events.where(F.lit(not cfg.collection_paused))
 
 
-def rekeyed(rows: DataFrame, columns: tuple[str, ...], old_key: str | None, new_key: str) -> DataFrame:
-    """Columns encrypted with a new key: read with the old one, or as plain text if there is none. Keys are 16, 24 or 32 bytes in hex."""
+def rekeyed(rows: DataFrame, columns: tuple[str, ...], old_key: bytes | str | None, new_key: bytes | str) -> DataFrame:
+    """Columns encrypted with a new key: read with the old one, or as they are if plain.
+
+    Values that the new key opens already stay, so a change that was broken off can
+    go on. A value that neither key opens fails the job.
+    """
     out = rows
     for c in columns:
-        plain = F.col(c) if old_key is None else F.aes_decrypt(F.unbase64(c), F.unhex(F.lit(old_key)), F.lit("GCM")).cast("string")
-        out = out.withColumn(c, F.base64(F.aes_encrypt(plain, F.unhex(F.lit(new_key)), F.lit("GCM"))))
+        done = crypto.is_encrypted(F.col(c)) & crypto.decrypt(F.col(c), new_key).isNotNull()
+        plain = F.col(c) if old_key is None else crypto.decrypt(F.col(c), old_key)
+        lost = crypto.is_encrypted(F.col(c)) & (plain.isNull() | crypto.is_encrypted(plain))
+        out = out.withColumn(c, F.when(done, F.col(c)).when(lost, F.raise_error(F.lit("a value needs another key")).cast("string")).otherwise(crypto.encrypt(plain, new_key)))
     return out
 
 
-def assert_encrypted(rows: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
-    """rows, failing at the first value that the key doesn't open."""
-    opened = [F.try_aes_decrypt(F.unbase64(c), F.unhex(F.lit(key)), F.lit("GCM")) for c in columns]
+def assert_encrypted(rows: DataFrame, columns: tuple[str, ...], key: bytes | str) -> DataFrame:
+    """rows, failing at the first value (but null and empty ones) that isn't encrypted, or not with this key."""
     bad = F.lit(False)
-    for c, o in zip(columns, opened):
-        bad = bad | (F.col(c).isNotNull() & o.isNull())
+    for c in columns:
+        bad = bad | (F.coalesce(F.col(c) != "", F.lit(False)) & (~crypto.is_encrypted(F.col(c)) | crypto.decrypt(F.col(c), key).isNull()))
     return rows.where(F.when(bad, F.raise_error(F.lit("a value is not encrypted with this key")).cast("boolean")).otherwise(F.lit(True)))

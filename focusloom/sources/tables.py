@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from focusloom.config import Config
 from focusloom.functions.text import redact
+from focusloom.sources.files import Files, recover, swap
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,20 +51,16 @@ def delete_before(spark: SparkSession, path: str, cutoff: str, derived: tuple[st
 
 
 def _delete_before(spark: SparkSession, path: str, cutoff: str) -> None:
-    rows = spark.read.parquet(path).where(F.col("event_date") <= F.to_date(F.lit(cutoff)))
+    base = path.rstrip("/")
+    files, staged = Files(spark, base), f"{base}.staged"
+    for name in files.children(base):  # days that a crash left aside
+        if name.startswith("_old-"):
+            recover(files, f"{base}/event_date={name[5:]}", f"{base}/{name}")
+    rows = spark.read.parquet(base).where(F.col("event_date") <= F.to_date(F.lit(cutoff)))
     keep = rows.where(F.col("ts_start") >= F.lit(cutoff).cast("timestamp_ntz"))
     days = [r[0] for r in rows.select("event_date").distinct().orderBy("event_date").collect()]  # one for each day kept so far
-    staged = f"{path.rstrip('/')}.staged"
     keep.write.mode("overwrite").partitionBy("event_date").parquet(staged)
-    jvm = spark._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
     for day in days:
-        old = jvm.org.apache.hadoop.fs.Path(f"{path}/event_date={day}")
-        fs = old.getFileSystem(conf)
-        new, aside = jvm.org.apache.hadoop.fs.Path(f"{staged}/event_date={day}"), jvm.org.apache.hadoop.fs.Path(f"{path}/_old-{day}")
-        fs.rename(old, aside)
-        if fs.exists(new):
-            fs.rename(new, old)
-        fs.delete(aside, True)
-    done = jvm.org.apache.hadoop.fs.Path(staged)
-    done.getFileSystem(conf).delete(done, True)
+        new = f"{staged}/event_date={day}"
+        swap(files, new if files.exists(new) else None, f"{base}/event_date={day}", f"{base}/_old-{day}")
+    files.delete(staged)
