@@ -101,7 +101,7 @@ def rolling(events: DataFrame, short_days: int = 5, long_days: int = 14) -> Data
     p, q = F.coalesce("short", F.lit(EPS)), F.col("long")
     owned = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("long") >= 0.15, F.struct((-F.col("long")).alias("less"), "domain")))), 1, 5), lambda x: x["domain"])
     days = shares.groupBy("subject_id", "day").agg(
-        F.sum("n_long").alias("events"), F.round(F.sum("dwell_long").cast("double") / F.sum("n_long") + F.lit(1e-9), 2).alias("mean_dwell"), F.round(F.sum(p * F.log((p + EPS) / (q + EPS))), 4).alias("kl"), F.array_join(owned, ",").alias("owned_domains")
+        F.sum("n_long").alias("events"), F.round(F.sum("dwell_long").cast("double") / F.sum("n_long") + F.lit(1e-9), 2).alias("mean_dwell"), (F.round(F.sum(p * F.log((p + EPS) / (q + EPS))), 4) + F.lit(0.0)).alias("kl"), F.array_join(owned, ",").alias("owned_domains")
     )
     previous = F.lag("domain").over(Window.partitionBy("subject_id").orderBy(*ORDER))
     steps = events.select("subject_id", day.alias("day"), previous.alias("source"), F.col("domain").alias("target")).where("source is not null and source <> '' and source <> target")

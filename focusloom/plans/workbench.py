@@ -217,7 +217,7 @@ g AS (SELECT a.subject_id, a.day, b.domain, coalesce(dw, 0) AS dw, coalesce(n, 0
 w AS (SELECT subject_id, day, domain, sum(dw) OVER s AS ds, sum(n) OVER s AS ns, sum(dw) OVER l AS dl, sum(n) OVER l AS nl FROM g
   WINDOW s AS (PARTITION BY subject_id, domain ORDER BY day RANGE BETWEEN INTERVAL 4 DAYS PRECEDING AND CURRENT ROW), l AS (PARTITION BY subject_id, domain ORDER BY day RANGE BETWEEN INTERVAL 13 DAYS PRECEDING AND CURRENT ROW)),
 x AS (SELECT *, CASE WHEN ns > 0 THEN round(coalesce(CAST(ds AS DOUBLE) / nullif(CAST(sum(ds) OVER q AS DOUBLE), 0), 0), 4) END AS short, round(coalesce(CAST(dl AS DOUBLE) / nullif(CAST(sum(dl) OVER q AS DOUBLE), 0), 0), 4) AS long FROM w WHERE nl > 0 WINDOW q AS (PARTITION BY subject_id, day)),
-f AS (SELECT subject_id, day, CAST(sum(nl) AS BIGINT) AS events, round(CAST(sum(dl) AS DOUBLE) / sum(nl) + 1e-9, 2) AS mean_dwell, round(sum(coalesce(short, 1e-6) * ln((coalesce(short, 1e-6) + 1e-6) / (long + 1e-6))), 4) AS kl,
+f AS (SELECT subject_id, day, CAST(sum(nl) AS BIGINT) AS events, round(CAST(sum(dl) AS DOUBLE) / sum(nl) + 1e-9, 2) AS mean_dwell, round(sum(coalesce(short, 1e-6) * ln((coalesce(short, 1e-6) + 1e-6) / (long + 1e-6))), 4) + 0.0 AS kl,
   coalesce(array_to_string(list(domain ORDER BY long DESC, domain) FILTER (long >= 0.15)[1:5], ','), '') AS owned_domains FROM x GROUP BY 1, 2),
 t AS (SELECT subject_id, day, s AS source, domain AS target, count(*) AS c FROM (SELECT subject_id, CAST(ts_start AS DATE) AS day, domain, lag(domain) OVER (PARTITION BY subject_id ORDER BY ts_start, id) AS s FROM e) WHERE s IS NOT NULL AND s <> domain GROUP BY ALL),
 m AS (SELECT a.subject_id, a.day, (SELECT -sum(p * log2(p)) FROM (SELECT sum(c) / sum(sum(c)) OVER () AS p FROM t WHERE t.subject_id = a.subject_id AND t.day BETWEEN a.day - 13 AND a.day GROUP BY source, target)) AS h FROM a)

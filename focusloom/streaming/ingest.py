@@ -7,12 +7,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from focusloom.config import Config
 from focusloom.functions.text import classify_domain, is_ignored, redact, scrub_title
+from focusloom.operators.resume import runs
 from focusloom.operators.spheres import ASSIGNED, Assigner
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RAW = "id bigint, subject_id string, app string, title string, ts_start timestamp, ts_end timestamp, dwell double"
 
 
@@ -34,13 +37,82 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts_start", late).groupBy(F.window("ts_start", "1 hour"), "domain").agg(F.sum("dwell").alias("dwell"), F.count(F.lit(1)).alias("events"))
 
 
+_SESSION = "subject_id string, start long, end long, dwell double, events long"
+
+
+class _Sessions(StatefulProcessor):
+    """One subject: the session that is open, and the rows that the watermark hasn't passed yet.
+
+    Rows are taken in order of time once nothing earlier can come. A session is told,
+    and forgotten, when the watermark is a gap past the latest end in it. So what is
+    kept is bounded by the rows of the time allowed for lateness.
+    """
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", "start long, end long, dwell double")
+        self.open = handle.getValueState("open", "start long, end long, dwell double, events long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        came = [tuple(r) for frame in rows for r in zip(*(frame[c].tolist() for c in ("start", "end", "dwell")))]
+        yield self._advance(key, came, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._advance(key, [], timerValues)
+
+    def _advance(self, key, came: list, timerValues) -> pd.DataFrame:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted([tuple(r) for r in self.pending.get()] + came)
+        own = tuple(self.open.get()) if self.open.exists() else None
+        told = []
+        for start, end, dwell in (r for r in rows if r[0] <= now):
+            if own and start >= own[1] + self.gap:
+                told.append((*key, *own))
+                own = None
+            own = (own[0], max(own[1], end), own[2] + dwell, own[3] + 1) if own else (start, end, dwell, 1)
+        if own and now >= own[1] + self.gap:
+            told.append((*key, *own))
+            own = None
+        left = [r for r in rows if r[0] > now]
+        if own:
+            self.open.update(own)
+        elif self.open.exists():
+            self.open.clear()
+        if left:
+            self.pending.put(left)
+        else:
+            self.pending.clear()
+        due = [left[0][0]] if left else []
+        due += [own[1] + self.gap] if own else []
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if due:
+            self.handle.registerTimer(-(-min(due) // 1000))
+        return pd.DataFrame(told, columns=["subject_id", "start", "end", "dwell", "events"])
+
+    def close(self) -> None:
+        pass
+
+
 def sessions(events: DataFrame, gap_minutes: int = 15, late: str = "1 hour") -> DataFrame:
-    """Stretches of a subject's events with no pause longer than the gap, from one's end to the next one's start; later rows than the watermark are left out."""
-    gap = F.make_interval(mins=F.lit(gap_minutes), secs=F.greatest(F.col("dwell"), F.lit(0.0)))
-    timed = events.withColumn("_at", F.col("ts_start").cast("timestamp")).withWatermark("_at", late)
-    return timed.groupBy("subject_id", F.session_window("_at", gap)).agg(
-        F.min("ts_start").alias("session_start"), F.max("ts_end").alias("session_end"), F.sum("dwell").alias("dwell"), F.count(F.lit(1)).alias("events")
-    ).drop("session_window")
+    """Stretches of a subject's events, each of which begins less than the gap after all before have ended.
+
+    The same for batches and streams; a stream leaves out rows later than the
+    watermark, tells a session when no more can join, and needs the state store of RocksDB.
+    """
+    if not events.isStreaming:
+        found = runs(events, gap_minutes, F.lit(""))
+        return found.select("subject_id", F.col("run_start").alias("session_start"), F.col("run_end").alias("session_end"), "dwell", "events")
+    spark, kind = events.sparkSession, events.schema["ts_start"].dataType
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    timed = events.select("subject_id", F.col("ts_start").cast("timestamp").alias("_at"), micros("ts_start").alias("start"), F.coalesce(micros("ts_end"), micros("ts_start")).alias("end"), F.coalesce(F.col("dwell").cast("double"), F.lit(0.0)).alias("dwell"))
+    out = timed.withWatermark("_at", late).groupBy("subject_id").transformWithStateInPandas(_Sessions(gap_minutes * 60_000_000), _SESSION, "append", "EventTime")
+    time = lambda c: F.timestamp_micros(c).cast(kind)
+    return out.select("subject_id", time("start").alias("session_start"), time("end").alias("session_end"), "dwell", "events")
 
 
 def assign_spheres(features: DataFrame, cfg: Config = Config(), keep_days: int | None = None, late: str = "1 hour") -> DataFrame:
