@@ -195,6 +195,37 @@ def stable_id(kind: str, label: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.substring(F.sha1(F.concat(F.lit(f"{kind}:"), F.lower(label))), 1, 12))
 
 
+def json_string(text: Column) -> Column:
+    """A string as canonical JSON: quoted, all but printable ASCII escaped, null as null."""
+    code = lambda c: F.lower(F.hex(F.encode(c, "UTF-16BE")))
+    # The short escapes.
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def sign(c: Column) -> Column:
+        out = F.when(c.rlike(r"^[\x20-\x7e]$"), c).when(F.length(code(c)) > 4, F.concat(F.lit("\\u"), F.substring(code(c), 1, 4), F.lit("\\u"), F.substring(code(c), 5, 4))).otherwise(F.concat(F.lit("\\u"), code(c)))
+        for plain, escaped in short.items():
+            out = F.when(c == plain, F.lit(escaped)).otherwise(out)
+        return out
+
+    inner = F.when(text.rlike(r"^[\x20\x21\x23-\x5b\x5d-\x7e]*$"), text).otherwise(F.array_join(F.transform(F.split(text, ""), sign), ""))
+    return F.when(text.isNull(), "null").otherwise(F.concat(F.lit('"'), inner, F.lit('"')))
+
+
+def json_cents(value: Column) -> Column:
+    """A number of at most two decimals as canonical JSON: without idle zeros, but with one decimal."""
+    text = F.regexp_replace(value.cast("decimal(28,2)").cast("string"), r"(\.\d)0$", "$1")
+    return F.coalesce(text, F.lit("null"))
+
+
+def json_list(parts: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
+
+
+def stable_key(prefix: str, *parts: Column) -> Column:
+    """What names evidence: a hash of its parts, given in canonical JSON."""
+    return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(json_list(F.array(*parts)), 256), 1, 16))
+
+
 def subject_key(subject: Column) -> Column:
     return F.concat(F.lit("subj_"), F.substring(F.sha2(subject, 256), 1, 12))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from focusloom.operators import packs, spheres
-from focusloom.plans.catalogue import _CUT, _E, _of, named
+from focusloom.functions import text as T
+from focusloom.operators import overview, packs, spheres
+from focusloom.plans.catalogue import _CUT, _E, _mostly_resolved, _observed, _of, named
 
 
 def _made_spheres(e: DataFrame) -> DataFrame:
@@ -34,6 +35,21 @@ named("pack_admission", _of(lambda e: _packed(e, "codex")),
 named("pack_denied_target", _of(lambda e: _packed(e, "elsewhere")),
       f"{_PACKS} SELECT subject_id, CASE WHEN d IS NULL THEN 'empty' ELSE 'blocked' END AS status, subject_id || '|' || d AS sphere_id, CAST(NULL AS VARCHAR) AS title, 1 AS allow, 1 AS summarize, 0 AS generalize, 0 AS mask, 11 AS deny FROM p")
 named("context_packs", _of(lambda e: packs.build(spheres.report(e, spheres.assigned_once(e)).drop("top_artifact", "last_seen"), e, "agent_prompt", "local_file").select("subject_id", "pack_id", "status", "sphere_id", F.to_json("summary").alias("summary"), F.to_json("decisions").alias("decisions"))))
+
+
+def _handed(e: DataFrame) -> DataFrame:
+    """Packs of the spheres that events with private text are dealt to, under the feedback on them."""
+    rows = _observed(e)
+    own = spheres.assigned_once(rows)
+    out = packs.handoff(spheres.report(rows, own), own, e, "coding", "codex", _mostly_resolved(e))
+    return out.select("subject_id", "pack_id", "status", "sphere_id", F.to_json("context").alias("context"), F.to_json("decisions").alias("decisions"))
+
+
+named("handoff_packs", _of(_handed))
+_stats = lambda e: overview.artifact_stats(e).select("subject_id", "artifact", T.stable_key("ev", T.json_string(F.col("subject_id")), T.json_string(F.col("artifact")), F.col("visits").cast("string"), T.json_cents(F.col("dwell"))).alias("evidence_key"))
+named("evidence_keys", _of(_stats),
+      f"""{_E}, a AS (SELECT subject_id, artifact, count(*) AS n, sum(dwell) AS d FROM e GROUP BY 1, 2)
+      SELECT subject_id, artifact, 'ev_' || substr(sha256('["' || subject_id || '","' || artifact || '",' || n || ',' || regexp_replace(CAST(CAST(d AS DECIMAL(28,2)) AS VARCHAR), '(\\.\\d)0$', '\\1') || ']'), 1, 16) AS evidence_key FROM a""")
 named("coverage", _of(packs.coverage),
       f"""{_E}, l AS (SELECT subject_id, count(*) AS events, max(ts_end) AS last_event FROM e GROUP BY 1), g AS (SELECT *, greatest(CAST(trunc(epoch({_CUT} - last_event)) AS BIGINT), 0) AS age_seconds FROM l)
       SELECT *, CASE WHEN age_seconds > 180 THEN 'stale' ELSE 'recent' END AS coverage, CASE WHEN age_seconds <= 180 THEN 'ready' ELSE 'stale' END AS health FROM g""")
