@@ -196,4 +196,5 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_query_without_sql_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() >= 0
+    rows = catalogue.QUERIES[name](spark, SF).collect()
+    assert rows and all(any(v is not None for v in r) for r in rows[:100])
