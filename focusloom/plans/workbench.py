@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from focusloom import config
 from focusloom.operators import collective, connectors, health, overview, profile, resume, retrieve, spheres, summary, surfaces, workflow
-from focusloom.plans.catalogue import _CUT, _DECLARED, _E, _GAP, _KL, _PIVOT, _REDACT, _FIGURES, _RUNS, _STATUS, _TRANS_R, _VOCABULARY, _declared, _feedback, _observed, _of, _runs, _sphere_figures, _windows_sql, named
+from focusloom.plans.catalogue import _CUT, _DECLARED, _E, _GAP, _KL, _PIVOT, _REDACT, _FIGURES, _RUNS, _SCAN, _STATUS, _TRANS_R, _VOCABULARY, _declared, _feedback, _observed, _of, _runs, _sphere_figures, _windows_sql, named
 from focusloom.operators import learning
 from focusloom.functions.text import normalize_artifact, redact_emails
 from focusloom.schema import as_of_column
@@ -66,12 +66,15 @@ def _resumed(e: DataFrame) -> DataFrame:
     return resume.report(e, found, resume.resume_events(found, _GAP, 10.0), _GAP, 10.0)
 
 
-named("resume_report", _of(_resumed))
+_SEEN = f"""steps AS (SELECT *, epoch(run_start) - epoch(lag(run_end) OVER q) AS pause, lag(dwell) OVER q AS ld, lag(cluster) OVER q AS lc, max(CASE WHEN dwell >= 10 THEN 1 END) OVER (PARTITION BY subject_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchored FROM runs WINDOW q AS (PARTITION BY subject_id ORDER BY run)),
+      seen AS (SELECT *, coalesce(pause >= {_GAP} * 60, false) AS far, coalesce(pause < {_GAP} * 60 AND ld >= 10 AND cluster <> lc, false) AS moved FROM steps),
+      ev AS (SELECT subject_id, count(*) AS events_considered FROM e GROUP BY 1)"""
+_COUNTS = "SELECT subject_id, events_considered, count(*) FILTER (dwell >= 10) AS substantive_runs, count(*) FILTER (far OR moved) AS interruptions, count(*) FILTER (far AND anchored = 1 OR moved) AS with_task FROM seen JOIN ev USING (subject_id) GROUP BY 1, 2"
+named("resume_report", _of(lambda e: _resumed(e).withColumns({c: F.round(c, 3) for c in ("least_seconds", "most_seconds")})),
+      f"""{_SCAN}, {_SEEN}, told AS ({_COUNTS}), back AS (SELECT x.subject_id, count(*) AS n, round(min(back_at - s), 3) AS lo, round(max(back_at - s), 3) AS hi FROM scan JOIN x ON x.subject_id = scan.subject_id AND x.run = scan.run WHERE hit GROUP BY 1)
+      SELECT told.*, coalesce(n, 0) AS resume_events, lo AS least_seconds, hi AS most_seconds, CASE WHEN n > 0 THEN NULL WHEN substantive_runs = 0 THEN 'no substantive run' WHEN interruptions = 0 THEN 'no interruption' WHEN with_task = 0 THEN 'no task to return to' ELSE 'never returned' END AS no_resumes_because FROM told LEFT JOIN back USING (subject_id)""")
 named("interruptions", _of(lambda e: resume.report(e, _runs(e), resume.resume_events(_runs(e), _GAP, 1e9), _GAP, 10.0).select("subject_id", "events_considered", "substantive_runs", "interruptions", "with_task")),
-      f"""{_RUNS}, p AS (SELECT *, epoch(run_start) - epoch(lag(run_end) OVER q) AS pause, lag(dwell) OVER q AS ld, lag(cluster) OVER q AS lc, max(CASE WHEN dwell >= 10 THEN 1 END) OVER (PARTITION BY subject_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchored FROM runs WINDOW q AS (PARTITION BY subject_id ORDER BY run)),
-      z AS (SELECT *, coalesce(pause >= {_GAP} * 60, false) AS far, coalesce(pause < {_GAP} * 60 AND ld >= 10 AND cluster <> lc, false) AS moved FROM p),
-      ev AS (SELECT subject_id, count(*) AS events_considered FROM e GROUP BY 1)
-      SELECT subject_id, events_considered, count(*) FILTER (dwell >= 10) AS substantive_runs, count(*) FILTER (far OR moved) AS interruptions, count(*) FILTER (far AND anchored = 1 OR moved) AS with_task FROM z JOIN ev USING (subject_id) GROUP BY 1, 2""")
+      f"{_RUNS}, {_SEEN} {_COUNTS}")
 
 # health and fleet
 
