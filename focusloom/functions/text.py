@@ -61,25 +61,37 @@ def sphere_task(domain: Column, title: Column, artifact: Column) -> Column:
     return first_match(F.lower(F.concat_ws(" ", title, artifact)), C.SPHERE_TASKS, lookup(domain, C.SPHERE_TASK_BY_DOMAIN, "unclassified work"))
 
 
-def _gate(mode: str, sensitivity: str) -> Column:
-    return F.struct(F.lit(mode).alias("mode"), F.lit(sensitivity).alias("sensitivity"))
+def _gate(mode: str, sensitivity: str, reason: Column | str) -> Column:
+    return F.struct(F.lit(mode).alias("mode"), F.lit(sensitivity).alias("sensitivity"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
 
 
-def gate_for_label(label: Column, has_findings: Column) -> Column:
-    """The graph's gate: a title that isn't captured comes first."""
+def _found_gate(findings: Column | None) -> Column:
+    """The gate of a text from which redaction took something; findings: its map of counts, to name what."""
+    names = F.lit("") if findings is None else F.array_join(F.array_sort(F.map_keys(findings)), ", ")
+    return _gate("masked", "medium", F.concat(F.lit("redaction findings: "), names))
+
+
+# Reasons.
+_HIDDEN = ("generalized", "low", "window title capture is disabled")
+_REPLACED = ("masked", "high", "sensitive window title was replaced")
+_MARKED = ("masked", "medium", "label contains a redaction placeholder")
+
+
+def gate_for_label(label: Column, has_findings: Column, findings: Column | None = None) -> Column:
+    """The graph's gate (mode, sensitivity, reason): a title that isn't captured comes first."""
     text = F.lower(label)
     return (
-        F.when(text.contains(C.NO_TITLE), _gate("generalized", "low")).when(text.contains(C.REDACTED_TITLE), _gate("masked", "high")).when(has_findings, _gate("masked", "medium"))
-        .when(contains_any(text, C.PLACEHOLDERS), _gate("masked", "medium")).otherwise(_gate("allowed", "low"))
+        F.when(text.contains(C.NO_TITLE), _gate(*_HIDDEN)).when(text.contains(C.REDACTED_TITLE), _gate(*_REPLACED)).when(has_findings, _found_gate(findings))
+        .when(contains_any(text, C.PLACEHOLDERS), _gate(*_MARKED)).otherwise(_gate("allowed", "low", "metadata allowed by current graph depth"))
     )
 
 
-def gate_for_event(title: Column, artifact: Column, has_findings: Column) -> Column:
-    """The spheres' gate: a sensitive title comes first, a title that isn't captured last."""
+def gate_for_event(title: Column, artifact: Column, has_findings: Column, findings: Column | None = None) -> Column:
+    """The spheres' gate (mode, sensitivity, reason): a sensitive title comes first, a title that isn't captured last."""
     text = F.lower(F.concat_ws(" ", title, artifact))
     return (
-        F.when(text.contains(C.REDACTED_TITLE), _gate("masked", "high")).when(has_findings, _gate("masked", "medium")).when(contains_any(text, C.PLACEHOLDERS), _gate("masked", "medium"))
-        .when(text.contains(C.NO_TITLE), _gate("generalized", "low")).otherwise(_gate("allowed", "low"))
+        F.when(text.contains(C.REDACTED_TITLE), _gate(*_REPLACED)).when(has_findings, _found_gate(findings)).when(contains_any(text, C.PLACEHOLDERS), _gate(*_MARKED))
+        .when(text.contains(C.NO_TITLE), _gate(*_HIDDEN)).otherwise(_gate("allowed", "low", "redacted metadata allowed by current policy"))
     )
 
 

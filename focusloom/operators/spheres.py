@@ -173,7 +173,7 @@ def assign(events: DataFrame, cfg: C.Config = C.Config(), carry: bool = False) -
         *(["dwell", "artifact", findings_of(rows).alias("findings")] if carry else []),
     )
     if carry:
-        row = row.withColumn("gate", gate_for_event(title, title, F.size("findings") > 0))
+        row = row.withColumn("gate", gate_for_event(title, title, F.size("findings") > 0, F.col("findings")))
     row = row.withColumn("norm", F.coalesce("norm", F.lit("")))
     names = row.columns
     read = [names.index(c) for c in Event._fields]
