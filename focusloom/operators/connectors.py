@@ -228,7 +228,7 @@ def apply(events: DataFrame, surfaces: dict[str, Column], depth: int, manifests:
                 declared.alias("declared_fields"), F.array_except(declared, F.map_keys(fields)).alias("missing_fields"), F.col("_findings").alias("redaction_findings"),
             ))
         )
-    return df.select(*kept, F.coalesce(*results).alias("structured"))
+    return df.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(*results).alias("structured"))
 
 
 def payload(**known: Column) -> Column:
