@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import unicodedata
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,16 +114,30 @@ class Model:
         return a
 
 
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """The begins and ends of what the spans cover together, in order."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
+
+
 def evidence(text: str | None, automaton) -> tuple[float, int]:
     """The weights found in a text, normalised by its length; the matches."""
     words = fold_words(text)
     # each word stands between two spaces of its own, so neighbours match too; phrases have one space between words
     found = list(automaton.iter(" " + " ".join(words) + " "))
-    covered = [(end - n, end) for end, (_, n, phrase) in found if phrase]
+    begins, ends = _merged([(end - n, end) for end, (_, n, phrase) in found if phrase])
     heaviest: dict[int, float] = {}
     for end, (weight, n, phrase) in found:
         at = end - n + 1
-        if not phrase and not any(a < at <= b for a, b in covered):
+        k = bisect_left(begins, at)  # the spans before k begin before ``at``
+        if not phrase and not (k and at <= ends[k - 1]):
             heaviest[at] = max(weight, heaviest.get(at, 0.0))
     return sum(heaviest.values()) / (1.0 + math.log1p(len(words) / LENGTH_SCALE)), len(heaviest)
 
