@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-6
@@ -10,13 +10,19 @@ ORDER = ("ts_start", "id")
 
 
 def share(part: Column, whole: Column) -> Column:
-    return F.round(F.when(whole > 0, part / whole).otherwise(F.lit(0.0)), 4)
+    """To four digits; a half is what the quotient times 10,000 comes to, as in SQL, and not what it is written as."""
+    return F.when(whole > 0, F.round(part / whole * 10_000) / 10_000).otherwise(F.lit(0.0))
+
+
+def _double(c: str, over: WindowSpec | None = None) -> Column:
+    """A sum of dwells, or that of its window, as a double; decimals are summed as such, whose total no order of rows changes."""
+    return (F.sum(c).over(over) if over else F.col(c)).cast("double")
 
 
 def domain_share(events: DataFrame) -> DataFrame:
     """Dwell and share by domain; the total comes from the aggregated rows."""
-    sums = events.groupBy("subject_id", "domain").agg(F.sum("dwell").cast("double").alias("dwell"))
-    return sums.withColumn("share", share(F.col("dwell"), F.sum("dwell").over(Window.partitionBy("subject_id"))))
+    sums = events.groupBy("subject_id", "domain").agg(F.sum("dwell").alias("dwell"))
+    return sums.select("subject_id", "domain", _double("dwell").alias("dwell"), share(_double("dwell"), _double("dwell", Window.partitionBy("subject_id"))).alias("share"))
 
 
 def transitions(events: DataFrame, column: str = "domain") -> DataFrame:
@@ -46,10 +52,10 @@ def windows(events: DataFrame, short_days: int, long_days: int) -> DataFrame:
     last = events.groupBy("subject_id").agg(F.max("ts_start").alias("anchor"))
     rows = events.join(last, "subject_id").where(F.col("ts_start") >= F.col("anchor") - F.expr(f"interval {long_days} days"))
     in_short = F.col("ts_start") >= F.col("anchor") - F.expr(f"interval {short_days} days")
-    sums = rows.groupBy("subject_id", "domain").agg(F.sum(F.when(in_short, F.col("dwell"))).cast("double").alias("s"), F.sum("dwell").cast("double").alias("l"))
+    sums = rows.groupBy("subject_id", "domain").agg(F.sum(F.when(in_short, F.col("dwell"))).alias("s"), F.sum("dwell").alias("l"))
     w = Window.partitionBy("subject_id")
-    p = F.when(F.col("s").isNotNull(), share(F.col("s"), F.sum("s").over(w)))
-    return sums.select("subject_id", "domain", p.alias("short"), share(F.col("l"), F.sum("l").over(w)).alias("long"))
+    p = F.when(F.col("s").isNotNull(), share(_double("s"), _double("s", w)))
+    return sums.select("subject_id", "domain", p.alias("short"), share(_double("l"), _double("l", w)).alias("long"))
 
 
 def divergence(shares: DataFrame) -> DataFrame:
