@@ -10,7 +10,8 @@
    compared in blocks.
 3. Comparing a node starts from its first member, takes in all whose tokens
    agree often enough, and goes on with those not yet taken in: a spanning
-   forest of the node's candidate graph, not its pairs.
+   forest of the node's candidate graph, not its pairs. Each tree is handed on as
+   a star around its first member, so that few rounds make components of them.
 4. Candidate components get their full sets back and are searched the same way,
    now with exact intersections: a set is linked if any member of the group
    reaches 100 * intersection >= 85 * union with it. Components of more than
@@ -168,26 +169,27 @@ def _runs(batches, keys: int):
 
 
 def _forest(n: int, close) -> list[tuple[int, int]]:
-    """Edges of a spanning forest; close(member, others) tells which of the others link with it."""
-    edges, rest, queue = [], np.arange(n), []
+    """Each member with the first of its tree, in a spanning forest; close(member, others) tells which of the others link with it."""
+    edges, rest, queue, root = [], np.arange(n), [], 0
     while len(rest):
         if queue:
             at = queue.pop()
         else:
-            at, rest = int(rest[0]), rest[1:]
+            root = at = int(rest[0])
+            rest = rest[1:]
         if not len(rest):
             break
         hit = close(at, rest)
         found = rest[hit]
         if len(found):
-            edges += [(at, int(x)) for x in found]
+            edges += [(root, int(x)) for x in found]
             queue += found.tolist()
             rest = rest[~hit]
     return edges
 
 
 def _candidates(nodes: DataFrame, threshold: int) -> DataFrame:
-    """Edges (u, v) of each node's candidate forest. nodes: key, i, j, id, n, tokens."""
+    """Edges (u, v) from the first member of each tree of a node's candidate forest. nodes: key, i, j, id, n, tokens."""
     s = threshold / 100
     # agreement of 8-bit tokens: s by likeness, and by chance 1 of 256 of the rest
     p = s + (1 - s) / 256
@@ -268,7 +270,7 @@ def _edges(us: list, vs: list) -> pa.RecordBatch:
 
 
 def _exact(members: DataFrame, threshold: int) -> DataFrame:
-    """Edges (u, v) of the exact forest of each group. members: key, i, j, id, text."""
+    """Edges (u, v) from the first member of each tree of a group's exact forest. members: key, i, j, id, text."""
 
     def run(batches):
         lean_worker()
@@ -308,6 +310,11 @@ def _between(members: DataFrame, threshold: int) -> DataFrame:
     return bounded_batches(cols).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(run, "u long, v long")
 
 
+def _stars(found: DataFrame) -> DataFrame:
+    """Components as edges (u, v)."""
+    return found.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
+
+
 def _links(members: DataFrame, threshold: int) -> DataFrame:
     """Edges (u, v) that join up what is linked in each group, exactly. members: key, id, text."""
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TEXTS).cast("int").alias("b"))
@@ -319,9 +326,10 @@ def _links(members: DataFrame, threshold: int) -> DataFrame:
     # one member of each group of linked ones in a block
     found = components(edges)
     leaders = large.join(found.where("id = component").select("id"), "id")
-    edges = materialize(edges.union(_exact(_blocked(leaders, ["key"], TEXTS), threshold)), "links")
+    found = components(_stars(found).union(_exact(_blocked(leaders, ["key"], TEXTS), threshold)))
+    edges = _stars(found)
     # groups that still aren't one: all but their largest cluster is compared with the whole group
-    clustered = materialize(large.join(components(edges), "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component"), "clusters")
+    clustered = materialize(large.join(found, "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component"), "clusters")
     counts = clustered.groupBy("key", "cluster").agg(F.countDistinct("id").alias("n"))
     largest = counts.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("all"), F.max(F.struct("n", "cluster")).alias("m")).where("c > 1")
     largest = materialize(largest.select("key", F.ceil(F.col("all") / TEXTS).cast("int").alias("b"), F.ceil((F.col("all") - F.col("m.n")) / TEXTS).cast("int").alias("q"), F.col("m.cluster").alias("top")), "largest")
